@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, neardup, packing
+from tidemark.llm import exact_dedup, langid, mixing, neardup, packing
 from tidemark.llm.common import Scratch
 from tidemark.llm.queries import tokenizer_file
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without an identifiable language: no text, or no letter in it."""
+    return langid.identified_documents(docs)
+
+
 def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one_of_each(docs)
 
@@ -26,6 +31,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("language ID", keep_identified),
     ("exact dedup", remove_exact_copies),
     ("MinHash near-dedup", remove_near_copies),
     ("mixing sources to target weights", mix_sources),

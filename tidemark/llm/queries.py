@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, neardup, packing, topk
+from . import exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
 from .common import read_table
 
 
@@ -74,11 +74,41 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(read_table(spark, sf_dir, "conversations"))
+
+
+def pseudonym_key() -> str:
+    """The secret of the pseudonyms; TIDEMARK_PSEUDONYM_KEY replaces the one for tests."""
+    return os.environ.get("TIDEMARK_PSEUDONYM_KEY", "tidemark-test-key")
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), pseudonym_key())
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_language_id": op2_language_id,
     "op3_source_mix": op3_source_mix,
     "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_quotation_linking": op8_quotation_linking,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 ORACLES = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL}
