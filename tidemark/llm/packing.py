@@ -18,6 +18,8 @@ own. An empty table gives an empty result. Only the id and text columns are read
 from __future__ import annotations
 
 import heapq
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,21 +33,35 @@ from .common import Scratch, running_total
 
 MAX_LEN = 2048
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; one per Python worker and file."""
+class WordTokenizer(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; one per Python worker and file.
+
+    The mapping holds the ids of words. Words of letters, with or without closing punctuation, go
+    straight to the byte-pair model, as neither normalisation nor splitting changes them once
+    they are composed and in lower case; all others go through the whole tokenizer. Two
+    generations of ``CACHED_WORDS`` words are kept.
+    """
 
     _open: dict[str, WordTokenizer] = {}
+    _PROBES = ("then", "\u00e9tait", "gr\u00f6\u00dfe", "then,", "ni\u00f1o...")
 
     def __init__(self, path: str):
+        super().__init__({b"": b""})
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.cache: dict[bytes, bytes] = {b"": b""}
+        self.model = self.tokenizer.model
+        self.older: dict[bytes, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 stands for itself, the rest follows from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+        self.direct = True
+        self.direct = all(self._ids(w.encode()) == self._by_tokenizer(w) for w in self._PROBES)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -53,24 +69,46 @@ class WordTokenizer:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self._ids(word)
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def _by_tokenizer(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, word: bytes) -> bytes:
+        if self.direct:
+            core = word.rstrip(b".,;:!?()*%#&$\"-")
+            if len(core) < len(word) and core:
+                if core.isalpha() or not core.isascii() and core.decode().isalpha():
+                    return self[core] + self[word[len(core) :]]
+            elif core:
+                text = core.decode()
+                if not text.isascii():
+                    # A final sigma and letters that grow when lowered are left to the tokenizer.
+                    lower = text.lower()
+                    plain = lower.isalpha() and len(lower) == len(text) and "\u03c2" not in lower and "\u03c3" not in lower
+                    text = lower.encode().decode("latin-1").translate(self.alphabet) if plain and unicodedata.is_normalized("NFC", text) else ""
+                elif not text.isalpha():
+                    text = ""
+                if text:
+                    ids = [t.id for t in self.model.tokenize(text)]
+                    return struct.pack(f"<{len(ids)}I", *ids)
+        return self._by_tokenizer(word.decode())
+
     def encode(self, text: str) -> bytes:
         raw = text.encode()
         # Lower-casing A-Z first only merges cache entries, unless it could spell a special token.
         if b"<|" not in raw:
             raw = raw.lower()
-        words = raw.replace(b"\n", b" ").split(b" ")
-        cache = self.cache
-        missing = [w for w in set(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHED_WORDS:
-                cache.clear()
-                cache[b""] = b""
-                missing = [w for w in set(words) if w]
-            for i in range(0, len(missing), 10_000):
-                part = missing[i : i + 10_000]
-                for word, got in zip(part, self.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    cache[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        return b"".join(map(self.__getitem__, raw.replace(b"\n", b" ").split(b" ")))
 
 
 def _cut(path: str, max_len: int, end_id: int):
