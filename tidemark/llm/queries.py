@@ -27,14 +27,14 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
   SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
-         CAST(coalesce(list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2])), 0) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM valid q JOIN valid d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id
 ),
 ranked AS (
