@@ -41,10 +41,12 @@ def stability_index(train: DataFrame, test: DataFrame, column: str, bins: int =
     Bin edges are a few numbers per symbol; both sides are only counted against them.
     """
     shares = [i / bins for i in range(1, bins)]
-    edges = train.groupBy("symbol").agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("edges"))
+    edges = train.groupBy("symbol").agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("_edges"))
+    # Interpolated edges that fall on a value may miss it by a rounding error.
+    edges = edges.select("symbol", F.transform("_edges", lambda e: F.round(e, 9)).alias("edges"))
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
-        binned = rows.join(edges, "symbol").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(column))))
+        binned = rows.join(edges, "symbol").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.round(column, 9))))
         return binned.groupBy("symbol", "bin").agg(F.count(F.lit(1)).alias(name))
 
     total = lambda c: F.sum(c).over(Window.partitionBy("symbol"))

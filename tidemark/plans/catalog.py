@@ -322,8 +322,8 @@ def rolling_auc(spark, sf_dir):
 
 
 @query("""
-WITH rows AS (SELECT l_returnflag AS symbol, l_quantity * l_discount AS x, l_orderkey % 2 AS half FROM lineitem),
-edges AS (SELECT symbol, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM rows WHERE half = 0 GROUP BY 1),
+WITH rows AS (SELECT l_returnflag AS symbol, round(l_quantity * l_discount, 9) AS x, l_orderkey % 2 AS half FROM lineitem),
+edges AS (SELECT symbol, list_transform(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda e: round(e, 9)) AS edges FROM rows WHERE half = 0 GROUP BY 1),
 binned AS (
   SELECT r.symbol, half, len(list_filter(edges, lambda e: e < x)) AS bin, count(*) AS n FROM rows r JOIN edges USING (symbol) GROUP BY ALL),
 grid AS (SELECT symbol, unnest(range(10)) AS bin FROM edges),
