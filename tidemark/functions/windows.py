@@ -46,3 +46,8 @@ def rsi(gain: Column, loss: Column, n: int = 14) -> Column:
 
 def regime(z: Column, threshold: float) -> Column:
     return F.when(z > threshold, 1).when(z < -threshold, -1).otherwise(0)
+
+
+def ewm(path: Column, span: int) -> Column:
+    """Exponential mean (unadjusted) of the last value of ``path``, a list in date order that seeds it."""
+    return F.reduce(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), F.get(path, 0), lambda a, x: a + (x - a) * 2 / (span + 1.0))

@@ -36,6 +36,28 @@ def time_bars(ticks: DataFrame, minutes: int) -> DataFrame:
     )
 
 
+def tick_bars(ticks: DataFrame, size: int) -> DataFrame:
+    """Bars of ``size`` ticks of a symbol each; the last may be shorter.
+
+    Ticks are numbered within their day and days are offset by the counts before them, so that no
+    task has to order a symbol's whole history.
+    """
+    rows = ticks.withColumn("_day", F.to_date("ts"))
+    counts = rows.groupBy("symbol", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("symbol", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("ts", "event_id")) - 1
+    numbered = rows.withColumn("_at", place).join(starts, ["symbol", "_day"])
+    return numbered.groupBy("symbol", F.floor((F.col("_start") + F.col("_at")) / size).alias("bar")).agg(
+        F.min("ts").alias("began"),
+        F.min_by("price", F.struct("ts", "event_id")).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", F.struct("ts", "event_id")).alias("close"),
+        F.count(F.lit(1)).alias("trade_count"),
+    )
+
+
 def validate(bars: DataFrame, max_move: float = 0.5) -> DataFrame:
     """Drops rows without usable prices or volume, repairs highs and lows, then drops extreme moves.
 
@@ -65,4 +87,4 @@ def information_threshold(rows: DataFrame, amount, date: str) -> DataFrame:
     return rows.groupBy("symbol").agg((F.sum(amount) / F.count_distinct(F.to_date(date))).alias("threshold"))
 
 
-__all__ = ["information_threshold", "keep_last", "ohlcv", "session", "time_bars", "validate"]
+__all__ = ["information_threshold", "keep_last", "ohlcv", "session", "tick_bars", "time_bars", "validate"]

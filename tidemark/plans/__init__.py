@@ -1,0 +1,5 @@
+"""Registered queries; importing the package fills the catalog."""
+
+from tidemark.plans import catalog, research
+
+__all__ = ["catalog", "research"]
