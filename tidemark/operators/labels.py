@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import windows as W
 
-def triple_barrier(daily: DataFrame, profit: float = 0.02, loss: float = 0.02, horizon: int = 10) -> DataFrame:
+
+def triple_barrier(daily: DataFrame, profit: Column | float = 0.02, loss: Column | float = 0.02, horizon: int = 10) -> DataFrame:
     """The first barrier that the next ``horizon`` closes touch: ``upper``, ``lower`` or ``time``.
 
     ``touch_idx`` counts rows from the entry. Entries without any later row have none of it.
@@ -37,3 +39,15 @@ def touch_summary(labels: DataFrame) -> DataFrame:
     return labels.groupBy("symbol", "touch_type").agg(
         F.count(F.lit(1)).alias("n"), F.mean("return_at_touch").alias("mean_return"), F.mean("touch_idx").alias("mean_idx")
     )
+
+
+def volatility_barriers(returns: DataFrame, n: int = 20, multiple: float = 1.5, horizon: int = 10) -> DataFrame:
+    """Triple barriers at a multiple of each row's trailing volatility.
+
+    A missing volatility is the symbol's median one; none is under 1e-8.
+    """
+    rows = returns.withColumn("_vol", W.rolling(F.stddev_samp, F.col("ret"), n))
+    median = rows.groupBy("symbol").agg(F.median("_vol").alias("_median"))
+    usual = F.coalesce("_vol", "_median", F.lit(0.0))
+    scaled = rows.join(median, "symbol").withColumn("_barrier", multiple * F.greatest(usual, F.lit(1e-8)))
+    return triple_barrier(scaled, F.col("_barrier"), F.col("_barrier"), horizon)
