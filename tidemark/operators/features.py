@@ -121,3 +121,39 @@ def disagreement(rows: DataFrame, members: list[str]) -> DataFrame:
             "ens_entropy": entropy,
         }
     )
+
+
+def l_moments(returns: DataFrame, n: int = 20) -> DataFrame:
+    """Adds L-variation, L-skewness and L-kurtosis of the ``n`` returns before the row, itself left out."""
+    seen = F.collect_list("_r").over(W.ordered().rowsBetween(-n, -1))
+    rows = returns.withColumn("_r", F.coalesce("ret", F.lit(0.0))).withColumn("_s", F.array_sort(seen))
+    total = lambda weight: F.aggregate(F.transform("_s", lambda x, j: weight(j.cast("double")) * x), F.lit(0.0), lambda a, v: a + v) / n
+    rows = rows.withColumns(
+        {
+            "_b0": total(lambda j: F.lit(1.0)),
+            "_b1": total(lambda j: j / (n - 1)),
+            "_b2": total(lambda j: j * (j - 1) / ((n - 1) * (n - 2))),
+            "_b3": total(lambda j: j * (j - 1) * (j - 2) / ((n - 1) * (n - 2) * (n - 3))),
+        }
+    )
+    b0, b1, b2, b3 = (F.col(f"_b{i}") for i in range(4))
+    l2, full = 2 * b1 - b0, F.size("_s") == n
+    ratio = lambda top: F.when(full & (l2 > W.EPSILON), W.clip(top / l2, -1, 1)).otherwise(0.0)
+    return rows.withColumns(
+        {
+            "lcv": F.when(full & (F.abs(b0) > W.EPSILON), W.clip(l2 / F.abs(b0), 0, 50)).otherwise(0.0),
+            "lskew": ratio(6 * b2 - 6 * b1 + b0),
+            "lkurt": ratio(20 * b3 - 30 * b2 + 12 * b1 - b0),
+        }
+    ).drop("_r", "_s", "_b0", "_b1", "_b2", "_b3")
+
+
+def neutralized(rows: DataFrame, x: str, market: str, share: float = 0.01) -> DataFrame:
+    """Adds ``winsorized`` (clipped at a symbol's outer quantiles) and its ``residual`` on the market."""
+    edges = rows.groupBy("symbol").agg(F.percentile(x, [share, 1 - share]).alias("_edges"))
+    clipped = rows.join(edges, "symbol").withColumn("winsorized", F.least(F.greatest(F.col(x), F.get("_edges", 0)), F.get("_edges", 1)))
+    fit = clipped.groupBy("symbol").agg(
+        F.regr_slope("winsorized", market).alias("_slope"), F.regr_intercept("winsorized", market).alias("_base")
+    )
+    residual = F.col("winsorized") - F.col("_base") - F.col("_slope") * F.col(market)
+    return clipped.join(fit, "symbol").withColumn("residual", residual).drop("_edges", "_slope", "_base")

@@ -67,3 +67,21 @@ def purged_folds(rows: DataFrame, folds: int = 5, purge: int = 5) -> DataFrame:
     n = F.col("_n")
     role = F.when((n >= low) & (n < high), "test").when((n >= low - purge) & (n < high + purge), "purged").otherwise("train")
     return split.select("symbol", "date", "fold", role.alias("role"))
+
+
+def trade_metrics(trades: DataFrame, keys: list[str], days: int = 252, risk_free: float = 0.04) -> DataFrame:
+    """Win rate, mean win and loss, profit factor and Sortino ratio of closed trades (``pnl``, ``ret``).
+
+    A trade without profit is a loss; the profit factor's divisor is 1 at least. Sortino divides by
+    the population deviation of the negative returns.
+    """
+    won, lost = F.col("pnl") > 0, F.col("pnl") <= 0
+    excess = F.mean("ret") - risk_free / days
+    return trades.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_trades"),
+        F.mean(won.cast("double")).alias("win_rate"),
+        F.coalesce(F.mean(F.when(won, F.col("pnl"))), F.lit(0.0)).alias("avg_win"),
+        F.coalesce(F.mean(F.when(lost, -F.col("pnl"))), F.lit(0.0)).alias("avg_loss"),
+        (F.coalesce(F.sum(F.when(won, F.col("pnl"))), F.lit(0.0)) / F.greatest(F.abs(F.coalesce(F.sum(F.when(lost, F.col("pnl"))), F.lit(0.0))), F.lit(1.0))).alias("profit_factor"),
+        F.try_divide(days**0.5 * excess, F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret")))).alias("sortino"),
+    )

@@ -47,3 +47,25 @@ def rank_correlation(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFr
     found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{a}", f"_rank_{b}").alias("spearman"))
     bounded = W.clip(F.col("spearman"), -0.9999, 0.9999)
     return found.withColumn("fisher_z", F.atanh(bounded))
+
+
+def walk_forward(rows: DataFrame, train: int, test: int, step: int, anchored: bool = False) -> DataFrame:
+    """A row per window that a row belongs to: ``symbol, date, window, role``, in days from the first date.
+
+    A window whose test would end past the last date is left out. An anchored one trains from the
+    first date on. The windows of a row follow from its offset, so none is joined with all rows.
+    """
+    whole = Window.partitionBy("symbol")
+    first, last = F.min("date").over(whole), F.max("date").over(whole)
+    placed = rows.select("symbol", "date", F.datediff("date", first).alias("_at"), F.datediff(last, first).alias("_span"))
+    newest = F.floor((F.col("_span") - (train + 1 + test)) / step)
+    low = F.greatest(F.ceil((F.col("_at") - (train + 1 + test)) / step), F.lit(0))
+    high = newest if anchored else F.least(F.floor(F.col("_at") / step), newest)
+    start = F.col("window") * step
+    role = F.when(F.col("_at") <= start + train, "train").when(F.col("_at") >= start + train + 1, "test")
+    return (
+        placed.withColumns({"_low": low, "_high": high})
+        .filter("_low <= _high")
+        .withColumn("window", F.explode(F.sequence("_low", "_high")))
+        .select("symbol", "date", "window", role.alias("role"))
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.operators import bars, features, folds, labels, splits
+from tidemark.operators import bars, features, folds, labels, monitoring, splits, synthetic
 from tidemark.plans.catalog import DAILY, RETURNS, frame, query, returns, rounded
 from tidemark.sources.market import daily_orders, table, ticks
 
@@ -241,3 +242,91 @@ def extreme_times(spark, sf_dir):
     return found.select(
         "symbol", "date", "n", minute("high_at").alias("high_minute"), minute("low_at").alias("low_minute"), (F.col("low_at") < F.col("high_at")).alias("low_before_high")
     )
+
+
+@query(f"""
+WITH {RETURNS}, seen AS (
+  SELECT symbol, date, list_sort(list(coalesce(ret, 0)) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS s FROM returns),
+pwm AS (
+  SELECT symbol, date, len(s) AS n, list_sum(s) / 20 AS b0, list_sum(list_transform(s, lambda x, i: x * (i - 1) / 19.0)) / 20 AS b1,
+         list_sum(list_transform(s, lambda x, i: x * (i - 1) * (i - 2) / 342.0)) / 20 AS b2,
+         list_sum(list_transform(s, lambda x, i: x * (i - 1) * (i - 2) * (i - 3) / 5814.0)) / 20 AS b3 FROM seen),
+l AS (SELECT *, 2 * b1 - b0 AS l2, 6 * b2 - 6 * b1 + b0 AS l3, 20 * b3 - 30 * b2 + 12 * b1 - b0 AS l4 FROM pwm)
+SELECT symbol, date, round(CASE WHEN n = 20 AND abs(b0) > 1e-10 THEN least(greatest(l2 / abs(b0), 0), 50) ELSE 0 END, 6) AS lcv,
+       round(CASE WHEN n = 20 AND l2 > 1e-10 THEN least(greatest(l3 / l2, -1), 1) ELSE 0 END, 6) AS lskew,
+       round(CASE WHEN n = 20 AND l2 > 1e-10 THEN least(greatest(l4 / l2, -1), 1) ELSE 0 END, 6) AS lkurt FROM l""")
+def l_moments(spark, sf_dir):
+    return rounded(features.l_moments(returns(spark, sf_dir)), 6, "lcv", "lskew", "lkurt").select("symbol", "date", "lcv", "lskew", "lkurt")
+
+
+@query(f"""
+WITH {RETURNS}, market AS (SELECT date, avg(ret) AS market FROM returns GROUP BY 1),
+rows AS (SELECT symbol, date, ret, market FROM returns JOIN market USING (date) WHERE ret IS NOT NULL),
+edges AS (SELECT symbol, quantile_cont(ret, 0.01) AS low, quantile_cont(ret, 0.99) AS high FROM rows GROUP BY 1),
+clipped AS (SELECT r.*, least(greatest(ret, low), high) AS w FROM rows r JOIN edges USING (symbol)),
+fit AS (SELECT symbol, regr_slope(w, market) AS slope, regr_intercept(w, market) AS base FROM clipped GROUP BY 1)
+SELECT symbol, date, round(w, 6) AS winsorized, round(w - base - slope * market, 6) AS residual FROM clipped JOIN fit USING (symbol)""")
+def neutralized_returns(spark, sf_dir):
+    rows = returns(spark, sf_dir).filter("ret IS NOT NULL").select("symbol", "date", "ret")
+    market = rows.groupBy("date").agg(F.mean("ret").alias("market"))
+    found = features.neutralized(rows.join(market, "date"), "ret", "market")
+    return rounded(found, 6, "winsorized", "residual").select("symbol", "date", "winsorized", "residual")
+
+
+@query(f"""
+WITH {DAILY}, members AS (
+  SELECT CAST(o_custkey % 40 AS VARCHAR) AS symbol, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) AS level FROM orders GROUP BY 1, 2),
+moves AS (SELECT *, level / lag(level) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM members),
+real AS (SELECT date, avg(ret) AS real FROM moves WHERE ret IS NOT NULL GROUP BY 1),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY date ORDER BY ret, symbol) AS place, count(*) OVER (PARTITION BY date) AS names FROM moves WHERE ret IS NOT NULL),
+basket AS (
+  SELECT date, avg(ret) AS basket FROM placed
+  WHERE names < 10 OR (place > greatest(1, floor(names * 0.2)) AND place <= names - greatest(1, floor(names * 0.2))) GROUP BY 1),
+both_sides AS (SELECT date, real, basket FROM real JOIN basket USING (date)),
+scaled AS (
+  SELECT date, real, basket * 0.8 * (SELECT stddev_samp(real) / (stddev_samp(basket) + 1e-10) FROM both_sides) AS synthetic FROM both_sides)
+SELECT date, round(real, 6) AS real, round(synthetic, 6) AS synthetic, round(0.6 * real + 0.4 * synthetic, 6) AS blended FROM scaled""")
+def synthetic_universe(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 40).cast("string").alias("symbol"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date"), "o_totalprice"
+    )
+    members = rows.groupBy("symbol", "date").agg(F.mean("o_totalprice").alias("close")).withColumn("ret", W.pct_change(F.col("close")))
+    index = members.filter("ret IS NOT NULL").groupBy("date").agg(F.mean("ret").alias("ret"))
+    return rounded(synthetic.blended_index(synthetic.without_extremes(members, 0.2), index), 6, "real", "synthetic", "blended")
+
+
+@query(f"""
+WITH {DAILY}, trades AS (SELECT symbol, close - open AS pnl, close / open - 1 AS ret FROM daily)
+SELECT symbol, count(*) AS n_trades, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate,
+       round(coalesce(avg(pnl) FILTER (pnl > 0), 0), 3) AS avg_win, round(coalesce(avg(-pnl) FILTER (pnl <= 0), 0), 3) AS avg_loss,
+       round(coalesce(sum(pnl) FILTER (pnl > 0), 0) / greatest(abs(coalesce(sum(pnl) FILTER (pnl <= 0), 0)), 1), 6) AS profit_factor,
+       round(sqrt(252) * (avg(ret) - 0.04 / 252) / stddev_pop(ret) FILTER (ret < 0), 6) AS sortino
+FROM trades GROUP BY 1""")
+def trade_metrics(spark, sf_dir):
+    trades = daily_orders(spark, sf_dir).select("symbol", (F.col("close") - F.col("open")).alias("pnl"), (F.col("close") / F.col("open") - 1).alias("ret"))
+    found = monitoring.trade_metrics(trades, ["symbol"])
+    return rounded(rounded(found, 6, "win_rate", "profit_factor", "sortino"), 3, "avg_win", "avg_loss")
+
+
+@query(f"""
+WITH {DAILY}, spans AS (SELECT symbol, min(date) AS first, max(date) AS last FROM daily GROUP BY 1),
+windows AS (
+  SELECT symbol, w.range AS k, first + CAST(w.range * 90 AS INTEGER) AS start FROM spans, range(200) w
+  WHERE first + CAST(w.range * 90 AS INTEGER) + 451 <= last)
+SELECT d.symbol, d.date, k AS "window", CASE WHEN date <= start + 360 THEN 'train' ELSE 'test' END AS role
+FROM daily d JOIN windows w ON w.symbol = d.symbol AND d.date >= w.start AND d.date <= w.start + 451""")
+def walk_forward(spark, sf_dir):
+    return splits.walk_forward(daily_orders(spark, sf_dir), train=360, test=90, step=90)
+
+
+@query("""
+WITH tagged AS (
+  SELECT event_type AS symbol, CAST(ts AS DATE) AS date, event_id, value AS price,
+         row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS back
+  FROM events WHERE hour(ts) * 60 + minute(ts) < 570)
+SELECT symbol, date, event_id, price FROM tagged WHERE back <= 30""")
+def premarket_tail(spark, sf_dir):
+    rows = ticks(spark, sf_dir).withColumn("date", F.to_date("ts")).filter(bars.minute_of_day("ts") < bars.REGULAR)
+    back = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(F.desc("ts"), F.desc("event_id")))
+    return rows.withColumn("_back", back).filter("_back <= 30").select("symbol", "date", "event_id", "price")
