@@ -157,3 +157,36 @@ def neutralized(rows: DataFrame, x: str, market: str, share: float = 0.01) -> Da
     )
     residual = F.col("winsorized") - F.col("_base") - F.col("_slope") * F.col(market)
     return clipped.join(fit, "symbol").withColumn("residual", residual).drop("_edges", "_slope", "_base")
+
+
+def _entropy(codes: Column) -> Column:
+    """Shannon entropy in bits of the values of an array."""
+    n = F.size(codes)
+    share = lambda c: F.size(F.filter(codes, lambda x: x == c)) / n
+    return F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+
+
+def entropies(returns: DataFrame, n: int = 20, bins: int = 10) -> DataFrame:
+    """Adds Shannon entropy of binned returns and permutation entropy of closes over the ``n`` rows before.
+
+    Bins are of equal width between the window's extremes. Patterns are the orders of three closes in
+    a row, equal ones in their order of time; their entropy is a share of the greatest possible one.
+    """
+    before = W.ordered().rowsBetween(-n, -1)
+    rows = returns.withColumns({"_r": F.collect_list("ret").over(before), "_c": F.collect_list("close").over(before)})
+    low, span = F.array_min("_r"), F.array_max("_r") - F.array_min("_r")
+    binned = F.transform("_r", lambda x: F.least(F.floor(F.try_divide(x - low, span) * bins), F.lit(bins - 1)))
+    at = lambda i: F.get("_c", i)
+    bit = lambda test, value: F.when(test, value).otherwise(0)
+    pattern = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 3)),
+        lambda i: bit(at(i) <= at(i + 1), 1) + bit(at(i) <= at(i + 2), 2) + bit(at(i + 1) <= at(i + 2), 4),
+    )
+    full = F.size("_c") == n
+    rows = rows.withColumns({"_bins": binned, "_pattern": pattern})
+    return rows.withColumns(
+        {
+            "shannon": F.when(full & (F.size("_r") >= 3) & (span >= 1e-15), _entropy(F.col("_bins"))).otherwise(0.0),
+            "permutation": F.when(full, _entropy(F.col("_pattern")) / F.log2(F.lit(6.0))).otherwise(0.0),
+        }
+    ).drop("_r", "_c", "_bins", "_pattern")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.operators import bars, features, folds, labels, monitoring, splits, synthetic
+from tidemark.operators import bars, features, folds, labels, monitoring, splits, strategy, synthetic
 from tidemark.plans.catalog import DAILY, RETURNS, frame, query, returns, rounded
+from tidemark.sources import files
 from tidemark.sources.market import daily_orders, table, ticks
 
 CUSUM = 2.0
@@ -330,3 +331,96 @@ def premarket_tail(spark, sf_dir):
     rows = ticks(spark, sf_dir).withColumn("date", F.to_date("ts")).filter(bars.minute_of_day("ts") < bars.REGULAR)
     back = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(F.desc("ts"), F.desc("event_id")))
     return rows.withColumn("_back", back).filter("_back <= 30").select("symbol", "date", "event_id", "price")
+
+
+@query(f"""
+WITH {RETURNS}, seen AS (
+  SELECT symbol, date, list(ret) FILTER (ret IS NOT NULL) OVER w AS r, list(close) OVER w AS c FROM returns
+  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+spans AS (SELECT *, list_min(r) AS low, list_max(r) - list_min(r) AS span FROM seen),
+codes AS (
+  SELECT symbol, date, len(c) AS n, span, list_transform(r, lambda x: least(floor((x - low) / span * 10), 9)) AS b,
+         list_transform(range(1, 19), lambda i: (c[i] <= c[i + 1])::INT + 2 * (c[i] <= c[i + 2])::INT + 4 * (c[i + 1] <= c[i + 2])::INT) AS p FROM spans)
+SELECT symbol, date, round(CASE WHEN n = 20 AND span >= 1e-15 THEN list_aggregate(b, 'entropy') ELSE 0 END, 6) AS shannon,
+       round(CASE WHEN n = 20 THEN list_aggregate(p, 'entropy') / log2(6) ELSE 0 END, 6) AS permutation FROM codes""")
+def entropies(spark, sf_dir):
+    return rounded(features.entropies(returns(spark, sf_dir)), 6, "shannon", "permutation").select("symbol", "date", "shannon", "permutation")
+
+
+@query(f"""
+WITH {DAILY}, moves AS (
+  SELECT symbol, date, close / lag(close, 1) OVER w - 1 AS r1, close / lag(close, 3) OVER w - 1 AS r3, close / lag(close, 5) OVER w - 1 AS r5,
+         close / lag(close, 10) OVER w - 1 AS r10 FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+means AS (
+  SELECT *, CASE WHEN count(r1) OVER w2 >= 2 THEN avg(abs(r1)) OVER w2 END AS m1, CASE WHEN count(r3) OVER w6 >= 6 THEN avg(abs(r3)) OVER w6 END AS m3,
+         CASE WHEN count(r5) OVER w10 >= 10 THEN avg(abs(r5)) OVER w10 END AS m5, CASE WHEN count(r10) OVER w20 >= 20 THEN avg(abs(r10)) OVER w20 END AS m10
+  FROM moves WINDOW w2 AS {frame(2)}, w6 AS {frame(6)}, w10 AS {frame(10)}, w20 AS {frame(20)})
+SELECT symbol, date, round(coalesce(r5, 0), 6) AS mh_return_5d, round(coalesce(m5, 0), 6) AS mh_momentum_5d,
+       round(coalesce(list_avg([sign(r1), sign(r3), sign(r5), sign(r10)]), 0), 6) AS mh_agreement, round(coalesce(list_avg([m1, m3, m5, m10]), 0), 6) AS mh_strength
+FROM means""")
+def horizon_signals(spark, sf_dir):
+    shown = ["mh_return_5d", "mh_momentum_5d", "mh_agreement", "mh_strength"]
+    return rounded(strategy.horizon_signals(daily_orders(spark, sf_dir)), 6, *shown).select("symbol", "date", *shown)
+
+
+TRADES_SQL = f"""{RETURNS}, scored AS (
+  SELECT *, CASE WHEN lag(ret, 1) OVER w IS NOT NULL THEN 1 / (1 + exp(-least(greatest(lag(ret, 1) OVER w, -5), 5))) END AS swing, CASE WHEN lag(ret, 2) OVER w IS NOT NULL THEN 1 / (1 + exp(-least(greatest(lag(ret, 2) OVER w, -5), 5))) END AS timing,
+         CASE WHEN count(ret) OVER b >= 20 THEN stddev_samp(ret) OVER b * sqrt(252) ELSE 0.15 END AS volatility
+  FROM returns WINDOW w AS (PARTITION BY symbol ORDER BY date), b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+signalled AS (
+  SELECT *, CASE WHEN swing >= 0.6 AND timing >= 0.5 THEN 'BUY' WHEN swing <= 0.4 THEN 'SELL' ELSE 'HOLD' END AS signal,
+         0.0001 * 1.1 * (1 + greatest(0, volatility - 0.15) * 5) AS slip FROM scored),
+priced AS (
+  SELECT *, CASE signal WHEN 'BUY' THEN 1 ELSE -1 END AS way FROM signalled WHERE signal <> 'HOLD'),
+filled AS (SELECT *, open * (1 + way * slip) AS entry, close * (1 - way * slip) AS exit FROM priced),
+trades AS (
+  SELECT symbol, date, signal, volatility, entry, exit, (way * (exit - entry) - 0.01) * 10000 / entry AS pnl FROM filled)"""
+
+
+def day_trades_of(spark, sf_dir):
+    chance = lambda k: 1 / (1 + F.exp(-W.clip(F.lag("ret", k).over(W.ordered()), -5, 5)))
+    rows = returns(spark, sf_dir).withColumns({"swing": chance(1), "timing": chance(2)})
+    return strategy.day_trades(rows.withColumn("signal", strategy.signal(F.col("swing"), F.col("timing"))))
+
+
+@query(f"""WITH {TRADES_SQL}
+SELECT symbol, date, signal, round(volatility, 6) AS volatility, round(entry, 4) AS entry, round(exit, 4) AS exit, round(pnl, 4) AS pnl,
+       round(pnl / 10000, 8) AS return_pct FROM trades""")
+def day_trades(spark, sf_dir):
+    return rounded(rounded(rounded(day_trades_of(spark, sf_dir), 4, "entry", "exit", "pnl"), 6, "volatility"), 8, "return_pct")
+
+
+@query(f"""WITH {TRADES_SQL}, rates AS (
+  SELECT symbol, signal, count(*) AS n_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(pnl) FILTER (pnl > 0) / avg(-pnl) FILTER (pnl <= 0) AS b
+  FROM trades GROUP BY 1, 2)
+SELECT symbol, signal, n_trades, round(p, 6) AS win_rate, round(CASE WHEN b > 0 THEN least(0.5 * greatest(0, p - (1 - p) / b), 0.25) ELSE 0 END, 6) AS kelly FROM rates""")
+def kelly_sizes(spark, sf_dir):
+    trades = day_trades_of(spark, sf_dir).withColumn("ret", F.col("return_pct"))
+    found = monitoring.trade_metrics(trades, ["symbol", "signal"])
+    ratio = F.try_divide("avg_win", "avg_loss")
+    return rounded(found.withColumn("kelly", strategy.kelly(F.col("win_rate"), ratio)), 6, "win_rate", "kelly").select("symbol", "signal", "n_trades", "win_rate", "kelly")
+
+
+@query("""
+WITH old AS (SELECT event_type AS symbol, ts, event_id, value AS price FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-25'),
+fresh AS (SELECT event_type AS symbol, ts, event_id, value * 2 AS price FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20'),
+starts AS (SELECT symbol, min(ts) AS first FROM fresh GROUP BY 1),
+merged AS (
+  SELECT o.* FROM old o LEFT JOIN starts s ON s.symbol = o.symbol WHERE s.first IS NULL OR o.ts < s.first UNION ALL SELECT * FROM fresh),
+ends AS (SELECT symbol, max(ts) AS last FROM merged GROUP BY 1)
+SELECT m.* FROM merged m JOIN ends USING (symbol) WHERE ts >= last - INTERVAL 20 DAY""")
+def cache_refresh(spark, sf_dir):
+    rows = ticks(spark, sf_dir).select("symbol", "ts", "event_id", "price").withColumn("_day", F.to_date("ts"))
+    old = rows.filter("_day < DATE '2024-01-25'").drop("_day")
+    fresh = rows.filter("_day >= DATE '2024-01-20'").drop("_day").withColumn("price", F.col("price") * 2)
+    return files.refresh(old, fresh, 20)
+
+
+@query("""
+WITH chunks AS (
+  SELECT 0 AS chunk, event_id, value AS price FROM events WHERE event_id % 3 <> 0
+  UNION ALL SELECT 1, event_id, value + 1 FROM events WHERE event_id % 2 = 0)
+SELECT event_id, arg_min(price, chunk) AS price FROM chunks GROUP BY 1""")
+def backfill_union(spark, sf_dir):
+    rows = ticks(spark, sf_dir).select("event_id", "price")
+    return files.backfill([rows.filter("event_id % 3 <> 0"), rows.filter("event_id % 2 = 0").withColumn("price", F.col("price") + 1)], ["event_id"])
