@@ -146,6 +146,36 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(full).count() == len(mixed)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    word = lambda name, n=40: [f"{name}{i}" for i in range(n)]
+    a, b, c, clean, other = (" ".join(word(x)) for x in ("a", "b", "c", "d", "e"))
+    rows = [
+        (3, a),
+        (7, a + " end"),  # a copy of document 3 ...
+        (7, clean),  # ... whose id another document has too
+        (None, a + " tail"),  # a copy without an id ...
+        (None, other),  # ... beside a clean document without one
+        (None, b),  # a group whose rows all lack an id
+        (None, b + " end"),
+        (None, b),
+        (9, c),  # identical rows
+        (9, c),
+        (8, c + " end"),
+        (None, None),
+        (None, ""),
+        (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in neardup.keep_one_of_each_group(docs).collect()]
+    group_b = [r for r in kept if r[1] and r[1].startswith("b0")]
+    assert len(group_b) == 1 and group_b[0] in ((None, b), (None, b + " end"))
+    want = [(3, a), (7, clean), (None, other), (8, c + " end"), (None, None), (None, ""), (None, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, want + group_b))
+    assert sum(r.kept for r in neardup.near_duplicates(docs).collect()) == len(want) + 1
+    same = spark.createDataFrame([(9, c), (9, c), (10, a), (None, ""), (None, "")], "doc_id long, text string")
+    assert sorted(map(str, neardup.keep_one_of_each_group(same).collect())) == sorted(map(str, [Row(doc_id=i, text=t) for i, t in ((9, c), (10, a), (None, ""), (None, ""))]))
+
+
 @pytest.mark.parametrize("memory", [7, 1 << 20])
 def test_induced_sort(memory):
     rng = np.random.default_rng(memory)

@@ -21,8 +21,10 @@ one pair in 10**8. Sets of at most k shingles are compared in full, without any
 Defined cases: without words or text a document has the empty set, is linked with nothing and is
 its own component. With fewer words than a shingle the whole sequence is its one shingle. Rows
 with the same id are copies of each other's component only if their sets are linked; null ids
-take part and come out with their class's component. An empty table gives an empty result. Only
-the id and text columns are read.
+take part and come out with their class's component. Of each component exactly one row is kept:
+the one with the smallest id, null ids last, then the least hash of its text, then one arbitrary
+row of several identical rows. An empty table gives an empty result. Only the id and text columns
+are read.
 """
 
 from __future__ import annotations
@@ -143,16 +145,21 @@ def _compare_block(similarity: tuple[int, int]):
     return run
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``; see ``_decisions`` for the options."""
+    return _decisions(docs, id_col, text_col, **options).drop("text_key")
+
+
+def _decisions(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    id_col: str,
+    text_col: str,
     words: int = WORDS,
     similarity: tuple[int, int] = SIMILARITY,
     k: int = SKETCH,
     slack: float = SLACK,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
+    """One row per input row: ``doc_id, text_key, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     share = similarity[0] / similarity[1]
@@ -171,7 +178,7 @@ def near_duplicates(
         rows.filter("n_shingles > 0")
         .groupBy("digest")
         .agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "text_key")).alias("first"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row_id")).alias("first"),
             F.max("n_shingles").alias("n"),
         )
         .select("digest", F.col("first.row_id").alias("cls"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "n"),
@@ -263,28 +270,46 @@ def near_duplicates(
 
     reachable = (
         classes.join(found, F.col("cls") == F.col("node"), "left")
-        .select("digest", "doc_id", F.coalesce("component", "cls").alias("component"))
+        .select("digest", "cls", "doc_id", "text_key", F.coalesce("component", "cls").alias("component"))
+    )
+    best = reachable.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "cls")).alias("best")
     )
-    least_id = reachable.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = reachable.join(least_id, "component").select(F.col("digest").alias("_digest"), "component_id")
-    out = rows.join(named, F.col("digest") == F.col("_digest"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    named = reachable.join(best, "component").select(
+        F.col("digest").alias("_digest"), F.col("best.doc_id").alias("component_id"), F.col("best.cls").alias("keep_row")
+    )
+    some = F.col("n_shingles") > 0
+    return rows.join(named, F.col("digest") == F.col("_digest"), "left").select(
+        "doc_id",
+        "text_key",
+        "n_shingles",
+        F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("row_id") == F.col("keep_row")).otherwise(True).alias("kept"),
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates; the columns stay as they are.
 
-    Rows without words stay. Several rows with the kept id are thinned to one.
+    Rows without words stay. Rows are told apart by id and text, so ids may be null or repeat;
+    several rows with the id and text that stay are thinned to one.
     """
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "near-duplicates-kept")
-    decided = scratch.save(near_duplicates(docs, id_col, text_col, **options), "decided")
-    dropped = scratch.save(decided.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    table = F.broadcast(dropped) if dropped.count() <= SMALL_ROWS else dropped
-    out = docs.join(table, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    again = decided.filter("kept AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    if again.limit(1).count():
-        out = out.withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates([id_col, "_text"])
-    return out.select(*columns)
+    decided = scratch.save(_decisions(docs, id_col, text_col, **options), "decided")
+    touched = scratch.save(
+        decided.filter("n_shingles > 0")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+        .filter("NOT _stays OR _rows > 1")
+        .select("_id", "_key", "_stays"),
+        "touched",
+    )
+    table = F.broadcast(touched) if touched.count() <= SMALL_ROWS else touched
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
+    again = touched.filter("_stays")
+    if not again.limit(1).count():
+        return docs.join(table, same, "left_anti").select(*columns)
+    marked = docs.join(table, same, "left")
+    once = marked.filter("_stays").dropDuplicates(["_id", "_key"])
+    return marked.filter("_stays IS NULL").select(*columns).unionByName(once.select(*columns))
