@@ -176,6 +176,47 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(map(str, neardup.keep_one_of_each_group(same).collect())) == sorted(map(str, [Row(doc_id=i, text=t) for i, t in ((9, c), (10, a), (None, ""), (None, ""))]))
 
 
+def test_overlaps_count_each_pair():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 90))) for _ in range(70)] + [np.arange(5)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[30:]] for x in sets[:40]]
+    assert (neardup.overlaps(sets[:40], sets[30:], width=7) == want).all()
+
+
+def test_frequent_lists_are_divided(spark, monkeypatch):
+    """Templates below the threshold, with true copies of several sizes among them, in blocks of few sets."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 8)
+    common = " ".join(f"c{i}" for i in range(11))
+    long = " ".join(f"l{i}" for i in range(90))
+    texts = [f"{common} own{i}" for i in range(60)] + [common]
+    texts += [f"{common} x{i % 4} y{i % 4} z{i}" for i in range(12)]
+    texts += [f"{long} {' '.join(f'm{i % 3}v{j}' for j in range(20))} t{i}" for i in range(24)]
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=3, similarity=(85, 100)).collect()}
+    assert got == {i: find(i) for i in sets} and 1 < len(set(got.values())) < len(texts)
+
+    # Of one frequent list of sets of 10 with 9 common values no pair is compared; beside a set of 9 only pairs with that one.
+    entry = lambda i, n: (1, i, n, 9, i)
+    schema = "value long, cls long, n long, rest int, label long"
+    for members, want in (([entry(i, 10) for i in range(50)], Counter()), ([*(entry(i, 10) for i in range(50)), entry(99, 9)], Counter({(9, 9, 0): 1, (9, 10, 0): 1, (9, 10, 1): 50}))):
+        sized = neardup._by_sizes(spark.createDataFrame(members, schema), (85, 100), 64, neardup.Scratch(spark, "test")).collect()
+        assert Counter((r.size_a, r.size_b, r.side) for r in sized) == want
+
+
 @pytest.mark.parametrize("memory", [7, 1 << 20])
 def test_induced_sort(memory):
     rng = np.random.default_rng(memory)

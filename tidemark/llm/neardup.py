@@ -11,8 +11,15 @@ for sketches made of little else. In each list the members are linked to the lis
 of to each other, and the pair of sketches is merged into a sketch of the union, whose estimate
 drops hopeless pairs; exact Jaccard on full sets confirms the rest. A list whose other members are
 still in several components is then compared in full, block against block of a bounded number of
-shingles, and only links that join two components are emitted. So no link is lost, while a group
-of n copies costs about n pairs.
+sets and of shingles, and only links that join two components are emitted. So no link is lost,
+while a group of n copies costs about n pairs.
+
+A list of more than one block is first divided by size. Two sets can only be linked if their sizes
+are within the threshold of each other; and if both sketches are whole sets, the values from the
+list's own on (in the order of rarity) must make up the overlap that two such sizes need, or else
+the pair shares an earlier value and is found in that one's list. Only members that pass both for
+a pair of sizes are compared, so short texts that share a frequent template just below the
+threshold are not compared at all.
 
 The number of values to list follows from ``slack``: with similarity s, the values of the union
 sketch that both retain are at least k*s - slack*sqrt(k*s*(1-s)), and six deviations miss fewer than
@@ -30,13 +37,13 @@ are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, sqrt
+from math import ceil, log, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -49,8 +56,9 @@ SKETCH = 64
 SLACK = 7.0
 #: Rows up to which a table of ids may be broadcast; larger ones are joined by a shuffle.
 SMALL_ROWS = 1_000_000
-#: Shingles in one block of a list that is compared in full.
+#: Shingles and sets in one block of a list that is compared in full.
 BLOCK_SHINGLES = 1 << 19
+BLOCK_SETS = 1 << 12
 
 
 def least_overlap(n: int, similarity: float, k: int, slack: float) -> int:
@@ -105,46 +113,117 @@ def _confirm(similarity: tuple[int, int]):
     return run
 
 
-def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of their membership columns."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    renumbered = np.cumsum(shared) - 1
-    inside = shared[column]
-    owner, column = owner[inside], renumbered[column[inside]]
-    by_column = np.argsort(column, kind="stable")
-    owner, column = owner[by_column], column[by_column]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(shared.sum()), width):
-        at = slice(np.searchsorted(column, start), np.searchsorted(column, start + width))
-        member = np.zeros((len(sets), width), np.float32)
-        member[owner[at], column[at] - start] = 1
-        out += member @ member.T
-    return out.astype(np.int64)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one.
+
+    Shingles that few sets share are counted pair by pair, the others by products of their
+    membership columns.
+    """
+    n, m = len(left), len(right)
+    owner = np.repeat(np.arange(n + m), [len(s) for s in left + right])
+    _, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    on_left = owner < n
+    columns = int(column.max()) + 1 if len(column) else 0
+    times = [np.bincount(column[side], minlength=columns) for side in (on_left, ~on_left)]
+    pairs = times[0] * times[1]
+    out = np.zeros((n, m), np.float32)
+
+    def entries(side: np.ndarray, wanted: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(side & wanted[column])
+        at = at[np.argsort(column[at], kind="stable")]
+        return owner[at] - first, column[at]
+
+    few = (pairs > 0) & (pairs <= max(16, n * m // 256))
+    (i, ci), (j, cj) = entries(on_left, few, 0), entries(~on_left, few, n)
+    start, ends = np.searchsorted(cj, ci), np.cumsum(times[1][ci])
+    done = 0
+    while done < len(i):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 20), side="right")))
+        reps = times[1][ci[done:upto]]
+        inside = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+        np.add.at(out.reshape(-1), np.repeat(i[done:upto], reps) * m + j[np.repeat(start[done:upto], reps) + inside], 1)
+        done = upto
+
+    many = (pairs > 0) & ~few
+    number = np.cumsum(many) - 1
+    (i, ci), (j, cj) = entries(on_left, many, 0), entries(~on_left, many, n)
+    ci, cj = number[ci], number[cj]
+    for first in range(0, int(many.sum()), width):
+        size = min(width, int(many.sum()) - first)
+        member = [np.zeros((rows, size), np.float32) for rows in (n, m)]
+        for table, who, what in ((member[0], i, ci), (member[1], j, cj)):
+            at = slice(np.searchsorted(what, first), np.searchsorted(what, first + size))
+            table[who[at], what[at] - first] = 1
+        out += member[0] @ member[1].T
+    return out
 
 
 def _compare_block(similarity: tuple[int, int]):
-    """Links that join different components among the members of one block or of two."""
+    """Links that join different components among the members of one block or between two blocks."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if part["label"].nunique() < 2:
+        _, size_a, size_b, low, high = key
+        alone = size_a == size_b and low == high
+        on_left = part["side"].to_numpy() == 0
+        if part["label"].nunique() < 2 or not (alone or on_left.any() and not on_left.all()):
             return empty
+        at_a = np.arange(len(part)) if alone else np.flatnonzero(on_left)
+        at_b = at_a if alone else np.flatnonzero(~on_left)
         sets = [np.frombuffer(x, np.int64) for x in part["shingles"]]
         sizes = np.array([len(s) for s in sets])
-        linked = np.triu(_linked(overlaps(sets), sizes[:, None], sizes[None, :], similarity), 1)
+        counts = overlaps([sets[i] for i in at_a], [sets[i] for i in at_b])
         labels = part["label"].to_numpy().copy()
         ids, links = part["cls"].to_numpy(), []
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            if labels[i] != labels[j]:
-                labels[labels == labels[j]] = labels[i]
-                links.append((ids[i], ids[j]))
+        for row, i in enumerate(at_a):
+            linked = at_b[_linked(counts[row].astype(np.int64), sizes[i], sizes[at_b], similarity)]
+            others = linked[labels[linked] != labels[i]]
+            if len(others):
+                joined, first = np.unique(labels[others], return_index=True)
+                links += [(ids[i], ids[others[j]]) for j in first]
+                labels[np.isin(labels, joined)] = labels[i]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64") if links else empty
 
     return run
 
 
+def _n_blocks(n_sets: Column, n_shingles: Column) -> Column:
+    return F.greatest(F.ceil(n_sets / BLOCK_SETS), F.ceil(n_shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _by_sizes(members: DataFrame, similarity: tuple[int, int], k: int, scratch: Scratch) -> DataFrame:
+    """The members of frequent lists, for each pair of size classes whose sets can be linked.
+
+    Sizes of whole sketches, up to ``k``, are classes of their own; a larger set is in a class with
+    those up to ``1 / similarity`` times its size, so that linked ones are in the same class or in
+    neighbouring ones (the base is a little larger, against rounding).
+    """
+    part, whole = similarity
+    step = log(whole / part * 1.0001)
+    size = F.when(F.col("n") <= k, F.col("n")).otherwise(F.floor(F.log(F.col("n") / k) / step) + k + 1).cast("int")
+    sized = members.withColumn("size", size)
+    classes = scratch.save(sized.groupBy("value", "size").agg(F.max("rest").alias("most"), F.min("n").alias("from_n"), F.max("n").alias("to_n")), "sizes")
+    a, b = (classes.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "most", "from_n", "to_n")]) for x in "ab")
+    exact = F.col("size_b") <= k
+    need = F.when(exact, F.ceil((F.col("size_a") + F.col("size_b")) * part / (part + whole))).otherwise(0)
+    pairs = scratch.save(
+        a.join(b, "value")
+        .filter("size_a <= size_b")
+        .filter((F.col("to_n_a") * whole >= F.col("from_n_b") * part) & (exact | (F.col("size_a") <= k) | (F.col("size_b") - F.col("size_a") <= 1)))
+        .withColumn("need", need)
+        .filter("need <= least(most_a, most_b)")
+        .select("value", "size_a", "size_b", "need"),
+        "size-pairs",
+    )
+    left = sized.join(pairs.withColumnRenamed("size_a", "size").withColumn("size_a", F.col("size")), ["value", "size"]).withColumn("side", F.lit(0))
+    right = (
+        sized.join(pairs.filter("size_a < size_b").withColumnRenamed("size_b", "size").withColumn("size_b", F.col("size")), ["value", "size"])
+        .withColumn("side", F.lit(1))
+    )
+    columns = ["value", "size_a", "size_b", "side", "cls", "n", "label"]
+    return left.unionByName(right).filter("rest >= need").select(*columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``; see ``_decisions`` for the options."""
     return _decisions(docs, id_col, text_col, **options).drop("text_key")
@@ -203,14 +282,15 @@ def _decisions(
         .join(sketches, "cls")
         .withColumn("listed", listed.cast("int"))
         .filter("listed > 0")
-        .select("cls", "n", F.explode(F.slice("found", F.lit(1), F.col("listed"))).alias("entry"))
-        .select("cls", "n", F.col("entry.value").alias("value")),
+        .select("cls", "n", F.array_size("found").alias("shared"), F.posexplode(F.slice("found", F.lit(1), F.col("listed"))).alias("place", "entry"))
+        # ``rest``: the shared values from this one on.
+        .select("cls", "n", F.col("entry.value").alias("value"), (F.col("shared") - F.col("place")).alias("rest")),
         "entries",
     )
     heads = scratch.save(
         entries.groupBy("value").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "heads"
     )
-    members = scratch.save(entries.join(heads, "value").select("value", "cls", "n", "head"), "members")
+    members = scratch.save(entries.join(heads, "value").select("value", "cls", "n", "rest", "head"), "members")
     pairs = members.filter("cls != head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
 
     # The k smallest values of the union of two sketches, and how many of them both retain.
@@ -248,23 +328,49 @@ def _decisions(
     labelled = scratch.save(
         members.filter("cls != head")
         .join(first, F.col("cls") == F.col("node"), "left")
-        .select("value", "cls", "n", F.coalesce("component", "cls").alias("label")),
+        .select("value", "cls", "n", "rest", F.coalesce("component", "cls").alias("label")),
         "labelled",
     )
-    mixed = (
+    mixed = scratch.save(
         labelled.groupBy("value")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("shingles"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
         .filter("low < high")
-        .select("value", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
-    )
-    blocks = (
-        labelled.join(mixed, "value")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
-        .withColumn("with_block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("value", "cls", "label", F.least("block", "with_block").alias("low"), F.greatest("block", "with_block").alias("high"))
+        .select("value", _n_blocks(F.col("sets"), F.col("shingles")).alias("n_blocks")),
+        "mixed",
     )
+    single = labelled.join(mixed.filter("n_blocks = 1").select("value"), "value")
+    zero = F.lit(0)
+    blocks = single.select("value", *[zero.alias(c) for c in ("size_a", "size_b", "low", "high", "side")], "cls", "label")
+    if mixed.filter("n_blocks > 1").limit(1).count():
+        frequent = scratch.save(labelled.join(mixed.filter("n_blocks > 1").select("value"), "value"), "frequent")
+        sized = scratch.save(_by_sizes(frequent, similarity, k, scratch), "sized")
+        of_side = lambda side, what: F.sum(F.when(F.col("side") == side, what).otherwise(0))
+        tasks = (
+            sized.groupBy("value", "size_a", "size_b")
+            .agg(
+                F.min("label").alias("least_label"),
+                F.max("label").alias("most_label"),
+                *[of_side(side, what).alias(f"{name}_{side}") for side in (0, 1) for name, what in (("sets", 1), ("shingles", F.col("n")))],
+            )
+            .filter("least_label < most_label AND (size_a = size_b OR sets_0 > 0 AND sets_1 > 0)")
+            .select("value", "size_a", "size_b", *[_n_blocks(F.col(f"sets_{x}"), F.col(f"shingles_{x}")).alias(f"blocks_{x}") for x in (0, 1)])
+        )
+        same = F.col("size_a") == F.col("size_b")
+        mine = F.when(F.col("side") == 0, F.col("blocks_0")).otherwise(F.col("blocks_1"))
+        theirs = F.when(same | (F.col("side") == 1), F.col("blocks_0")).otherwise(F.col("blocks_1"))
+        dealt = (
+            sized.join(tasks, ["value", "size_a", "size_b"])
+            .withColumn("block", F.pmod(F.xxhash64("cls"), mine).cast("int"))
+            .withColumn("with_block", F.explode(F.sequence(zero, theirs - 1)))
+        )
+        low = F.when(same, F.least("block", "with_block")).when(F.col("side") == 0, F.col("block")).otherwise(F.col("with_block"))
+        high = F.when(same, F.greatest("block", "with_block")).when(F.col("side") == 0, F.col("with_block")).otherwise(F.col("block"))
+        side = F.when(same, (F.col("block") > F.col("with_block")).cast("int")).otherwise(F.col("side"))
+        blocks = blocks.unionByName(
+            dealt.select("value", "size_a", "size_b", low.alias("low"), high.alias("high"), side.alias("side"), "cls", "label")
+        )
     rest = scratch.save(
-        blocks.join(sets, "cls").groupBy("value", "low", "high").applyInPandas(_compare_block(similarity), "a long, b long"), "rest"
+        blocks.join(sets, "cls").groupBy("value", "size_a", "size_b", "low", "high").applyInPandas(_compare_block(similarity), "a long, b long"), "rest"
     )
     found = components(confirmed.unionByName(rest), "a", "b", "near-duplicates-all")
 
