@@ -346,6 +346,24 @@ def test_quotations(spark):
     assert sorted(got[1, t].reply_path for t in range(4)) == [got[1, t].reply_path for t in range(4)]
 
 
+def test_partial_quotations(spark):
+    first = "One is here. Two is there. Three is gone.\n\nNext part,\nsecond line,\nthird line.\n\nLast part."
+    rows = [
+        (0, first),
+        (1, "Something else.\nsecond line,\n\nthird line, other"),
+        (2, "> One is here. Two is there. Three is gone.\n>\n> Next part,\n> second line,\n> third line.\nTwo paragraphs"),
+        (3, "> Next part,\n> second line,\nTwo lines"),
+        (4, "> Two is there.\nOne sentence"),
+        (5, "> Two is there.\n> Three is gone.\nTwo sentences in lines of their own"),
+        (6, "> Three is gone.\n> One is here.\nNot in this order"),
+        (7, "> second line,\n> third line, other\nOf the later message"),
+        (8, "> Two is\nCut within a sentence"),
+    ]
+    docs = spark.createDataFrame([(1, t, "user", x) for t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.parent_turn for r in quotes.link_quotations(docs).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: 0, 6: None, 7: 1, 8: None}
+
+
 def test_warc(spark):
     page = "<html lang='en'><head><title>A &amp; B</title></head><body><script>x</script><p>One &lt;two</p><a href='/z'>link</a></body></html>"
     rows = [Row(page_id=1, url="http://a/", html=page), Row(page_id=2, url=None, html=None)]

@@ -1,10 +1,13 @@
 """Quotation linking: conversations in reply order, without the quotes.
 
 Built-in functions only. Leading ``>`` marks give the level of each line; consecutive lines of one
-level form a passage. A passage's normalised text (lower case, single spaces) is hashed and looked
-up among what the messages of the same conversation wrote themselves: their whole text, their
-paragraphs and their lines. The latest earlier message that wrote a first-level passage is the
-parent; deeper levels quote the parent's own quotes and only count where the first level finds
+level form a passage. Passages, and what the messages of the same conversation wrote themselves, are
+normalised (lower case, single spaces) and divided into paragraphs, lines and sentences. A message
+covers a passage if it wrote the whole of it, or each two neighbouring units of one of these kinds
+as neighbours (a single unit: that unit); hashes of units and of pairs of neighbours decide this.
+So a quote of any run of whole paragraphs, lines or sentences is found, one cut within a sentence
+is not. The latest earlier message that covers a first-level passage is the parent; deeper levels
+quote the parent's own quotes and only count where the first level finds
 nothing. Paths from the roots of the reply trees come from pointer doubling, so a chain of n
 replies takes log2(n) joins; sorting a conversation by ``reply_path`` puts each reply after what it
 answers, and no task has to hold a conversation.
@@ -53,6 +56,19 @@ def _passages(lines: Column) -> Column:
     return F.aggregate(lines, none, add)
 
 
+def _units(text: Column) -> list[Column]:
+    """The normalised text as a whole, its paragraphs, its lines, and the sentences of either."""
+    some = lambda parts: F.filter(F.transform(parts, _normal), lambda u: u != "")
+    sentences = lambda units: F.flatten(F.transform(units, lambda u: F.split(u, r"(?<=[.!?])\s+")))
+    paragraphs, lines = some(F.split(text, r"\n\s*\n")), some(F.split(text, r"\n"))
+    return [some(F.array(text)), paragraphs, lines, sentences(lines), sentences(paragraphs)]
+
+
+def _neighbours(units: Column) -> Column:
+    n = F.greatest(F.size(units) - 1, F.lit(0))
+    return F.zip_with(F.slice(units, F.lit(1), n), F.slice(units, F.lit(2), n), lambda a, b: F.concat_ws("\n", a, b))
+
+
 def link_quotations(
     messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -78,28 +94,38 @@ def link_quotations(
         F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"),
         F.filter("passages", lambda p: (p.getField("level") > 0) & (_normal(p.getField("text")) != "")).alias("quoted"),
     )
+    passage = F.col("passage.text")
     asked = (
         cleaned.filter(F.size("quoted") > 0)
         .select("conv_id", "turn", F.explode("quoted").alias("passage"))
-        .select("conv_id", "turn", F.col("passage.level").alias("level"), _hash(_normal(F.col("passage.text"))).alias("digest"))
+        .select(
+            "conv_id",
+            "turn",
+            F.col("passage.level").alias("level"),
+            _hash(_normal(passage)).alias("passage"),
+            F.posexplode(F.array(*[F.array_distinct(F.when(F.size(u) == 1, u).otherwise(_neighbours(u))) for u in _units(passage)])).alias("kind", "units"),
+        )
+        .select("conv_id", "turn", "level", "passage", "kind", F.size("units").alias("needed"), F.explode("units").alias("unit"))
+        .select("conv_id", "turn", "level", "passage", "kind", "needed", _hash(F.col("unit")).alias("digest"))
         .distinct()
     )
     asked = scratch.save(asked, "asked")
-    # What each message of a conversation with quotes wrote itself: all of it, its paragraphs, its lines.
-    units = F.array_distinct(
-        F.transform(F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", r"\n")), lambda u: _normal(u))
-    )
+    # What each message of a conversation with quotes wrote itself, in units and pairs of neighbours.
+    units = F.array_distinct(F.concat(*[part for u in _units(F.col("text")) for part in (u, _neighbours(u))]))
     written = (
         cleaned.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", F.col("turn").alias("by_turn"), F.explode(F.filter(units, lambda u: u != "")).alias("unit"))
+        .select("conv_id", F.col("turn").alias("by_turn"), F.explode(units).alias("unit"))
         .select("conv_id", "by_turn", _hash(F.col("unit")).alias("digest"))
         .distinct()
     )
     parents = scratch.save(
         asked.join(written, ["conv_id", "digest"])
         .filter("by_turn < turn")
+        .groupBy("conv_id", "turn", "level", "passage", "kind", "needed", "by_turn")
+        .count()
+        .filter("count = needed")
         .groupBy("conv_id", "turn")
-        .agg(F.min("level").alias("level"), F.max(F.struct(-F.col("level"), "by_turn")).alias("best"))
+        .agg(F.max(F.struct(-F.col("level"), "by_turn")).alias("best"))
         .select("conv_id", "turn", F.col("best.by_turn").alias("parent_turn")),
         "parents",
     )
