@@ -316,6 +316,34 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(empty(spark), "key").count() == 0
 
 
+def test_pseudonyms_of_values_beside_others_and_in_other_notations(spark):
+    card, invalid = "4111 1111 1111 1111", "4111 1111 1111 1112"
+    secrets = [
+        (f"order 1234 {card}", card),
+        (f"in 2021 {card}", card),
+        (f"+14155550123 {card}", card),
+        (f"+49 30 12345678 {card}", "12345678"),
+        ("call 415-555-0123 now", "415-555-0123"),
+        ("call +14155550123.", "4155550123"),
+        ("call +49 30 12345678", "30 12345678"),
+        ("call +33 1 42 68 53 00", "1 42 68 53 00"),
+        ("call 01 42 68 53 00", "1 42 68 53 00"),
+        ("on 2021/03/04", "2021/03/04"),
+        ("on 3 March 2021", "3 March 2021"),
+        ("on Mar 3, 2021 or", "Mar 3, 2021"),
+    ]
+    clean = [f"no {invalid}", "on 31 June 2021", "page 1234 of 2021", "2021/13/45"]
+    rows = list(enumerate([t for t, _ in secrets] + clean))
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    shape = lambda t: re.sub(r"\d", "0", t)
+    for i, (text, secret) in enumerate(secrets):
+        assert secret not in got[i], text
+        assert i >= 10 or shape(got[i]) == shape(text), text
+    assert got[0].startswith("order 1234 4") and got[1].startswith("in 2021 4") and got[0][-19:] == got[1][-19:] == got[2][-19:] == got[3][-19:]
+    assert re.fullmatch(r"on \d{1,2} [A-Z][a-z]+ \d{4}", got[10]) and re.fullmatch(r"on [A-Z][a-z]{2} \d{1,2}, \d{4} or", got[11])
+    assert [got[len(secrets) + i] for i in range(len(clean))] == clean
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert digits.select(pii.permuted_digits("key", "test", F.col("d"))).distinct().count() == 1000

@@ -12,12 +12,15 @@ card      13 to 19 digits, Luhn digit right              all but the first; the
 ip        four numbers of at most 255                    the 32 bits
 date      a day that exists, 1800-03-01 to 2200-02-28    the day; the same in every notation
 ssn       area, group and serial in use                  among those in use
-phone     10 to 15 digits with + or brackets             the last ten digits
+phone     8 to 15 digits with +, 10 to 15 with           the last ten digits; all but the first of
+          brackets, 3-3-4 digits, or 9 to 12 from a 0    fewer than ten, or after a leading 0
 email     name@host with a dotted host                   letters and digits of the name
 ========  =============================================  ========================================
 
 Separators, padding, the order of a date's parts and everything else in the text stay as they are.
-A value that fails its validation stays as it is.
+A value that fails its validation stays as it is. Cards are validated at each place where one may
+start, so a number before a card does not hide it, and phones end before a card, a date or an IP
+address. Dates are year first or last with separators, or with an English month name.
 
 Defined cases: a null text stays null, an empty one empty, both with 0 replaced. Repeated rows
 are treated alike. Texts of any length are rewritten whole. An empty table gives an empty result.
@@ -33,12 +36,32 @@ ROUNDS = 10
 
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
+ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])(?:\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2})(?![\d/])"
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = f"(?:{'|'.join(MONTHS)}|{'|'.join(m[:3] for m in MONTHS)})"
+NAMED_DATE = rf"(?<![\w.])\d{{1,2}} {MONTH},? \d{{4}}(?!\d)|\b{MONTH} \d{{1,2}}, \d{{4}}(?!\d)"
 DAY_DATE = r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d/])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)"
-CANDIDATE = "|".join([EMAIL, IP, ISO_DATE, DAY_DATE, SSN, CARD, PHONE])
+#: Plain national numbers: 3-3-4 digits, or groups from a leading 0 on.
+NATIONAL = r"(?<![\d+])(?<!\d[ ./-])(?:\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}(?:[ /-]\d{2,8}){1,4})(?![ ./-]?\d)"
+BRACKETED = r"(?<![\d+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"
+
+
+def candidates(cards: Column) -> Column:
+    """The pattern of all candidates in a text with these valid cards."""
+    card = F.when(F.size(cards) > 0, F.concat(F.lit(r"(?<![\d+])(?:"), F.array_join(cards, "|"), F.lit(r")(?!\d)"))).otherwise(F.lit(r"(?!)"))
+    before = F.concat(F.lit("|".join([EMAIL, IP, ISO_DATE, DAY_DATE, NAMED_DATE, SSN]) + "|"), card)
+    other = F.concat(card, F.lit(f"|{IP}|{ISO_DATE}|" + r"\d{1,2}[./]\d{1,2}[./]\d{4}(?!\d)"))
+    phone = F.concat(F.lit(r"|(?<![\w+])\+[1-9](?:\d{9,14}(?!\d)|(?:[ ./()-]{0,2}(?!"), other, F.lit(r")\d){7,14}(?!\d))"))
+    return F.concat(before, phone, F.lit(f"|{BRACKETED}|{NATIONAL}"))
+
+
+def valid_cards(text: Column) -> Column:
+    """The cards of a text, from each place where one may start."""
+    starts = F.when(text.rlike(r"\d[\d -]{11,}\d"), F.regexp_extract_all(text, F.lit(f"(?=({CARD}))"), F.lit(1)))
+    return F.coalesce(F.array_distinct(F.filter(starts, lambda v: let(_digits(v), _has_luhn_digit))), F.expr("CAST(array() AS array<string>)"))
+
 
 #: The days of one Gregorian cycle, 146,097 = 189 * 773, from this day on.
 FIRST_DAY, DAYS_HIGH, DAYS_LOW = "1800-03-01", 189, 773
@@ -111,10 +134,14 @@ def luhn_digit(payload: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
+def _has_luhn_digit(digits: Column) -> Column:
+    return luhn_digit(F.substring(digits, F.lit(1), F.char_length(digits) - 1)) == F.substring(digits, -1, 1)
+
+
 def _card(key: str, value: Column) -> Column:
     def swap(digits: Column) -> Column:
         payload = F.substring(digits, F.lit(1), F.char_length(digits) - 1)
-        valid = luhn_digit(payload) == F.substring(digits, -1, 1)
+        valid = _has_luhn_digit(digits)
         first = F.substring(digits, 1, 1)
         moved = F.concat(first, permuted_digits(key, "card", F.substring(payload, F.lit(2), F.char_length(payload) - 1)))
         return F.when(valid, let(moved, lambda p: _with_digits(value, F.concat(p, luhn_digit(p))))).otherwise(value)
@@ -154,8 +181,11 @@ def _ssn(key: str, value: Column) -> Column:
 def _phone(key: str, value: Column) -> Column:
     def swap(digits: Column) -> Column:
         n = F.char_length(digits)
-        valid = n.between(10, 15) & (F.startswith(value, F.lit("+")) | F.contains(value, F.lit("(")))
-        moved = F.concat(F.substring(digits, F.lit(1), n - 10), permuted_digits(key, "phone", F.substring(digits, n - 9, F.lit(10))))
+        plus, plain = F.startswith(value, F.lit("+")), value.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$")
+        trunk = ~plain & F.startswith(value, F.lit("0"))
+        valid = F.when(plus, n.between(8, 15)).when(trunk, n.between(9, 12)).otherwise(n.between(10, 15))
+        last = F.when(trunk | (n < 10), n - 1).otherwise(10).cast("int")
+        moved = F.concat(F.substring(digits, F.lit(1), n - last), permuted_digits(key, "phone", F.substring(digits, n - last + 1, last)))
         return F.when(valid, _with_digits(value, moved)).otherwise(value)
 
     return let(_digits(value), swap)
@@ -188,7 +218,7 @@ def _date(key: str, value: Column) -> Column:
             year, month, dom = (f(d).cast("int") for f in (F.year, F.month, F.dayofmonth))
             y, m, dd = F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(dom.cast("string"), 2, "0")
             return (
-                F.when(iso, F.concat(y, F.lit("-"), m, F.lit("-"), dd))
+                F.when(iso, F.concat(y, separator, m, separator, dd))
                 .when(day_first.isNotNull(), F.concat(dd, separator, m, separator, y))
                 .otherwise(F.concat(m, separator, dd, separator, y))
             )
@@ -198,6 +228,25 @@ def _date(key: str, value: Column) -> Column:
     return let(parts, swap)
 
 
+def _named_date(key: str, value: Column) -> Column:
+    """Day and month name in their order, the name as long or as short as it was."""
+    name = F.regexp_extract(value, MONTH, 0)
+    number = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(name, 1, 3))
+    year, dom = F.regexp_extract(value, r"(\d{4})$", 1), F.regexp_extract(value, r"(?<!\d)(\d{1,2})(?!\d)", 1)
+    day = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(dom, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+
+    def text(d: Column) -> Column:
+        full = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(d))
+        month = F.when((F.char_length(name) == 3) & (name != "May"), F.substring(full, 1, 3)).otherwise(full)
+        new_dom, new_year = F.dayofmonth(d).cast("string"), F.lpad(F.year(d).cast("string"), 4, "0")
+        comma = F.when(F.contains(value, F.lit(",")), ", ").otherwise(" ")
+        return F.when(value.rlike(r"^\d"), F.concat(new_dom, F.lit(" "), month, comma, new_year)).otherwise(
+            F.concat(month, F.lit(" "), new_dom, comma, new_year)
+        )
+
+    return F.coalesce(let(permuted_day(key, day), text), value)
+
+
 def _email(key: str, value: Column) -> Column:
     """A Feistel network over the halves of the name, character by character within its class."""
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -234,9 +283,10 @@ def pseudonym(key: str, value: Column) -> Column:
     return (
         F.when(F.contains(value, F.lit("@")), _email(key, value))
         .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), _ip(key, value))
-        .when(whole(r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}"), _date(key, value))
+        .when(whole(r"\d{4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}"), _date(key, value))
+        .when(value.rlike("[A-Z]"), _named_date(key, value))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _ssn(key, value))
-        .when(whole(r"\d[\d -]{11,}\d") & F.char_length(_digits(value)).between(13, 19), _card(key, value))
+        .when(whole(CARD), _card(key, value))
         .otherwise(_phone(key, value))
     )
 
@@ -248,11 +298,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         text.alias("text"),
-        F.when(worth, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("_values"),
-    )
+        F.when(worth, candidates(valid_cards(text))).alias("_pattern"),
+    ).withColumn("_values", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
     some = F.size("_values") > 0
     swapped = found.withColumn("_swapped", F.when(some, F.transform("_values", lambda v: pseudonym(key, v))))
-    gaps = F.split(F.col("text"), CANDIDATE, -1)
+    gaps = F.split(F.col("text"), F.col("_pattern"), -1)
     joined = F.concat(
         F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_swapped")), F.col("_swapped"), lambda g, v: F.concat(g, v)), ""),
         F.element_at(gaps, -1),
