@@ -406,6 +406,23 @@ def test_warc(spark):
         assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(r.text.encode()).digest()).decode()
 
 
+def test_warc_open_heads_and_source_fields(spark):
+    body = "<p>All of the page</p>"
+    for page in (
+        f"<html><head><title>T</title><body>{body}</body></html>",
+        f"<html><head><meta charset=utf-8><title>T</title><style>p {{}}</style>{body}",
+        f"<title>T</title>{body}",
+        f"<html><head><title>T</title></head><body>{body}</body></html>",
+    ):
+        assert warc.plain_text(page) == "All of the page"
+    docs = spark.createDataFrame([(1, "http://a/", body)], "page_id long, url string, html string")
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()
+    for r in warc.derivatives(docs, headers=F.lit("HTTP/1.1 203 X\r\nServer: s")).collect():
+        head = bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert f"WARC-Source-Payload-Digest: {digest}" in head
+        assert [x for x in head if "HTTP-Header" in x] == ["WARC-Source-HTTP-Header: HTTP/1.1 203 X", "WARC-Source-HTTP-Header: Server: s"]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
     columns = docs.columns

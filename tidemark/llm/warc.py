@@ -4,7 +4,9 @@ Each response gives two records that refer to it: ``metadata`` with fields taken
 (title, language, charset, outlinks) and ``conversion`` with its plain text. Both keep the
 response's target URI, date and record id (``WARC-Refers-To``), and carry its HTTP header lines
 and payload digest beside their own block digest, length and identifiers. ``record`` holds the
-whole WARC/1.1 record as bytes, ready to be written one after the other.
+whole WARC/1.1 record as bytes, ready to be written one after the other; the source's payload
+digest and header lines are extension fields in it (``WARC-Source-Payload-Digest``, and one
+``WARC-Source-HTTP-Header`` for each line), as the standard fields describe the record itself.
 
 Record ids are URNs of type-5 UUIDs of the URI, the payload digest and the kind of record, so a
 rebuilt record has the id it had before. The work is one pass over the rows without a shuffle.
@@ -35,7 +37,10 @@ RECORD = (
     "text string, record binary"
 )
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: The end tag of the head may be missing; then the body, if it has a tag, ends it.
+_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.I | re.S)
+_HEAD_TITLE = re.compile(r"<title\b[^>]*>.*?</title\s*>", re.I | re.S)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>", re.I
 )
@@ -58,7 +63,10 @@ def urn(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """The visible text, a line for each block element, entities decoded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    shown, heads = _HEAD.subn(" ", _HIDDEN.sub(" ", page), count=1)
+    if not heads:
+        shown = _HEAD_TITLE.sub(" ", shown, count=1)
+    text = _TAG.sub("", _BREAK.sub("\n", shown))
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
 
 
@@ -84,6 +92,8 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, block_digest = urn(uri or "", payload_digest, kind), digest(block)
                 lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Refers-To: {response}"]
                 lines += [f"WARC-Target-URI: {uri}"] if uri else []
+                lines += [f"WARC-Source-Payload-Digest: {payload_digest}"]
+                lines += [f"WARC-Source-HTTP-Header: {line}" for line in (headers or "").splitlines() if line.strip()]
                 lines += [f"WARC-Date: {date}", f"WARC-Block-Digest: {block_digest}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
                 record = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
                 rows.append((page_id, kind, own, response, uri, date, content_type, headers, payload_digest, block_digest, len(block), text, record))
