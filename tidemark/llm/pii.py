@@ -1,9 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates.
 
-Only built-in functions: each text is split at its candidate values, each validated value goes
-through a keyed Feistel network over exactly the set of values of its format, and the parts are
-joined again. The networks are permutations, so equal values get equal pseudonyms in all
-documents and different ones stay different.
+Only built-in functions: one pass of a fixed pattern marks the candidate values of a text, each
+validated value goes through a keyed Feistel network over exactly the set of values of its format,
+and the parts are joined again. The networks are permutations, so equal values get equal pseudonyms
+in all documents and different ones stay different. All patterns have possessive or bounded
+repetitions, so the work grows with a text's length and not with its square.
 
 ========  =============================================  ========================================
 kind      validated by                                   permuted
@@ -14,7 +15,9 @@ date      a day that exists, 1800-03-01 to 2200-02-28    the day; the same in ev
 ssn       area, group and serial in use                  among those in use
 phone     8 to 15 digits with +, 10 to 15 with           the last ten digits; all but the first of
           brackets, 3-3-4 digits, or 9 to 12 from a 0    fewer than ten, or after a leading 0
-email     name@host with a dotted host                   letters and digits of the name
+email     name@host, at most 64 characters, a dotted     letters and digits of the name; of letters
+          host with two letters after a dot              beyond A-Z those of the same Unicode block
+iban      15 to 34 characters, remainder 97 right        the last 18 digits; check digits follow
 ========  =============================================  ========================================
 
 Separators, padding, the order of a date's parts and everything else in the text stay as they are.
@@ -22,6 +25,8 @@ A value that fails its validation stays as it is. Cards are validated at each pl
 start, so a number before a card does not hide it, and phones end before a card, a date or an IP
 address. Dates are year first or last with separators, or with an English month name.
 
+The key comes from a one-row table through a scalar subquery, so neither plans nor event logs show it.
+
 Defined cases: a null text stays null, an empty one empty, both with 0 replaced. Repeated rows
 are treated alike. Texts of any length are rewritten whole. An empty table gives an empty result.
 Only the id and text columns are read.
@@ -34,7 +39,16 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Marks inside a text while it is taken apart: a noncharacter and a second one that tells what it
+#: stands for. The text's own are escaped first, so no text can be mistaken for a mark.
+ESCAPE, CARD_HERE, ITSELF, VALUE = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2", "\ufdd0\ufdd3"
+
+NAME = r"[\p{L}\p{N}._%+\x{FDD0}\x{FDD1}-]"
+#: The name's limit of 64 characters is that of RFC 5321.
+EMAIL = rf"(?<!{NAME}){NAME}{{1,64}}+@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{{2}})[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+#: A card may seem to start at any of its groups.
+_HERE = f"(?:{CARD_HERE})?"
+IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}{_HERE}\d{{2}}(?: ?{_HERE}[A-Z0-9]{{4}}){{2,7}}(?: ?{_HERE}[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])(?:\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2})(?![\d/])"
 MONTHS = "January February March April May June July August September October November December".split()
@@ -48,19 +62,25 @@ NATIONAL = r"(?<![\d+])(?<!\d[ ./-])(?:\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}(?:[ /-
 BRACKETED = r"(?<![\d+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)"
 
 
-def candidates(cards: Column) -> Column:
-    """The pattern of all candidates in a text with these valid cards."""
-    card = F.when(F.size(cards) > 0, F.concat(F.lit(r"(?<![\d+])(?:"), F.array_join(cards, "|"), F.lit(r")(?!\d)"))).otherwise(F.lit(r"(?!)"))
-    before = F.concat(F.lit("|".join([EMAIL, IP, ISO_DATE, DAY_DATE, NAMED_DATE, SSN]) + "|"), card)
-    other = F.concat(card, F.lit(f"|{IP}|{ISO_DATE}|" + r"\d{1,2}[./]\d{1,2}[./]\d{4}(?!\d)"))
-    phone = F.concat(F.lit(r"|(?<![\w+])\+[1-9](?:\d{9,14}(?!\d)|(?:[ ./()-]{0,2}(?!"), other, F.lit(r")\d){7,14}(?!\d))"))
-    return F.concat(before, phone, F.lit(f"|{BRACKETED}|{NATIONAL}"))
+CARD_START = rf"(?={CARD})"
+PHONE = rf"(?<![\w+])\+[1-9](?:\d{{9,14}}(?!\d)|(?:[ ./()-]{{0,2}}(?!{CARD_HERE}|{IP}|{ISO_DATE}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}(?!\d))\d){{7,14}}(?!\d))"
+#: A valid card, which may have further marks where its own groups could start another one.
+MARKED_CARD = rf"{CARD_HERE}(?:\d{{13,19}}|\d{{4}}(?:[ -]{_HERE}\d{{4}}){{2}}[ -]{_HERE}\d{{1,7}}|\d{{4}}[ -]{_HERE}\d{{6}}[ -]{_HERE}\d{{5}})(?!\d)"
+CANDIDATE = "|".join([EMAIL, IP, ISO_DATE, DAY_DATE, NAMED_DATE, SSN, IBAN, MARKED_CARD, PHONE, BRACKETED, NATIONAL])
 
 
-def valid_cards(text: Column) -> Column:
-    """The cards of a text, from each place where one may start."""
-    starts = F.when(text.rlike(r"\d[\d -]{11,}\d"), F.regexp_extract_all(text, F.lit(f"(?=({CARD}))"), F.lit(1)))
-    return F.coalesce(F.array_distinct(F.filter(starts, lambda v: let(_digits(v), _has_luhn_digit))), F.expr("CAST(array() AS array<string>)"))
+def with_card_marks(text: Column) -> Column:
+    """``text`` with a mark before each valid card, from every place where one may start.
+
+    The text is split before each such place; the candidate that starts there comes from a second
+    pass, so both have the same order, and the parts are joined with a mark where it is valid.
+    """
+    parts = F.split(text, CARD_START, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?=({CARD}))"), F.lit(1)), lambda v: let(_digits(v), _has_luhn_digit))
+    # A candidate at the very start leaves no part before it.
+    before = F.when(text.rlike(f"^{CARD_START}"), F.expr("CAST(array() AS array<boolean>)")).otherwise(F.array(F.lit(False)))
+    marks = F.zip_with(parts, F.concat(before, found), lambda p, valid: F.concat(F.when(valid, F.lit(CARD_HERE)).otherwise(""), p))
+    return F.when(text.rlike(r"\d(?:[ -]?\d){12}"), F.array_join(marks, "")).otherwise(text)
 
 
 #: The days of one Gregorian cycle, 146,097 = 189 * 773, from this day on.
@@ -72,13 +92,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _round_value(key: str, kind: str, number: Column, other: Column) -> Column:
+def _round_value(key: Column | str, kind: str, number: Column, other: Column) -> Column:
     """60 bits that depend on the key, the kind of value, the round and the other half."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), other.cast("string")), 256)
+    secret = key if isinstance(key, Column) else F.lit(key)
+    digest = F.sha2(F.concat_ws("|", secret, F.lit(kind), number.cast("string"), other.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: str, high: Column, low: Column, highs: Column, lows: Column) -> Column:
+def feistel(key: Column | str, kind: str, high: Column, low: Column, highs: Column, lows: Column) -> Column:
     """The permutation of all pairs of ``high`` below ``highs`` and ``low`` below ``lows``."""
 
     def step(state: Column, number: Column) -> Column:
@@ -93,7 +114,7 @@ def feistel(key: str, kind: str, high: Column, low: Column, highs: Column, lows:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def permuted_digits(key: str, kind: str, digits: Column) -> Column:
+def permuted_digits(key: Column | str, kind: str, digits: Column) -> Column:
     """A string of 2 to 20 digits, permuted among those of its length."""
     n = F.char_length(digits)
     left = F.floor(n / 2).cast("int")
@@ -138,7 +159,7 @@ def _has_luhn_digit(digits: Column) -> Column:
     return luhn_digit(F.substring(digits, F.lit(1), F.char_length(digits) - 1)) == F.substring(digits, -1, 1)
 
 
-def _card(key: str, value: Column) -> Column:
+def _card(key: Column | str, value: Column) -> Column:
     def swap(digits: Column) -> Column:
         payload = F.substring(digits, F.lit(1), F.char_length(digits) - 1)
         valid = _has_luhn_digit(digits)
@@ -149,7 +170,7 @@ def _card(key: str, value: Column) -> Column:
     return let(_digits(value), swap)
 
 
-def _ip(key: str, value: Column) -> Column:
+def _ip(key: Column | str, value: Column) -> Column:
     def swap(parts: Column) -> Column:
         number = lambda i: F.element_at(parts, i).cast("int")
         valid = F.forall(parts, lambda p: p.cast("int") <= 255)
@@ -160,7 +181,7 @@ def _ip(key: str, value: Column) -> Column:
     return let(F.split(value, r"\."), swap)
 
 
-def _ssn(key: str, value: Column) -> Column:
+def _ssn(key: Column | str, value: Column) -> Column:
     def swap(digits: Column) -> Column:
         area, group, serial = (F.substring(digits, a, n).cast("int") for a, n in ((1, 3), (4, 2), (6, 4)))
         valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -178,7 +199,7 @@ def _ssn(key: str, value: Column) -> Column:
     return let(_digits(value), swap)
 
 
-def _phone(key: str, value: Column) -> Column:
+def _phone(key: Column | str, value: Column) -> Column:
     def swap(digits: Column) -> Column:
         n = F.char_length(digits)
         plus, plain = F.startswith(value, F.lit("+")), value.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$")
@@ -191,7 +212,7 @@ def _phone(key: str, value: Column) -> Column:
     return let(_digits(value), swap)
 
 
-def permuted_day(key: str, day: Column) -> Column:
+def permuted_day(key: Column | str, day: Column) -> Column:
     """Another day of the same Gregorian cycle; null outside it."""
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     state = feistel(key, "date", F.floor(number / DAYS_LOW), number % DAYS_LOW, F.lit(DAYS_HIGH), F.lit(DAYS_LOW))
@@ -199,7 +220,7 @@ def permuted_day(key: str, day: Column) -> Column:
     return F.when(number.between(0, DAYS_HIGH * DAYS_LOW - 1), moved)
 
 
-def _date(key: str, value: Column) -> Column:
+def _date(key: Column | str, value: Column) -> Column:
     """ISO notation, or day.month.year with month/day/year where only that is a date."""
     parts = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
 
@@ -228,7 +249,7 @@ def _date(key: str, value: Column) -> Column:
     return let(parts, swap)
 
 
-def _named_date(key: str, value: Column) -> Column:
+def _named_date(key: Column | str, value: Column) -> Column:
     """Day and month name in their order, the name as long or as short as it was."""
     name = F.regexp_extract(value, MONTH, 0)
     number = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(name, 1, 3))
@@ -247,10 +268,12 @@ def _named_date(key: str, value: Column) -> Column:
     return F.coalesce(let(permuted_day(key, day), text), value)
 
 
-def _email(key: str, value: Column) -> Column:
+def _email(key: Column | str, value: Column) -> Column:
     """A Feistel network over the halves of the name, character by character within its class."""
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    classes = ((48, 10), (65, 26), (97, 26))
+    # First code and number of each class: digits, ASCII letters, letters of Latin-1 and Latin Extended-A
+    # (without the signs among them), Greek and Cyrillic.
+    classes = ((48, 10), (65, 26), (97, 26), (192, 23), (216, 31), (248, 8), (256, 128), (945, 25), (1040, 32), (1072, 32))
 
     def moved(half: Column, other: Column, number: Column) -> Column:
         def one(char: Column, at: Column) -> Column:
@@ -259,7 +282,7 @@ def _email(key: str, value: Column) -> Column:
             found = char
             for first, size in classes:
                 inside = code.between(first, first + size - 1)
-                found = F.when(inside, F.chr((F.pmod(code - first + shift, F.lit(size)) + first).cast("long"))).otherwise(found)
+                found = F.when(inside, _character(F.pmod(code - first + shift, F.lit(size)) + first)).otherwise(found)
             return found
 
         return F.array_join(F.transform(F.regexp_extract_all(half, F.lit("(?s)."), F.lit(0)), one), "")
@@ -277,13 +300,48 @@ def _email(key: str, value: Column) -> Column:
     )
 
 
-def pseudonym(key: str, value: Column) -> Column:
+def _character(code: Column) -> Column:
+    """The character of a code point below 2,048."""
+    two = F.unhex(F.lpad(F.hex((49280 + F.floor(code / 64) * 256 + code % 64).cast("long")), 4, "0"))
+    return F.when(code < 128, F.chr(code.cast("long"))).otherwise(F.decode(two, "UTF-8"))
+
+
+def _remainder_97(text: Column) -> Column:
+    """The remainder of a string of digits and capital letters (A is 10) as ISO 7064 takes it."""
+
+    def step(rest: Column, char: Column) -> Column:
+        code = F.ascii(char)
+        return F.when(code < 65, rest * 10 + code - 48).otherwise(rest * 100 + code - 55) % 97
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("."), F.lit(0)), F.lit(0), step)
+
+
+def _iban(key: Column | str, value: Column) -> Column:
+    def swap(plain: Column) -> Column:
+        country, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.char_length(plain))
+        valid = F.char_length(plain).between(15, 34) & (_remainder_97(F.concat(rest, F.substring(plain, 1, 4))) == 1)
+        digits = _digits(rest)
+        last = F.least(F.char_length(digits), F.lit(18))
+        kept = F.char_length(digits) - last
+        moved = F.concat(F.substring(digits, F.lit(1), kept), permuted_digits(key, "iban", F.substring(digits, kept + 1, last)))
+
+        def with_check(body: Column) -> Column:
+            check = F.lpad((98 - _remainder_97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+            return _with_digits(value, F.concat(check, _digits(body)))
+
+        return F.when(valid & (F.char_length(digits) >= 2), let(_with_digits(rest, moved), with_check)).otherwise(value)
+
+    return let(F.replace(value, F.lit(" "), F.lit("")), swap)
+
+
+def pseudonym(key: Column | str, value: Column) -> Column:
     """The pseudonym of one candidate value, or the value itself where it is not valid."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     return (
         F.when(F.contains(value, F.lit("@")), _email(key, value))
         .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), _ip(key, value))
         .when(whole(r"\d{4}[-/.]\d{2}[-/.]\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}"), _date(key, value))
+        .when(whole(IBAN), _iban(key, value))
         .when(value.rlike("[A-Z]"), _named_date(key, value))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _ssn(key, value))
         .when(whole(CARD), _card(key, value))
@@ -293,24 +351,25 @@ def pseudonym(key: str, value: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, text, n_candidates, n_replaced``."""
-    text = F.col(text_col)
-    worth = text.rlike(r"[0-9]|@")
-    found = docs.select(
-        F.col(id_col).alias("doc_id"),
-        text.alias("text"),
-        F.when(worth, candidates(valid_cards(text))).alias("_pattern"),
-    ).withColumn("_values", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))))
-    some = F.size("_values") > 0
-    swapped = found.withColumn("_swapped", F.when(some, F.transform("_values", lambda v: pseudonym(key, v))))
-    gaps = F.split(F.col("text"), F.col("_pattern"), -1)
-    joined = F.concat(
-        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_swapped")), F.col("_swapped"), lambda g, v: F.concat(g, v)), ""),
-        F.element_at(gaps, -1),
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    secret = docs.sparkSession.createDataFrame([(key,)], "secret string")
+    worth = F.col("text").rlike(r"[0-9]|@")
+    escaped = F.replace(F.col("text"), F.lit(ESCAPE), F.lit(ITSELF))
+    marked = F.replace(F.regexp_replace(with_card_marks(escaped), CANDIDATE, VALUE + "$0" + VALUE), F.lit(CARD_HERE), F.lit(""))
+    # Gaps and values take turns, a gap first and last.
+    parts = (
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        .withColumn("secret", secret.scalar())
+        .withColumn("parts", F.when(worth, F.split(marked, VALUE, -1)))
+        .withColumn("swapped", F.transform("parts", lambda v, i: F.when(i % 2 == 1, pseudonym(F.col("secret"), v)).otherwise(v)))
     )
-    changed = F.size(F.filter(F.zip_with("_values", "_swapped", lambda a, b: a != b), lambda x: x))
-    return swapped.select(
+    some = F.size("parts") > 1
+    joined = F.replace(F.array_join("swapped", ""), F.lit(ITSELF), F.lit(ESCAPE))
+    changed = F.size(F.filter(F.zip_with("parts", "swapped", lambda a, b: a != b), lambda x: x))
+    return parts.select(
         "doc_id",
         F.when(some, joined).otherwise(F.col("text")).alias("text"),
-        F.when(some, F.size("_values")).otherwise(0).cast("long").alias("n_candidates"),
+        F.when(some, F.floor(F.size("parts") / 2)).otherwise(0).cast("long").alias("n_candidates"),
         F.when(some, changed).otherwise(0).cast("long").alias("n_replaced"),
     )

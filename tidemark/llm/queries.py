@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,8 +88,11 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pseudonym_key() -> str:
-    """The secret of the pseudonyms; TIDEMARK_PSEUDONYM_KEY replaces the one for tests."""
-    return os.environ.get("TIDEMARK_PSEUDONYM_KEY", "tidemark-test-key")
+    """The secret of the pseudonyms from TIDEMARK_PSEUDONYM_KEY.
+
+    Without it each call draws a new one: values stay linked within a run, but not between runs.
+    """
+    return os.environ.get("TIDEMARK_PSEUDONYM_KEY") or secrets.token_hex(32)
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
