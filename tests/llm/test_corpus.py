@@ -371,7 +371,7 @@ def test_quotations(spark):
         (1, 2, "ok"),
         (None, 0, ""),
     ]
-    assert sorted(got[1, t].reply_path for t in range(4)) == [got[1, t].reply_path for t in range(4)]
+    assert [(got[1, t].root_turn, got[1, t].position) for t in range(5)] == [(0, 0), (0, 1), (0, 2), (0, 3), (4, 0)]
 
 
 def test_partial_quotations(spark):
