@@ -87,7 +87,8 @@ class WordTokenizer(dict):
         if self.direct:
             core = word.rstrip(b".,;:!?()*%#&$\"-")
             if len(core) < len(word) and core:
-                if core.isalpha() or not core.isascii() and core.decode().isalpha():
+                # Letters that grow when lowered may end in a mark, which joins the punctuation.
+                if core.isalpha() or not core.isascii() and (text := core.decode()).isalpha() and len(text.lower()) == len(text):
                     return self[core] + self[word[len(core) :]]
             elif core:
                 text = core.decode()
@@ -96,8 +97,8 @@ class WordTokenizer(dict):
                     lower = text.lower()
                     plain = lower.isalpha() and len(lower) == len(text) and "\u03c2" not in lower and "\u03c3" not in lower
                     text = lower.encode().decode("latin-1").translate(self.alphabet) if plain and unicodedata.is_normalized("NFC", text) else ""
-                elif not text.isalpha():
-                    text = ""
+                else:
+                    text = text.lower() if text.isalpha() else ""
                 if text:
                     ids = [t.id for t in self.model.tokenize(text)]
                     return struct.pack(f"<{len(ids)}I", *ids)
