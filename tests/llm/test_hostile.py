@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, quotes
+from tidemark.llm import packing, pii, queries, quotes, warc
 
 MANY = 100_000
 
@@ -129,3 +129,67 @@ def test_quotation_tables_with_repeated_rows_and_clashing_columns(spark):
     got = quotes.link_quotations(docs).collect()
     assert sorted((str(r.conv_id), str(r.turn), str(r.parent_turn)) for r in got) == sorted([("1", "0", "None"), ("1", "1", "0"), ("1", "1", "0"), ("None", "1", "None"), ("1", "None", "None")])
     assert quotes.link_quotations(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<a " * 3_000_000, None),
+        ("<html " * 200_000, None),
+        ("<a href=\"" * MANY + ">end", None),
+        ("<a href='x\">" * MANY, None),
+        ("<!-- " * MANY, ""),
+        ("<script>" * MANY, ""),
+        ("<" * 10 * MANY, "<" * 10 * MANY),
+        ("a" + " " * 10 * MANY + "b", "a b"),
+        ("<head>" * MANY + "<body>seen", "seen"),
+        ("<meta " + "charset " * MANY + ">x", "x"),
+        ("&#" + "1" * MANY + "; &#0000065;", "\ufffd A"),
+        ("&" * MANY, "&" * MANY),
+    ],
+)
+def test_pages_of_hostile_texts(page, shown):
+    found = within(10, lambda: warc.read_page(page))
+    assert shown is None or found[1] == shown
+
+
+def test_tags_with_marks_in_attributes():
+    fields, shown = warc.read_page("<p title='a > b'>One</p><a title=\"x>y\" href=\"/z?a=1&amp;b=2\">two</a> 1 < 2 <b class=x'>three</b><a href='>never closed")
+    assert shown == "One\ntwo 1 < 2 threenever closed" and fields == "outlink: /z?a=1&b=2 L a/@href\r\n"
+
+
+def test_records_with_line_breaks_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "http://a/\r\nX: y", "<p>t", "r", "d"), (1, "http://a/\r\nX: y", "<p>t", "r", "d"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, record string, date string")
+    got = warc.derivatives(docs).collect()
+    assert len(got) == 6 and all(b"\r\nX: y" not in bytes(r.record) for r in got)
+    assert b"WARC-Target-URI: http://a/%0D%0AX:%20y\r\n" in bytes(got[0].record)
+    assert warc.derivatives(docs.limit(0)).count() == 0
+
+
+def test_packing_ids_of_any_text():
+    import random
+
+    tokenizer = packing.WordTokenizer(queries.tokenizer_file())
+    draw = random.Random(11)
+    alphabets = [
+        "abcXYZ.,;:!?()*%#&$\"- '\n\t",
+        "\u0130\u0131\u00df\u1e9e\u03a3\u03c3\u03c2\u0149\u01f0 .,!-aB",
+        "e\u0301\u00e9\u0307I\u0130 .-",
+        "".join(map(chr, range(0x20, 0x250))),
+        "".join(map(chr, [*range(0x370, 0x530), 32, 46])),
+        "<|endoftext|>UNK[] .a",
+    ]
+    for round_ in range(6000):
+        if round_ % 7:
+            text = "".join(draw.choices(alphabets[round_ % 6], k=draw.randrange(1, 40)))
+        else:
+            text = "".join(c for c in map(chr, (draw.randrange(1, 0x30000) for _ in range(20))) if not "\ud800" <= c <= "\udfff")
+        assert tokenizer.encode(text) == tokenizer._by_tokenizer(text), ascii(text)
+
+
+def test_packing_pads_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ends = packing.pack(docs, queries.tokenizer_file()).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()["n"]
+    padded = sum(1 << (int(n) - 1).bit_length() for n in ends if n & (n - 1) == 0) + sum(2048 for n in ends if n & (n - 1))
+    assert padded >= ends.sum() and (padded - ends.sum()) / padded < 0.01

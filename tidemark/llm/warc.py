@@ -37,20 +37,61 @@ RECORD = (
     "text string, record binary"
 )
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: A tag with its attributes; a value in quotes may hold ``>``. Possessive, so a failure costs one pass.
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_TAG_START = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+#: Elements whose content is no text of the page, up to their end tag or the page's end.
+_HIDDEN = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "noscript", "template", "title")}
 #: The end tag of the head may be missing; then the body, if it has a tag, ends it.
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.I | re.S)
-_HEAD_TITLE = re.compile(r"<title\b[^>]*>.*?</title\s*>", re.I | re.S)
-_BREAK = re.compile(
-    r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>", re.I
+_HEAD_END = re.compile(r"</head\b|<body\b", re.I)
+_BREAKS = set(
+    "address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split()
 )
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _SPACES = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r" *\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LINES = re.compile(r" ?\n\s*")
+_LONG_NUMBER = re.compile(r"&#0*+[0-9]{8,}+;?")
+_LINE_BREAKS = re.compile(r"[\x00-\x20\x7f]")
+
+
+def _tags(page: str):
+    """The page in one pass: ``(text, name, closing, attributes)``, the text being that before the tag.
+
+    A quote that is never closed would hide the rest of the page; from there on a tag ends at the
+    next ``>``. Hidden elements are passed over, with their content in place of attributes; text of
+    the head is left out.
+    """
+    at = look = quiet_until = 0
+    quotes, heads = True, 0
+    while (where := page.find("<", look)) >= 0:
+        name, closing, attributes = "", False, ""
+        if page.startswith("<!--", where):
+            end = page.find("-->", where + 4) + 3
+            end = end if end > 2 else len(page)
+        elif page.startswith(("<!", "<?"), where):
+            end = page.find(">", where) + 1
+        elif quotes and (tag := _TAG.match(page, where)):
+            closing, name, attributes, end = tag[1] == "/", tag[2].lower(), tag[3], tag.end()
+        elif start := _TAG_START.match(page, where):
+            end, quotes = page.find(">", where) + 1, False
+            closing, name, attributes = start[1] == "/", start[2].lower(), page[start.end() : max(end - 1, 0)]
+        else:
+            look = where + 1
+            continue
+        if not end:
+            break
+        text = page[at:where] if at >= quiet_until else ""
+        if not closing and name in _HIDDEN:
+            content_from, found = end, _HIDDEN[name].search(page, end)
+            end = found.start() if found else len(page)
+            attributes = page[content_from:end]
+        elif name == "head" and not closing:
+            heads += 1
+            found = _HEAD_END.search(page, end) if heads == 1 else None
+            quiet_until = found.start() if found else quiet_until
+        yield text, name, closing, attributes
+        at = look = end
+    yield page[at:] if at >= quiet_until else "", "", True, ""
 
 
 def digest(block: bytes) -> str:
@@ -61,20 +102,40 @@ def urn(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(parts))}>"
 
 
-def plain_text(page: str) -> str:
-    """The visible text, a line for each block element, entities decoded."""
-    shown, heads = _HEAD.subn(" ", _HIDDEN.sub(" ", page), count=1)
-    if not heads:
-        shown = _HEAD_TITLE.sub(" ", shown, count=1)
-    text = _TAG.sub("", _BREAK.sub("\n", shown))
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
+def _unescaped(text: str) -> str:
+    # Numbers beyond Unicode, of any length, are the replacement character.
+    return html.unescape(_LONG_NUMBER.sub("�", text))
+
+
+def read_page(page: str) -> tuple[str, str]:
+    """Metadata fields and the visible text, a line for each block element, entities decoded."""
+    one_line = lambda found: " ".join(_unescaped(found).split())
+    named, links, parts = {}, [], []
+    for text, name, closing, attributes in _tags(page):
+        parts.append(text)
+        if name == "title" and not closing:
+            named.setdefault("title", one_line(attributes))
+            parts.append(" ")
+        elif name in _BREAKS:
+            parts.append("\n")
+        elif name == "" or name in _HIDDEN:
+            parts.append(" ")
+        if not closing and name in ("html", "meta", "a"):
+            for key, *values in _ATTRIBUTE.findall(attributes):
+                value = next(filter(None, values), "")
+                if name == "a" and key.lower() == "href":
+                    links += [one_line(value)] if value.strip("\"'") else []
+                    break
+                if value and (name, key.lower()) in (("html", "lang"), ("meta", "charset")):
+                    named.setdefault({"lang": "language"}.get(key.lower(), "charset"), one_line(value))
+    fields = [(name, named[name]) for name in ("title", "language", "charset") if name in named]
+    fields += [("outlink", f"{link} L a/@href") for link in links]
+    shown = _LINES.sub("\n", _SPACES.sub(" ", _unescaped("".join(parts)))).strip()
+    return "".join(f"{name}: {value}\r\n" for name, value in fields), shown
 
 
-def metadata_fields(page: str) -> str:
-    one_line = lambda found: " ".join(html.unescape(found).split())
-    fields = [(name, one_line(m[1])) for name, pattern in (("title", _TITLE), ("language", _LANG), ("charset", _CHARSET)) if (m := pattern.search(page))]
-    fields += [("outlink", f"{one_line(a or b or c)} L a/@href") for a, b, c in _LINK.findall(page)]
-    return "".join(f"{name}: {value}\r\n" for name, value in fields)
+def plain_text(page: str) -> str:
+    return read_page(page)[1]
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +145,13 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = payload or ""
             payload_digest = digest(payload.encode())
             response = given or urn(uri or "", payload_digest, "response")
-            for kind, content_type, text in (
-                ("metadata", "application/warc-fields", metadata_fields(payload)),
-                ("conversion", "text/plain; charset=utf-8", plain_text(payload)),
-            ):
+            fields, shown = read_page(payload)
+            target = _LINE_BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", uri or "")
+            for kind, content_type, text in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", shown)):
                 block = text.encode()
                 own, block_digest = urn(uri or "", payload_digest, kind), digest(block)
                 lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Refers-To: {response}"]
-                lines += [f"WARC-Target-URI: {uri}"] if uri else []
+                lines += [f"WARC-Target-URI: {target}"] if target else []
                 lines += [f"WARC-Source-Payload-Digest: {payload_digest}"]
                 lines += [f"WARC-Source-HTTP-Header: {line}" for line in (headers or "").splitlines() if line.strip()]
                 lines += [f"WARC-Date: {date}", f"WARC-Block-Digest: {block_digest}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
