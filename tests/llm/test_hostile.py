@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, queries, quotes, warc
+import corpus_pipeline
+from conftest import SMALL
+from tidemark.llm import langid, mixing, neardup, packing, pii, queries, quotes, warc
 
 MANY = 100_000
 
@@ -193,3 +195,81 @@ def test_packing_pads_little(spark):
     ends = packing.pack(docs, queries.tokenizer_file()).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()["n"]
     padded = sum(1 << (int(n) - 1).bit_length() for n in ends if n & (n - 1) == 0) + sum(2048 for n in ends if n & (n - 1))
     assert padded >= ends.sum() and (padded - ends.sum()) / padded < 0.01
+
+
+def test_complementary_words_are_not_linked(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(word) == 1024
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_many_short_texts_of_one_template(spark):
+    docs = spark.range(2 * MANY).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven eight "), F.col("id").cast("string")).alias("text"))
+    found = within(240, lambda: neardup.near_duplicates(docs, words=3, similarity=(85, 100)).agg(F.count_if("kept"), F.max("n_shingles")).first())
+    assert tuple(found) == (2 * MANY, 7)
+
+
+def test_stages_with_clashing_columns_and_awkward_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(
+        f"{c} string" for c in "_id _n _text _copies _digest_of _key gone_id gone_key stays rows at copies place again key bucket id lang_pred as _ID2".split()
+    )
+    n_extra = len(schema.split(",")) - 4
+    plain = [
+        (1, words, "en", "a"),
+        (2, words + " end", "en", "a"),
+        (2, words, "en", None),
+        (None, words, None, "a"),
+        (None, None, None, None),
+        (3, "", "en", "a"),
+        (4, "12 34 ²½", "en", "a"),
+        (5, " ".join(f"v{i}" for i in range(70)), "en", "b"),
+        (5, " ".join(f"v{i}" for i in range(70)), "en", "b"),
+    ]
+    docs = spark.createDataFrame([(*r, *[f"x{i}"] * n_extra) for i, r in enumerate(plain)], schema)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        if number < 4:
+            found = stage(spark, docs, SMALL)
+            assert found.columns == docs.columns
+            assert number == 3 or found.count() == (6, 5, 5)[number]
+            assert all(len({r[c] for c in docs.columns[4:]}) == 1 for r in found.collect())
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SMALL).count() == len(plain)
+
+
+def test_language_filter_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "²½ 12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.identified_documents(docs).collect()] == [1]
+
+
+def test_every_label_is_learned(spark):
+    from itertools import product
+
+    labels = ["".join(p) for p in product("xyz", "abcdefghij", "qrstu")][:66]
+    rows = [(i, " ".join(f"{labels[i % 66]}{labels[i % 66]}{(i + j) % 7}" for j in range(12)), f"l-{labels[i % 66]}") for i in range(660)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in got) > 625
+
+
+def test_buckets_of_the_mix_are_even(spark):
+    docs = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.when(F.col("id") % 10 == 0, "# # #").otherwise(F.repeat(F.lit("word "), 60)).alias("text")
+    )
+    seen = []
+    real = mixing.running_total
+
+    def spy(df, group, bucket, *rest):
+        seen.extend(r["count"] for r in df.groupBy(bucket).count().collect())
+        return real(df, group, bucket, *rest)
+
+    mixing.running_total = spy
+    try:
+        mixing.mix(docs).count()
+    finally:
+        mixing.running_total = real
+    assert sum(seen) == 40_000 and max(seen) < 2 * 40_000 / len(seen)

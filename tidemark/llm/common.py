@@ -14,23 +14,34 @@ WORD = f"[^{WHITE_SPACE}]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset in local mode.
+
+    On a cluster it must be set: a folder of the driver's machine is none of the executors'.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Folders of the operators that run now: inner ones lie within the outermost.
+_open_folders: list[str] = []
+
+
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage and survive lost executors.
 
-    ``drop`` removes a table that no returned DataFrame reads any more.
+    ``drop`` removes tables that no returned DataFrame reads any more. Within ``with``, the tables of
+    operators called meanwhile are placed under this one's folder, which goes as a whole at the end.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        outer = _open_folders[-1] if _open_folders else shared_folder(spark)
+        self.root = f"{outer}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -38,10 +49,38 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        _open_folders.append(self.root)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open_folders.remove(self.root)
+        self._delete(self.root)
+
+
+def settled(spark: SparkSession, label: str, build) -> DataFrame:
+    """The DataFrame that ``build`` returns, written once; all tables it was made from are removed."""
+    result = Scratch(spark, label)
+    with Scratch(spark, f"{label}-work"):
+        return result.save(build(), "result")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for internal columns that no column of ``df`` has, in any case of letters."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
 
 
 def unit_hash(*cols: Column, seed: int = 0) -> Column:

@@ -22,9 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, Scratch
+from .common import WHITE_SPACE, Scratch, free_names
 
 COUNTERS = 1024
+#: Rows up to which the table of dropped rows may be broadcast; a larger one is joined by a shuffle.
+SMALL_ROWS = 1_000_000
 
 
 def _summaries(counters: int):
@@ -61,6 +63,11 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    return _decided(docs, id_col, text_col, counters).drop("text_key")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, counters: int) -> DataFrame:
+    """The rows of ``exact_dedup`` with ``text_key``, a hash of the original text."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
     digests = scratch.save(
@@ -68,6 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col(id_col).alias("doc_id"),
             F.unhex(F.sha2(F.regexp_replace(text, f"[{WHITE_SPACE}]+", ""), 256)).alias("digest"),
             F.char_length(text).alias("n_chars"),
+            F.xxhash64(text).alias("text_key"),
             F.monotonically_increasing_id().alias("row_id"),
         ),
         "digests",
@@ -89,24 +97,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("group_size", F.count(F.lit(1)).over(group))
         .withColumn("kept", F.row_number().over(first) == 1)
     )
-    columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")]
+    columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "text_key"]
     return by_map.select(*columns).unionByName(by_shuffle.select(*columns))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; the columns stay as they are."""
+    """``docs`` with one row of each group of equal texts; the columns stay as they are.
+
+    The keys of the rows that go, not the texts, are what moves: rows are told apart by id and the
+    hash of their original text, so ids may be null or repeat, and of several rows with the id and
+    text that stay one stays. Extra columns may have any names. An empty table stays empty.
+    """
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "exact-dedup-kept")
-    kept = scratch.save(
-        exact_dedup(docs, id_col, text_col, counters)
-        .filter("kept")
-        .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-        .withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))),
-        "kept",
+    gone_id, gone_key, stays, rows = free_names(docs, "gone_id", "gone_key", "stays", "rows")
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    touched = scratch.save(
+        _decided(docs, id_col, text_col, counters)
+        .groupBy(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+        .agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(rows))
+        .filter(~F.col(stays) | (F.col(rows) > 1))
+        .drop(rows),
+        "touched",
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("_digest_of", F.unhex(F.sha2(F.regexp_replace(text, f"[{WHITE_SPACE}]+", ""), 256)))
-    out = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest_of") == F.col("_digest")), "left_semi")
-    if docs.groupBy(id_col).count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "_digest_of"])
-    return out.select(*columns)
+    table = F.broadcast(touched) if touched.count() <= SMALL_ROWS else touched
+    same = docs[id_col].eqNullSafe(F.col(gone_id)) & (text_key == F.col(gone_key))
+    if not touched.filter(F.col(stays)).limit(1).count():
+        return docs.join(table, same, "left_anti")
+    marked = docs.join(table, same, "left")
+    once = marked.filter(F.col(stays)).dropDuplicates([gone_id, gone_key])
+    return marked.filter(F.col(stays).isNull()).select(*columns).unionByName(once.select(*columns))

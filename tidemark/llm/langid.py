@@ -3,31 +3,35 @@
 Texts are reduced to hashed counts of byte trigrams of their lower-cased letters. A first set of
 linear support vector machines, one for each two families, picks the language family; then
 one-versus-one machines between the languages of that family separate close relatives. All
-machines are trained here, on at most ``SAMPLE_PER_LANGUAGE`` documents of each of at most
-``MOST_LANGUAGES`` languages (the most frequent ones), drawn by a hash of their ids from the
-labelled rows that are not held out. Prediction reads nothing but the text, all of it.
-
-Families of languages come from ``FAMILIES``; a language that is not listed there is a family of
-its own, so any label can be learned.
-
-Defined cases: a null text or one without letters is ``und`` with score 0. Without any labelled
-row everything is ``und``; with one language everything else is that language. Null ids are not
-held out and not learned from. Repeated rows are predicted alike. An empty table gives an empty
-result. Only the id, text and language columns are read.
+machines are trained here, on at most ``SAMPLE_PER_LANGUAGE`` documents of each labelled language
+(``SAMPLE_ROWS`` in all, so fewer of each where there are very many), drawn by a hash of their ids
+from the labelled rows that are not held out. Prediction reads nothing but the text, all of it.
+
+Families of languages come from ``FAMILIES``. A label that is not listed there joins the listed
+family whose mean vector is nearest to its own, so every label is learned and the number of
+machines stays small; where none is listed, all labels are one family.
+
+Defined cases: a null text or one without letters (Unicode category L) is ``und`` with score 0.
+Without any labelled row everything is ``und``; with one language everything else is that
+language. Null ids are not held out and not learned from; an id with several labelled rows stands
+for the least of its labels and texts. Repeated rows are predicted alike. An empty table gives an
+empty result. Only the id, text and language columns are read; other columns may have any names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_LANGUAGE = 300
-MOST_LANGUAGES = 64
+SAMPLE_ROWS = 60_000
+#: Certainty below which the filter rejects a document: the best language is no likelier than not.
+LEAST_SCORE = 0.5
 WIDTH = 4096
 UNKNOWN = "und"
 
@@ -49,7 +53,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes that are neither ASCII letters nor parts of longer characters separate words.
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint32)
 #: Texts are counted in parts of this many bytes, so memory does not grow with their length.
@@ -91,7 +95,11 @@ class Hierarchy:
     """Families and, within each, languages, each level decided by one-versus-one machines."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
-        family = np.array([FAMILY_OF.get(code, f"only {code}") for code in langs], object)
+        family = np.array([FAMILY_OF.get(code, "") for code in langs], object)
+        listed = sorted(set(family) - {""})
+        means = np.array([x[family == f].mean(axis=0) for f in listed])
+        for code in sorted(set(langs[family == ""])) if listed else []:
+            family[langs == code] = listed[int(np.argmax(means @ x[langs == code].mean(axis=0)))]
         self.families = sorted(set(family))
         self.languages = {f: sorted(set(langs[family == f])) for f in self.families}
         self.between_families = self._machines(x, family, self.families)
@@ -150,23 +158,29 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most_languages: int) -> Hierarchy | None:
-    """Trains on the bounded sample; ids are drawn first, so only sampled texts are read twice."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    frequent = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).select(F.col(lang_col).alias("_lang"))
-    draw = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Hierarchy | None:
+    """Trains on the bounded sample; ids are drawn first, so only sampled texts are read twice.
+
+    The counts of the languages give each a hash threshold that lets about twice the wanted rows
+    through; only those are ordered.
+    """
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
+        "lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL"
+    ).filter(~held_out("id"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_languages = counts.count()
+    if not n_languages:
+        return None
+    wanted = max(1, min(per_language, sample_rows // n_languages))
+    luck = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = labelled.select("id", "lang").join(counts.withColumnRenamed("lang", "as"), F.col("lang") == F.col("as")).filter(luck < (2 * wanted + 50) / F.col("n"))
+    draw = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sample = (
-        labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-        .join(F.broadcast(frequent), "_lang", "left_semi")
-        .withColumn("_place", F.row_number().over(draw))
-        .filter(F.col("_place") <= per_language)
-        .select("_id", F.col("_lang").alias("_as"))
-        .dropDuplicates(["_id"])
-    )
-    texts = labelled.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(
-        F.col("_as").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("_order")
+        drawn.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("place", F.row_number().over(draw)).filter(F.col("place") <= wanted).select("id", F.col("lang").alias("as"))
     )
-    rows = texts.dropDuplicates(["_order"]).select("lang", "text").mapInArrow(_featured, "lang string, vector binary").filter("vector IS NOT NULL").collect()
+    # At most ``sample_rows`` ids, or one for each language.
+    texts = labelled.join(F.broadcast(sample), "id").filter(F.col("lang") == F.col("as")).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    rows = texts.select("lang", "text").mapInArrow(_featured, "lang string, vector binary").filter("vector IS NOT NULL").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["vector"]))
@@ -180,10 +194,9 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = SAMPLE_PER_LANGUAGE,
-    most_languages: int = MOST_LANGUAGES,
 ) -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score``."""
-    model = fit(docs, id_col, text_col, lang_col, per_language, most_languages)
+    model = fit(docs, id_col, text_col, lang_col, per_language)
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return (
@@ -211,22 +224,29 @@ def _predictor(shared, rows_at_once: int = 512):
     return run
 
 
-def identified_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """``docs`` without the rows whose text has no identifiable language; the columns stay as they are.
+def identified_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: set[str] | None = None, least_score: float = LEAST_SCORE
+) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told; the columns stay as they are.
 
-    The text goes through the workers together with its row key, so no join is needed.
+    A row goes if its text is null or has no letters, if the model is less certain than
+    ``least_score``, or, where ``languages`` are given, if it predicts none of them. Where nothing
+    could be learned (no labelled rows), only texts without letters go. The text goes through the
+    workers together with its row, so no join is needed and ids may be null or repeat.
     """
-    model = fit(docs, id_col, text_col, lang_col, options.get("per_language", SAMPLE_PER_LANGUAGE), options.get("most_languages", MOST_LANGUAGES))
+    model = fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    least = options.get("least_score", 0.0)
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predictor(shared)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col))], ["text"])
-            (found,) = predict(iter([texts]))
-            lang, score = found.column(0).to_pylist(), found.column(1).to_pylist()
-            yield batch.filter(pa.array([code != UNKNOWN and s >= least for code, s in zip(lang, score, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+            texts = batch.column(batch.schema.names.index(text_col))
+            if shared.value is None:
+                stays = [bool(_LETTER.search(t.as_py() or "")) for t in texts]
+            else:
+                (found,) = predict(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))
+                pairs = zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)
+                stays = [code != UNKNOWN and s >= least_score and (languages is None or code in languages) for code, s in pairs]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

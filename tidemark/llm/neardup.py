@@ -28,7 +28,8 @@ one pair in 10**8. Sets of at most k shingles are compared in full, without any
 Defined cases: without words or text a document has the empty set, is linked with nothing and is
 its own component. With fewer words than a shingle the whole sequence is its one shingle. Rows
 with the same id are copies of each other's component only if their sets are linked; null ids
-take part and come out with their class's component. Of each component exactly one row is kept:
+take part and come out with their class's component. Texts whose words collide by chance (2**-64
+for two words) would be linked. Of each component exactly one row is kept:
 the one with the smallest id, null ids last, then the least hash of its text, then one arbitrary
 row of several identical rows. An empty table gives an empty result. Only the id and text columns
 are read.
@@ -46,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_names, settled
 from .components import components
 from .shingles import shingle_set
 
@@ -58,7 +59,7 @@ SLACK = 7.0
 SMALL_ROWS = 1_000_000
 #: Shingles and sets in one block of a list that is compared in full.
 BLOCK_SHINGLES = 1 << 19
-BLOCK_SETS = 1 << 12
+BLOCK_SETS = 1 << 10
 
 
 def least_overlap(n: int, similarity: float, k: int, slack: float) -> int:
@@ -225,11 +226,15 @@ def _by_sizes(members: DataFrame, similarity: tuple[int, int], k: int, scratch:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``; see ``_decisions`` for the options."""
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``; see ``_decided`` for the options."""
     return _decisions(docs, id_col, text_col, **options).drop("text_key")
 
 
-def _decisions(
+def _decisions(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    return settled(docs.sparkSession, "near-duplicates", lambda: _decided(docs, id_col, text_col, **options))
+
+
+def _decided(
     docs: DataFrame,
     id_col: str,
     text_col: str,
@@ -402,20 +407,20 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     columns = docs.columns
     scratch = Scratch(docs.sparkSession, "near-duplicates-kept")
+    gone_id, gone_key, stays, rows = free_names(docs, "gone_id", "gone_key", "stays", "rows")
     decided = scratch.save(_decisions(docs, id_col, text_col, **options), "decided")
     touched = scratch.save(
         decided.filter("n_shingles > 0")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-        .filter("NOT _stays OR _rows > 1")
-        .select("_id", "_key", "_stays"),
+        .groupBy(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+        .agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(rows))
+        .filter(~F.col(stays) | (F.col(rows) > 1))
+        .drop(rows),
         "touched",
     )
     table = F.broadcast(touched) if touched.count() <= SMALL_ROWS else touched
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
-    again = touched.filter("_stays")
-    if not again.limit(1).count():
-        return docs.join(table, same, "left_anti").select(*columns)
+    same = docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text_col]) == F.col(gone_key))
+    if not touched.filter(F.col(stays)).limit(1).count():
+        return docs.join(table, same, "left_anti")
     marked = docs.join(table, same, "left")
-    once = marked.filter("_stays").dropDuplicates(["_id", "_key"])
-    return marked.filter("_stays IS NULL").select(*columns).unionByName(once.select(*columns))
+    once = marked.filter(F.col(stays)).dropDuplicates([gone_id, gone_key])
+    return marked.filter(F.col(stays).isNull()).select(*columns).unionByName(once.select(*columns))

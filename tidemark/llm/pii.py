@@ -353,7 +353,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per input row: ``doc_id, text, n_candidates, n_replaced``."""
     if not key:
         raise ValueError("pseudonyms need a key")
-    secret = docs.sparkSession.createDataFrame([(key,)], "secret string")
+    secret = docs.sparkSession.sql("SELECT secret FROM VALUES (:key) AS given(secret)", args={"key": key})
     worth = F.col("text").rlike(r"[0-9]|@")
     escaped = F.replace(F.col("text"), F.lit(ESCAPE), F.lit(ITSELF))
     marked = F.replace(F.regexp_replace(with_card_marks(escaped), CANDIDATE, VALUE + "$0" + VALUE), F.lit(CARD_HERE), F.lit(""))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, settled
 from .induced_sort import MEMORY, equal_prefixes, suffix_order
 
 LENGTH = 100
@@ -229,6 +229,10 @@ def remove_repeats(
 
     ``kept_text`` leaves out bytes of characters that a removal has cut through.
     """
+    return settled(docs.sparkSession, "suffix-dedup", lambda: _without_repeats(docs, id_col, text_col, length, gram, shard_bytes, memory, with_text))
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, shard_bytes: int, memory: int, with_text: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
