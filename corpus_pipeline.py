@@ -1,4 +1,10 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, source mix and packing."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, source mix and packing.
+
+Every stage takes null or repeated ids, null and empty texts, empty tables and extra columns of any
+name. Texts that are null or have no letters go in the first stage, which also rejects documents
+whose language the model cannot tell; the two dedup stages keep one row of each group; the mix
+repeats or leaves out rows; the last stage returns pieces of documents in sequences.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from tidemark.llm.queries import tokenizer_file
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language: no text, or no letter in it."""
+    """Drops documents without letters, and those whose predicted language is less likely than not."""
     return langid.identified_documents(docs)
 
 
@@ -46,7 +52,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = scratch.save(docs, f"stage-{number}")
+        # A stage's own tables go once its output is written, and its input with them.
+        with Scratch(spark, "pipeline-stage"):
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{number}")
+        if number:
+            scratch.drop(f"stage-{number - 1}")
     return docs
