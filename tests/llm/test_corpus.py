@@ -220,17 +220,48 @@ def test_frequent_lists_are_divided(spark, monkeypatch):
 @pytest.mark.parametrize("memory", [7, 1 << 20])
 def test_induced_sort(memory):
     rng = np.random.default_rng(memory)
-    for letters, n in ((2, 300), (3, 50), (200, 400), (1, 30)):
-        text = rng.integers(0, letters, n)
-        raw = text.astype(np.uint8).tobytes()
-        order = np.concatenate(list(induced_sort.suffix_order(text, 256, 40, memory)))
-        assert sorted(order.tolist()) == list(range(n))
+    for letters, n in ((2, 300), (3, 50), (200, 400), (1, 30), (2, 1500)):
+        text = rng.integers(0, letters, n).astype(np.uint8)
+        raw = text.tobytes()
+        blocks = list(induced_sort.suffix_order(text, 256, 40, memory))
+        order, shared = (np.concatenate(x).tolist() for x in zip(*blocks, strict=True))
+        assert sorted(order) == list(range(n))
         assert [raw[i : i + 40] for i in order] == sorted(raw[i : i + 40] for i in range(n)) or letters == 1
+        for before, at, common in zip(order[:-1], order[1:], shared[1:], strict=True):
+            a, b = raw[before : before + 40], raw[at : at + 40]
+            assert common == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-@pytest.mark.parametrize("shard", [600, 1 << 22])
-def test_suffix_dedup(spark, shard):
+def test_induced_sort_keeps_few_tuples_in_memory(monkeypatch):
+    """A hundredth of the shard's tuples in RAM: most go through the files."""
+    queues = []
+    real = induced_sort.SpooledQueues
+
+    class Watched(real):
+        most = 0
+
+        def __init__(self, *args):
+            super().__init__(*args)
+            queues.append(self)
+
+        def push(self, c, tuples):
+            super().push(c, tuples)
+            self.most = max(self.most, self.held)
+
+    monkeypatch.setattr(induced_sort, "SpooledQueues", Watched)
+    text = np.frombuffer((b"some words that come again and again, " * 3 + b"others do not %d ") * 1500, np.uint8)
+    memory = len(text) // 100
+    assert sum(len(b) for b, _ in induced_sort.suffix_order(text, 256, 100, memory)) == len(text)
+    assert all(q.most <= memory for q in queues) and sum(q.spooled for q in queues) > len(text)
+
+
+@pytest.mark.parametrize(("shard", "counters"), [(600, 3), (1 << 22, 1024), (1 << 22, 2)])
+def test_suffix_dedup(spark, monkeypatch, shard, counters):
+    monkeypatch.setattr(suffix_dedup, "COUNTERS", counters)
     _, docs = fixture(spark)
+    line = "This line is found in very many documents, word by word, and it is a bit longer than a hundred bytes in all."
+    more = [(100 + i, f"{'x' * i}{i} {line} {i * i} end", None, "s", 0, "x", 1) for i in range(40)] + [(200 + i, line, None, "s", 0, "x", 1) for i in range(20)]
+    docs = docs.unionByName(spark.createDataFrame(more, DOCS)).repartition(5)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     seen, want = set(), []
     by_hash = {(r.doc_id, r.text): r.h for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_PER_LANGUAGE = 300
 SAMPLE_ROWS = 60_000
-#: Certainty below which the filter rejects a document: the best language is no likelier than not.
-LEAST_SCORE = 0.5
+#: Certainty (0 to 1) below which the filter rejects a document.
+LEAST_SCORE = 0.4
 WIDTH = 4096
 UNKNOWN = "und"
 

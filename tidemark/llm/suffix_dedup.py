@@ -8,10 +8,12 @@ input texts, as UTF-8 bytes.
    equal anchors at the same offset. Each document's anchors, with the run of strings that each one
    stands for (its context), are shuffled by anchor. Anchors that occur once cannot hold a
    repeat and are dropped: an exact filter, which leaves the shared parts of the corpus.
+   Misra-Gries summaries name the anchors and contexts that may be frequent; these are dealt over
+   many tasks, and the firsts of their parts are compared once more.
 2. Of equal contexts the later ones are removed whole.
 3. The different contexts of an anchor meet in a shard of bounded size. Induced sorting orders
-   all suffixes of the shard, neighbours with ``length`` bytes in common form a class, and all but
-   its first member are removed. An anchor with too many contexts for one shard is salted; then each
+   all suffixes of the shard and carries the prefixes that neighbours share; neighbours with
+   ``length`` bytes in common form a class, and all but its first member are removed. An anchor with too many contexts for one shard is salted; then each
    shard also reports the first of each of its classes, and a shuffle by the string's digest finds
    those that another shard saw earlier.
 4. The removed strings of a document are joined to its text.
@@ -36,12 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, settled
-from .induced_sort import MEMORY, equal_prefixes, suffix_order
+from .induced_sort import MEMORY, suffix_order
 
 LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 1 << 22
 SMALL_ROWS = 1_000_000
+#: Frequent anchors and contexts that are dealt over this many tasks each.
+COUNTERS = 1024
+SALTS = 64
 #: Bytes of a text that are searched for anchors at a time.
 PART = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
@@ -120,6 +125,38 @@ def _find_contexts(length: int, gram: int):
     return run
 
 
+def _frequent(counters: int):
+    """Misra-Gries over one partition for anchors (kind 0) and for contexts of an anchor (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[dict, dict] = ({}, {})
+        for batch in batches:
+            pairs = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            for kind, changes in enumerate((pairs[1:, 0] != pairs[:-1, 0], (pairs[1:] != pairs[:-1]).any(axis=1))):
+                heads = np.flatnonzero(np.append(True, changes)) if len(pairs) else np.zeros(0, int)
+                counts = np.diff(np.append(heads, len(pairs)))
+                held = kept[kind]
+                if not len(held) and len(counts) > counters:
+                    cut = np.partition(counts, -counters - 1)[-counters - 1]
+                    heads, counts = heads[counts > cut], counts[counts > cut] - cut
+                for (a, c), n in zip(pairs[heads].tolist(), counts.tolist(), strict=True):
+                    key = (a, c if kind else 0)
+                    held[key] = held.get(key, 0) + n
+                if len(held) > counters:
+                    cut = sorted(held.values(), reverse=True)[counters]
+                    left = {key: n - cut for key, n in held.items() if n > cut}
+                    held.clear()
+                    held.update(left)
+        rows = [(kind, a, c, n) for kind, held in enumerate(kept) for (a, c), n in held.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "anchor", "context", "at_least"])
+
+    return run
+
+
 def _cut_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,43 +179,52 @@ def _cut_contexts(length: int):
 def repeated_strings(shard: pd.DataFrame, length: int, memory: int = MEMORY) -> pd.DataFrame:
     """Runs of strings of a shard's contexts that repeat an earlier one, and its salted classes' firsts.
 
-    Rows have ``digest`` null for runs (``strings`` from ``start`` on) and set for firsts.
+    Rows have ``digest`` null for runs (``strings`` from ``start`` on) and set for firsts. The
+    contexts are put in the order of their documents, so the first of equal strings is the one with
+    the least place in the shard's text; the sorted suffixes are read once, block by block.
     """
+    by = np.lexsort((shard["start"], shard["row_id"], shard["doc_id"].fillna(0).to_numpy(np.int64), shard["doc_id"].isna()))
+    shard = shard.iloc[by]
     raws = shard["raw"].tolist()
     sizes = np.array([len(r) for r in raws])
     offsets = np.cumsum(sizes + 1) - sizes - 1
     text = np.frombuffer(b"\xff".join(raws), np.uint8)  # 0xFF is in no UTF-8 text
-    strings = shard["strings"].to_numpy()
-    owner_of = np.full(len(text), -1, np.int32)
-    for i, (at, n) in enumerate(zip(offsets, strings, strict=True)):
-        owner_of[at : at + n] = i
-    ordered = []
-    for block in suffix_order(text.astype(np.int64), 256, length, memory):
-        ordered.append(block[owner_of[block] >= 0].astype(np.int64))
-    ordered = np.concatenate(ordered)
-    new = np.ones(len(ordered), bool)
-    new[1:] = ~equal_prefixes(text, ordered[:-1], ordered[1:], length)
-    group = np.cumsum(new)
-    # Only members of classes of several strings, and firsts of salted ones, matter from here on.
-    alone = new & np.append(new[1:], True)
-    salted = shard["salted"].to_numpy(bool)
-    matter = ~alone | salted[owner_of[ordered]]
-    ordered, group = ordered[matter], group[matter]
-    owner = owner_of[ordered]
-    ids = shard["doc_id"]
-    start = shard["start"].to_numpy()[owner] + ordered - offsets[owner]
-    by = np.lexsort((start, shard["row_id"].to_numpy()[owner], ids.fillna(0).to_numpy(np.int64)[owner], ids.isna().to_numpy()[owner], group))
-    group, owner, start, at = group[by], owner[by], start[by], ordered[by]
-    is_first = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
-    later = np.lexsort((start[~is_first], owner[~is_first]))
-    o, s = owner[~is_first][later], start[~is_first][later]
-    begins = np.append(True, (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)) if len(o) else np.zeros(0, bool)
-    b = np.flatnonzero(begins)
-    runs = pd.DataFrame({"at": o[b], "start": s[b], "strings": np.diff(np.append(b, len(o))), "digest": None})
-    keep = is_first & salted[owner]
-    firsts = pd.DataFrame({"at": owner[keep], "start": start[keep], "strings": 1, "digest": [xxhash.xxh3_128_digest(text[i : i + length].tobytes()) for i in at[keep]]})
-    out = pd.concat([runs, firsts], ignore_index=True) if len(firsts) else runs
-    out["doc_id"], out["row_id"] = ids.to_numpy(object)[out["at"]], shard["row_id"].to_numpy()[out["at"]]
+    strings, salted = shard["strings"].to_numpy(), shard["salted"].to_numpy(bool)
+    edges = np.zeros(len(text) + 1, np.int8)
+    np.add.at(edges, offsets, 1)
+    np.add.at(edges, offsets + strings, -1)
+    begins_string = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    later = np.zeros(len(text), bool)
+    number, open_class, open_first = 0, -1, -1
+    for positions, shared in suffix_order(text, 256, length, memory):
+        classes = np.cumsum(shared < length) + number
+        number = int(classes[-1])
+        some = begins_string[positions]
+        positions, classes = positions[some], classes[some]
+        if not len(positions):
+            continue
+        heads = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+        firsts = np.minimum.reduceat(positions, heads)
+        if classes[0] == open_class:
+            later[max(open_first, firsts[0])] = True
+            firsts[0] = min(open_first, firsts[0])
+        counts = np.diff(np.append(heads, len(positions)))
+        later[positions[positions != np.repeat(firsts, counts)]] = True
+        open_class, open_first = classes[-1], firsts[-1]
+    # Between contexts lie positions that begin no string, so runs end with their context.
+    edges = np.diff(np.concatenate([[0], later.view(np.int8), [0]]))
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    owner = np.searchsorted(offsets, begin, "right") - 1
+    start = shard["start"].to_numpy()
+    runs = pd.DataFrame({"at": owner, "start": start[owner] + begin - offsets[owner], "strings": end - begin, "digest": None})
+    out = runs
+    if salted.any():
+        first = np.flatnonzero(begins_string & ~later)
+        owner = np.searchsorted(offsets, first, "right") - 1
+        first, owner = first[salted[owner]], owner[salted[owner]]
+        digests = [xxhash.xxh3_128_digest(text[i : i + length].tobytes()) for i in first]
+        out = pd.concat([runs, pd.DataFrame({"at": owner, "start": start[owner] + first - offsets[owner], "strings": 1, "digest": digests})], ignore_index=True)
+    out["doc_id"], out["row_id"] = shard["doc_id"].to_numpy(object)[out["at"]], shard["row_id"].to_numpy()[out["at"]]
     return out[["doc_id", "row_id", "start", "strings", "digest"]]
 
 
@@ -250,17 +296,43 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, g
     found = searched.select("doc_id", "text_key", F.col("text_key").alias("row_id"), "text").mapInArrow(
         _find_contexts(length, gram), "doc_id long, text_key long, row_id long, anchor long, context long, start int, strings int"
     )
-    same_anchor = Window.partitionBy("anchor")
+    # Frequent anchors are dealt by context, frequent contexts by row; the rest meet by anchor.
+    frequent = scratch.save(
+        found.select("anchor", "context").mapInArrow(_frequent(COUNTERS), "kind int, anchor long, context long, at_least long")
+        .groupBy("kind", "anchor", "context")
+        .agg(F.sum("at_least").alias("at_least"))
+        .filter("at_least > 1")
+        .withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("at_least"), "anchor", "context")))
+        .filter(F.col("place") <= COUNTERS),
+        "frequent",
+    )
+    hot_anchor = frequent.filter("kind = 0").select("anchor", F.lit(True).alias("hot_anchor"))
+    hot_context = frequent.filter("kind = 1").select("anchor", "context", F.lit(True).alias("hot_context"))
+    # Two tables of at most COUNTERS rows.
+    salt = (
+        F.when(F.col("hot_context"), F.pmod(F.xxhash64("row_id", "start"), F.lit(SALTS)) + SALTS)
+        .when(F.col("hot_anchor"), F.pmod(F.xxhash64("context"), F.lit(SALTS)))
+        .otherwise(-1)
+    )
+    dealt = found.join(F.broadcast(hot_anchor), "anchor", "left").join(F.broadcast(hot_context), ["anchor", "context"], "left").withColumn("salt", salt)
+    together = Window.partitionBy("anchor", "salt")
     earlier = [F.col("doc_id").asc_nulls_last(), "row_id", "start"]
-    same_context = Window.partitionBy("anchor", "context").orderBy(*earlier)
-    shared = scratch.save(
-        found.withColumn("copy", F.row_number().over(same_context))
-        .withColumn("n", F.count(F.lit(1)).over(same_anchor))
-        .withColumn("several", F.min("context").over(same_anchor) != F.max("context").over(same_anchor))
-        .filter("n > 1 AND (copy > 1 OR several)")
-        .select("doc_id", "text_key", "row_id", "anchor", "start", "strings", (F.col("copy") > 1).alias("removed")),
-        "shared",
+    several = F.count(F.lit(1)).over(together) > 1
+    differ = F.min("context").over(together) != F.max("context").over(together)
+    met = scratch.save(
+        dealt.withColumn("copy", F.row_number().over(Window.partitionBy("anchor", "salt", "context").orderBy(*earlier)))
+        .withColumn("hot", F.coalesce("hot_anchor", "hot_context", F.lit(False)))
+        .withColumn("several", several)
+        .withColumn("differ", differ)
+        .filter("hot OR several AND (copy > 1 OR differ)")
+        .select("doc_id", "text_key", "row_id", "anchor", "context", "start", "strings", "copy", F.coalesce("hot_context", F.lit(False)).alias("hot_context")),
+        "met",
     )
+    # Each salt of a frequent context has a first; one of those few is the first of all.
+    first_of_all = F.row_number().over(Window.partitionBy("anchor", "context").orderBy(*earlier))
+    columns = ["doc_id", "text_key", "row_id", "anchor", "start", "strings"]
+    firsts = met.filter("hot_context AND copy = 1").select(*columns, (first_of_all > 1).alias("removed"))
+    shared = met.filter("NOT (hot_context AND copy = 1)").select(*columns, (F.col("copy") > 1).alias("removed")).unionByName(firsts)
     candidates = shared.filter("NOT removed")
     per_anchor = scratch.save(
         candidates.groupBy("anchor").agg(F.sum(F.col("strings") + length).alias("bytes")), "anchors"
