@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 EPSILON = 1e-10
 
@@ -48,6 +49,15 @@ def regime(z: Column, threshold: float) -> Column:
     return F.when(z > threshold, 1).when(z < -threshold, -1).otherwise(0)
 
 
-def ewm(path: Column, span: int) -> Column:
-    """Exponential mean (unadjusted) of the last value of ``path``, a list in date order that seeds it."""
-    return F.reduce(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), F.get(path, 0), lambda a, x: a + (x - a) * 2 / (span + 1.0))
+def exponential(rows: DataFrame, value: str, spans: dict[str, int]) -> DataFrame:
+    """Adds unadjusted exponential means of ``value`` by span, each seeded by the symbol's first value.
+
+    They depend on all earlier rows, so a symbol's rows (days, not ticks) run through one task in order.
+    """
+    schema = StructType([*rows.schema.fields, *[StructField(name, DoubleType()) for name in spans]])
+
+    def run(frame):
+        frame = frame.sort_values("date")
+        return frame.assign(**{name: frame[value].ewm(span=span, adjust=False).mean() for name, span in spans.items()})
+
+    return rows.groupBy("symbol").applyInPandas(run, schema)

@@ -22,17 +22,23 @@ def session(ts: str, with_closed: bool = False):
 
 
 def time_bars(ticks: DataFrame, minutes: int) -> DataFrame:
-    """OHLCV bars with trade count and volume-weighted price, aligned to multiples of ``minutes``."""
+    """OHLCV bars with trade count and volume-weighted price, aligned to multiples of ``minutes``.
+
+    Bars without volume have no weighted price; ticks without that column give bars without both.
+    """
     width = minutes * 60
     bucket = F.timestamp_seconds(F.floor(F.unix_timestamp(F.date_trunc("minute", "ts")) / width) * width)
     rows = ticks.withColumn("bar", bucket)
+    value = F.sum(F.col("price") * F.col("volume"))
+    weighted = [F.sum("volume").alias("volume"), F.try_divide(value, F.nullif(F.sum("volume"), F.lit(0.0))).alias("vwap")]
+    weighted = weighted if "volume" in ticks.columns else []
     return rows.groupBy("symbol", "bar").agg(
         F.min_by("price", F.struct("ts", "event_id")).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", F.struct("ts", "event_id")).alias("close"),
         F.count(F.lit(1)).alias("trade_count"),
-        F.mean("price").alias("vwap"),
+        *weighted,
     )
 
 

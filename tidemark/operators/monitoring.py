@@ -25,14 +25,40 @@ def performance(returns: DataFrame, risk_free: float = 0.04, days: int = 252) ->
     )
 
 
-def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by ``symbol`` from average ranks (ties count half)."""
-    by = Window.partitionBy("symbol").orderBy(score)
-    ties = Window.partitionBy("symbol", score)
-    ranked = scored.withColumn("_rank", F.rank().over(by) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
-    positives, negatives = F.sum(label), F.sum(1 - F.col(label))
-    wins = F.sum(F.when(F.col(label) == 1, F.col("_rank"))) - positives * (positives + 1) / 2.0
-    return ranked.groupBy("symbol").agg(F.try_divide(wins, (positives * negatives).cast("double")).alias("auc"), positives.alias("n_pos"))
+def auc(scored: DataFrame, score: str, label: str, keys: tuple = ("symbol",)) -> DataFrame:
+    """Area under the ROC curve by ``keys``; ties count half.
+
+    Rows are counted by distinct score first; only those counts are ordered.
+    """
+    by = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    counts = scored.groupBy(*keys, score).agg(F.sum(label).alias("_pos"), F.sum(1 - F.col(label)).alias("_neg"))
+    below = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(by), F.lit(0)))
+    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
+    return below.groupBy(*keys).agg(F.try_divide(wins, (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"), F.sum("_pos").alias("n_pos"))
+
+
+def recent_auc(predictions: DataFrame, order: list[str], baselines: DataFrame, last: int = 500, degrading: float = 0.03, critical: float = 0.05) -> DataFrame:
+    """AUC of each symbol's ``last`` predictions (``score, label``) against its baseline, with an alert.
+
+    Fewer than ten predictions, or a single class, give no AUC and no decay.
+    """
+    recent = Window.partitionBy("symbol").orderBy(*[F.desc(c) for c in order])
+    kept = predictions.withColumn("_place", F.row_number().over(recent)).filter(F.col("_place") <= last)
+    sizes = predictions.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_predictions"))
+    found = sizes.join(auc(kept, "score", "label"), "symbol", "left").join(baselines, "symbol", "left")
+    enough = F.col("n_predictions") >= 10
+    value = F.when(enough, F.col("auc"))
+    decay = F.coalesce(F.when(value.isNotNull(), F.col("baseline_auc") - value), F.lit(0.0))
+    alert = (
+        F.when(~enough, "INSUFFICIENT_DATA")
+        .when(value.isNull(), "SINGLE_CLASS")
+        .when(F.col("decay") >= critical, "CRITICAL")
+        .when(F.col("decay") >= degrading, "DEGRADING")
+        .otherwise("NONE")
+    )
+    return found.withColumn("decay", decay).select(
+        "symbol", F.round(value, 4).alias("rolling_auc"), "baseline_auc", F.round("decay", 4).alias("decay"), "n_predictions", alert.alias("alert"), (alert == "CRITICAL").alias("should_retrain")
+    )
 
 
 def stability_index(train: DataFrame, test: DataFrame, column: str, bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
@@ -56,17 +82,23 @@ def stability_index(train: DataFrame, test: DataFrame, column: str, bins: int =
     return both.withColumn("_part", (actual - expected) * F.log(actual / expected)).groupBy("symbol").agg(F.sum("_part").alias("psi"))
 
 
-def purged_folds(rows: DataFrame, folds: int = 5, purge: int = 5) -> DataFrame:
-    """``symbol, date, fold, role``: each contiguous fold as test, the rest as train without its neighbours."""
+def purged_folds(rows: DataFrame, folds: int = 5, purge: int = 5, embargo: int = 2) -> DataFrame:
+    """``symbol, date, fold, role``: each contiguous fold as test, the rest as train without its neighbours.
+
+    Folds have ``n // folds`` rows, the last one takes the remainder. The ``purge`` rows before a
+    test and the ``embargo`` rows after it train nothing, nor does anything after the last test.
+    Folds without any training row are left out.
+    """
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("date")) - 1).withColumn(
         "_of", F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     )
     split = numbered.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    low = F.floor(F.col("fold") * F.col("_of") / folds)
-    high = F.floor((F.col("fold") + 1) * F.col("_of") / folds)
-    n = F.col("_n")
-    role = F.when((n >= low) & (n < high), "test").when((n >= low - purge) & (n < high + purge), "purged").otherwise("train")
-    return split.select("symbol", "date", "fold", role.alias("role"))
+    width, final, n = F.floor(F.col("_of") / folds), F.col("fold") == folds - 1, F.col("_n")
+    low = F.col("fold") * width
+    high = F.when(final, F.col("_of")).otherwise((F.col("fold") + 1) * width)
+    role = F.when((n >= low) & (n < high), "test").when((n < low - purge) | (~final & (n >= high + embargo)), "train").otherwise("purged")
+    trains = (low - purge > 0) | (~final & (high + embargo < F.col("_of")))
+    return split.filter(trains & (width > 0)).select("symbol", "date", "fold", role.alias("role"))
 
 
 def trade_metrics(trades: DataFrame, keys: list[str], days: int = 252, risk_free: float = 0.04) -> DataFrame:

@@ -14,15 +14,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def rolling_cvar(returns: DataFrame, n: int = 60, share: float = 0.05, min_periods: int = 20) -> DataFrame:
-    """Adds ``cvar``: the mean size of the worst returns of the ``n`` rows before this one, itself left out."""
+def rolling_cvar(returns: DataFrame, n: int = 60, share: float = 0.05) -> DataFrame:
+    """Adds ``cvar``: the mean size of the worst returns of the ``n`` rows before this one, null until there are ``n``.
+
+    Missing returns count as rows but not as returns; two returns are the least.
+    """
     before = W.ordered().rowsBetween(-n, -1)
-    rows = returns.filter("ret IS NOT NULL").withColumns(
-        {"_past": F.collect_list("ret").over(before), "_cut": F.percentile("ret", share).over(before)}
+    rows = returns.withColumns(
+        {"_past": F.collect_list("ret").over(before), "_cut": F.percentile("ret", share).over(before), "_rows": F.count(F.lit(1)).over(before)}
     )
     worst = F.filter("_past", lambda x: x <= F.col("_cut"))
-    cvar = F.when(F.size("_past") >= min_periods, F.abs(total(worst) / F.size(worst)))
-    return rows.withColumn("cvar", cvar).drop("_past", "_cut")
+    cvar = F.when((F.col("_rows") >= n) & (F.size("_past") >= 2), F.abs(total(worst) / F.size(worst)))
+    return rows.withColumn("cvar", cvar).drop("_past", "_cut", "_rows")
 
 
 def window_distance(returns: DataFrame, n: int = 20) -> DataFrame:
@@ -48,12 +51,6 @@ def range_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.withColumns({"parkinson": parkinson, "garman_klass": F.sqrt(F.when(inner.isNotNull(), F.greatest(inner, F.lit(0.0))))})
 
 
-def illiquidity(returns: DataFrame, n: int = 20) -> DataFrame:
-    """Adds ``amihud``: mean absolute return for a million of traded value over ``n`` rows."""
-    each = F.try_divide(F.abs("ret") * 1e6, F.col("close") * F.col("volume"))
-    return returns.withColumn("amihud", W.rolling(F.mean, each, n))
-
-
 def drawdown_size(drawdown: Column, base: float = 1.0, worst: float = 0.2, power: float = 1.0) -> Column:
     """Position size that falls from ``base`` to 0 as the drawdown (at most 0) nears ``-worst``."""
     return base * F.pow(1 - F.least(-drawdown / worst, F.lit(1.0)), power)

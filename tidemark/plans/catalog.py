@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import align, bars, labels, monitoring
-from tidemark.sources.market import daily_orders, table, ticks
+from tidemark.sources.market import daily_orders, table, ticks, traded
 
 FLAGSHIP = "rsi_zscore_labels"
 QUERIES: dict = {}
@@ -52,10 +52,11 @@ def daily_bars(spark, sf_dir):
 
 @query("""
 SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS bar, arg_min(value, ts) AS open, max(value) AS high,
-       min(value) AS low, arg_max(value, ts) AS close, count(*) AS trade_count, round(avg(value), 6) AS vwap
-FROM events GROUP BY 1, 2""")
+       min(value) AS low, arg_max(value, ts) AS close, sum(k) AS volume, count(*) AS trade_count,
+       round(sum(value * k) / nullif(sum(k), 0), 6) AS vwap
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1, 2""")
 def time_bars(spark, sf_dir):
-    found = bars.time_bars(ticks(spark, sf_dir), 60)
+    found = bars.time_bars(traded(spark, sf_dir), 60)
     return rounded(found, 6, "vwap").withColumn("bar", F.col("bar").cast("timestamp_ntz"))
 
 
@@ -196,19 +197,22 @@ def rolling_beta(spark, sf_dir):
 @query(f"""
 WITH {DAILY}
 SELECT symbol, date, round(quantile_cont(close, 0.9) OVER w, 4) AS q90, round(median(close) OVER w, 4) AS med,
-       round(regr_slope(close, epoch(date) / 86400) OVER w, 4) AS slope,
+       round(CASE WHEN count(*) OVER past >= 20 THEN regr_slope(close, n) OVER past ELSE 0 END, 4) AS slope,
        low = min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS lowest_of_7,
        CASE WHEN count(*) OVER w >= 20 THEN true ELSE false END AS full_window
-FROM daily WINDOW w AS {frame(20)}""")
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM daily)
+WINDOW w AS {frame(20)}, past AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def rolling_quantiles_and_slope(spark, sf_dir):
     w = W.trailing(20)
-    day = F.unix_date("date").cast("double")
-    return daily_orders(spark, sf_dir).select(
+    # The slope over the 20 rows before this one, by row number.
+    past = W.ordered().rowsBetween(-20, -1)
+    slope = F.when(F.count(F.lit(1)).over(past) >= 20, F.regr_slope(F.col("close"), F.col("n")).over(past)).otherwise(0.0)
+    return daily_orders(spark, sf_dir).withColumn("n", F.row_number().over(W.ordered())).select(
         "symbol",
         "date",
         F.round(F.percentile("close", 0.9).over(w), 4).alias("q90"),
         F.round(F.percentile("close", 0.5).over(w), 4).alias("med"),
-        F.round(F.regr_slope(F.col("close"), day).over(w), 4).alias("slope"),
+        F.round(slope, 4).alias("slope"),
         (F.col("low") == F.min("low").over(W.trailing(7))).alias("lowest_of_7"),
         (F.count(F.lit(1)).over(w) >= 20).alias("full_window"),
     )
@@ -284,7 +288,18 @@ def touch_summary(spark, sf_dir):
     return rounded(labels.touch_summary(labels.triple_barrier(daily_orders(spark, sf_dir))), 6, "mean_return", "mean_idx")
 
 
-@query()
+@query(f"""
+WITH {BARRIER_SQL}, before AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS move FROM daily),
+rolled AS (
+  SELECT symbol, date, count(move) OVER w14 AS n14, avg(greatest(move, 0)) OVER w14 AS up, avg(greatest(-move, 0)) OVER w14 AS down,
+         count(*) OVER w20 AS n20, (close - avg(close) OVER w20) / (stddev_samp(close) OVER w20 + 1e-10) AS z
+  FROM before WINDOW w14 AS {frame(14)}, w20 AS {frame(20)}),
+features AS (
+  SELECT symbol, date, CASE WHEN n14 >= 14 THEN round(100 - 100 / (1 + up / (down + 1e-10)), 6) END AS rsi,
+         CASE WHEN n20 >= 20 THEN round(least(greatest(z, -4), 4), 6) ELSE 0 END AS z20 FROM rolled)
+SELECT symbol, CAST(CASE touch_type WHEN 'upper' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END AS BIGINT) AS label, count(*) AS n,
+       round(avg(rsi), 4) AS mean_rsi, round(avg(z20), 4) AS mean_z20
+FROM features JOIN labelled USING (symbol, date) GROUP BY 1, 2""")
 def rsi_zscore_labels(spark, sf_dir):
     """The end-to-end slice: bars, features, labels and a summary by label."""
     features = rolling_features(spark, sf_dir)
@@ -308,17 +323,27 @@ def performance(spark, sf_dir):
 
 
 @query("""
-WITH scored AS (SELECT l_returnflag AS symbol, l_extendedprice AS score, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS hit FROM lineitem),
-ranked AS (
-  SELECT *, rank() OVER (PARTITION BY symbol ORDER BY score) + (count(*) OVER (PARTITION BY symbol, score) - 1) / 2.0 AS r FROM scored)
-SELECT symbol, round((sum(CASE WHEN hit = 1 THEN r END) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * sum(1 - hit)), 8) AS auc,
-       CAST(sum(hit) AS BIGINT) AS n_pos
-FROM ranked GROUP BY 1""")
+WITH scored AS (
+  SELECT l_returnflag AS symbol, l_extendedprice AS score, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS hit,
+         row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey DESC, l_linenumber DESC) AS place FROM lineitem),
+recent AS (SELECT * FROM scored WHERE place <= 500),
+pairs AS (
+  SELECT p.symbol, avg(CASE WHEN p.score > n.score THEN 1 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS auc
+  FROM recent p JOIN recent n ON p.symbol = n.symbol AND p.hit = 1 AND n.hit = 0 GROUP BY 1),
+sizes AS (SELECT symbol, count(*) AS n_predictions FROM scored GROUP BY 1),
+base AS (SELECT s.symbol, n_predictions, CASE WHEN n_predictions >= 10 THEN auc END AS auc,
+                CASE s.symbol WHEN 'A' THEN 0.6 WHEN 'N' THEN 0.54 ELSE 0.5 END AS baseline_auc FROM sizes s LEFT JOIN pairs p USING (symbol))
+SELECT symbol, round(auc, 4) AS rolling_auc, baseline_auc, round(coalesce(baseline_auc - auc, 0), 4) AS decay, n_predictions,
+       CASE WHEN n_predictions < 10 THEN 'INSUFFICIENT_DATA' WHEN auc IS NULL THEN 'SINGLE_CLASS' WHEN baseline_auc - auc >= 0.05 THEN 'CRITICAL'
+            WHEN baseline_auc - auc >= 0.03 THEN 'DEGRADING' ELSE 'NONE' END AS alert,
+       n_predictions >= 10 AND auc IS NOT NULL AND baseline_auc - auc >= 0.05 AS should_retrain
+FROM base""")
 def rolling_auc(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("symbol"), F.col("l_extendedprice").alias("score"), (F.col("l_discount") > 0.05).cast("int").alias("hit")
+        F.col("l_returnflag").alias("symbol"), F.col("l_extendedprice").alias("score"), (F.col("l_discount") > 0.05).cast("int").alias("label"), "l_orderkey", "l_linenumber"
     )
-    return rounded(monitoring.auc(rows, "score", "hit"), 8, "auc")
+    baselines = spark.createDataFrame([("A", 0.6), ("N", 0.54), ("R", 0.5)], "symbol string, baseline_auc double")
+    return monitoring.recent_auc(rows, ["l_orderkey", "l_linenumber"], baselines)
 
 
 @query("""
@@ -344,11 +369,11 @@ def stability_index(spark, sf_dir):
 @query(f"""
 WITH {DAILY}, numbered AS (
   SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS n, count(*) OVER (PARTITION BY symbol) AS total FROM daily),
-split AS (SELECT *, unnest(range(5)) AS k FROM numbered)
+folds AS (SELECT *, unnest(range(5)) AS k FROM numbered),
+edges AS (SELECT *, k * (total // 5) AS a, CASE WHEN k = 4 THEN total ELSE (k + 1) * (total // 5) END AS b FROM folds WHERE total >= 5)
 SELECT symbol, date, CAST(k AS INTEGER) AS fold,
-       CASE WHEN n >= floor(k * total / 5) AND n < floor((k + 1) * total / 5) THEN 'test'
-            WHEN n >= floor(k * total / 5) - 5 AND n < floor((k + 1) * total / 5) + 5 THEN 'purged' ELSE 'train' END AS role
-FROM split""")
+       CASE WHEN n >= a AND n < b THEN 'test' WHEN n < a - 5 OR (k < 4 AND n >= b + 2) THEN 'train' ELSE 'purged' END AS role
+FROM edges WHERE a - 5 > 0 OR (k < 4 AND b + 2 < total)""")
 def purged_folds(spark, sf_dir):
     return monitoring.purged_folds(daily_orders(spark, sf_dir))
 

@@ -9,15 +9,12 @@ from tidemark.operators import align, bars, calendar, risk
 from tidemark.plans.catalog import DAILY, RETURNS, frame, query, returns, rounded
 from tidemark.sources.market import daily_orders, table, ticks
 
-#: Rows that an exponential mean looks back over: what lies further weighs less than 1e-12.
-EWM_ROWS = 400
-
 
 @query(f"""
 WITH {RETURNS}, past AS (
-  SELECT symbol, date, list(ret) OVER w AS r, quantile_cont(ret, 0.05) OVER w AS cut FROM returns WHERE ret IS NOT NULL
+  SELECT symbol, date, list(ret) FILTER (ret IS NOT NULL) OVER w AS r, quantile_cont(ret, 0.05) OVER w AS cut, count(*) OVER w AS n FROM returns
   WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-SELECT symbol, date, round(CASE WHEN len(r) >= 20 THEN abs(list_avg(list_filter(r, lambda x: x <= cut))) END, 6) AS cvar FROM past""")
+SELECT symbol, date, round(CASE WHEN n >= 60 AND len(r) >= 2 THEN abs(list_avg(list_filter(r, lambda x: x <= cut))) END, 6) AS cvar FROM past""")
 def rolling_cvar(spark, sf_dir):
     return rounded(risk.rolling_cvar(returns(spark, sf_dir)), 6, "cvar").select("symbol", "date", "cvar")
 
@@ -46,21 +43,15 @@ def range_volatility(spark, sf_dir):
 
 
 @query(f"""
-WITH {RETURNS}, each AS (SELECT *, abs(ret) * 1e6 / (close * volume) AS x FROM returns)
-SELECT symbol, date, round(CASE WHEN count(x) OVER {frame(20)} >= 20 THEN avg(x) OVER {frame(20)} END, 6) AS amihud FROM each""")
-def illiquidity(spark, sf_dir):
-    return rounded(risk.illiquidity(returns(spark, sf_dir)), 6, "amihud").select("symbol", "date", "amihud")
-
-
-@query(f"""
-WITH {DAILY}, past AS (SELECT *, list(close) OVER {frame(EWM_ROWS)} AS path FROM daily), means AS (
-  SELECT *, list_reduce(path, lambda a, x: a + (x - a) * 2 / 13.0::DOUBLE) AS fast, list_reduce(path, lambda a, x: a + (x - a) * 2 / 27.0::DOUBLE) AS slow
+WITH {DAILY}, past AS (SELECT *, list(close) OVER (PARTITION BY symbol ORDER BY date) AS path FROM daily), means AS (
+  SELECT *, list_reduce(path, lambda a, x: a + (x - a) * 2 / 13.0::DOUBLE) AS fast, list_reduce(path, lambda a, x: a + (x - a) * 2 / 27.0::DOUBLE) AS slow,
+         list_reduce(path, lambda a, x: a + (x - a) * 2 / 201.0::DOUBLE) AS slowest
   FROM past)
-SELECT symbol, date, round(fast, 3) AS ema12, round(slow, 3) AS ema26, round(fast - slow, 3) AS macd FROM means""")
+SELECT symbol, date, round(fast, 3) AS ema12, round(slow, 3) AS ema26, round(slowest, 3) AS ema200, round(fast - slow, 3) AS macd FROM means""")
 def exponential_means(spark, sf_dir):
-    rows = daily_orders(spark, sf_dir).withColumn("path", F.collect_list("close").over(W.trailing(EWM_ROWS)))
-    rows = rows.withColumns({f"ema{n}": W.ewm(F.col("path"), n) for n in (12, 26)}).withColumn("macd", F.col("ema12") - F.col("ema26"))
-    return rounded(rows, 3, "ema12", "ema26", "macd").select("symbol", "date", "ema12", "ema26", "macd")
+    rows = W.exponential(daily_orders(spark, sf_dir).select("symbol", "date", "close"), "close", {f"ema{n}": n for n in (12, 26, 200)})
+    rows = rows.withColumn("macd", F.col("ema12") - F.col("ema26")).drop("close")
+    return rounded(rows, 3, "ema12", "ema26", "ema200", "macd")
 
 
 @query(f"""

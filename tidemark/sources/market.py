@@ -30,3 +30,10 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("symbol"), F.col("value").alias("price"))
+
+
+def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks with a volume, the number in their properties."""
+    rows = table(spark, sf_dir, "events")
+    volume = F.get_json_object("props", "$.k").cast("double").alias("volume")
+    return rows.select("event_id", "ts", "user_id", F.col("event_type").alias("symbol"), F.col("value").alias("price"), volume)

@@ -33,6 +33,14 @@ def unique_ticks(ticks: DataFrame, late: str = "3 days") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["event_id"])
 
 
+def corrected_bars(bars: DataFrame, late: str = "3 days") -> DataFrame:
+    """The last version of each bar of ``symbol, ts``: a later ``arrived`` overrides, until the watermark closes the bar."""
+    rows = bars.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    others = [c for c in bars.columns if c not in ("symbol", "ts", "arrived")]
+    last = F.max_by(F.struct(*others), "arrived").alias("last")
+    return rows.groupBy("symbol", "ts").agg(last).select("symbol", "ts", "last.*")
+
+
 def fresh_signals(signals: DataFrame, interval_seconds: int = 3600) -> DataFrame:
     """Signals not within ``interval_seconds`` of the last recorded one of their symbol and kind.
 
