@@ -1,5 +1,5 @@
 """Registered queries; importing the package fills the catalog."""
 
-from tidemark.plans import catalog, features, frames, research
+from tidemark.plans import catalog, cleaning, features, frames, research, validation
 
-__all__ = ["catalog", "features", "frames", "research"]
+__all__ = ["catalog", "cleaning", "features", "frames", "research", "validation"]
