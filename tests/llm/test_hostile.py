@@ -2,13 +2,14 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from tidemark.llm import langid, mixing, neardup, packing, pii, queries, quotes, warc
+from tidemark.llm import langid, mixing, neardup, packing, pii, queries, quotes, topk, warc
 
 MANY = 100_000
 
@@ -273,3 +274,43 @@ def test_buckets_of_the_mix_are_even(spark):
     finally:
         mixing.running_total = real
     assert sum(seen) == 40_000 and max(seen) < 2 * 40_000 / len(seen)
+
+
+def test_top_k_over_many_shards_and_query_groups(spark, monkeypatch):
+    """Ties at the k-th place, several shards, groups and copies, repeated ids and rows, against brute force."""
+    monkeypatch.setattr(topk, "MOST_CELLS", 7)
+    monkeypatch.setattr(topk, "CHUNK_SHARDS", 5)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 2, (6, 8))
+    rows = [(i, [float(x) for x in np.round((centres[i % 6] + rng.normal(0, 0.2, 8)) * 4) / 4]) for i in range(4000)]
+    rows += [(i, rows[0][1]) for i in range(5000, 5040)] + rows[40:60] + [(9000, []), (9001, [1.0]), (9020, [0.5] * 8)]
+    vectors = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, shard string, id int")
+    got = {}
+    for r in topk.top_k(vectors, lambda i: i % 20 == 0, k=10, query_rows=30, shard_rows=150).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    matrix = np.zeros((len(rows), 8), np.int64)
+    for i, (_, v) in enumerate(rows):
+        matrix[i, : len(v)] = np.floor(64 * np.array(v, np.float32).astype(float))
+    ids = np.array([i for i, _ in rows])
+    for at in np.flatnonzero(ids % 20 == 0):
+        if (ids == ids[at]).sum() > 1:
+            continue
+        scores = matrix @ matrix[at]
+        found = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != ids[at])[:10]
+        assert sorted(got[ids[at]]) == [(place, -s, i) for place, (s, i) in enumerate(found, 1)], ids[at]
+
+
+def test_top_k_prunes_clustered_vectors():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 3, (40, 16))
+    rows = np.floor(64 * (centres[rng.integers(0, 40, 8000)] + rng.normal(0, 0.1, (8000, 16))))
+    queries = rows[::200]
+    *_, scored = topk.search_shard(np.arange(len(queries)) + 10**6, queries, np.arange(8000), rows, 20)
+    assert scored < 0.25 * len(queries) * len(topk.blocks_of(rows))
+
+
+def test_top_k_beyond_doubles():
+    big = 2**30
+    rows = np.array([[big + 1, 1], [big, 2], [big + 1, 0]], float)
+    at, ids, scores, _ = topk.search_shard(np.array([99]), np.array([[big + 1, 1.0]]), np.arange(3), rows, 2)
+    assert scores.tolist() == [(big + 1) ** 2 + 1, (big + 1) ** 2] and ids.tolist() == [0, 2]
