@@ -59,7 +59,7 @@ SLACK = 7.0
 SMALL_ROWS = 1_000_000
 #: Shingles and sets in one block of a list that is compared in full.
 BLOCK_SHINGLES = 1 << 19
-BLOCK_SETS = 1 << 10
+BLOCK_SETS = 1 << 12
 
 
 def least_overlap(n: int, similarity: float, k: int, slack: float) -> int:
@@ -69,9 +69,16 @@ def least_overlap(n: int, similarity: float, k: int, slack: float) -> int:
     return max(1, int(k * similarity - slack * sqrt(k * similarity * (1 - similarity))))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few full sets are in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sketches(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(text.as_py(), words) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -89,7 +96,7 @@ def _sketches(words: int, k: int):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(text.as_py(), words).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "shingles"])
 
@@ -114,7 +121,7 @@ def _confirm(similarity: tuple[int, int]):
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 512) -> np.ndarray:
     """Sizes of the intersections of each left set with each right one.
 
     Shingles that few sets share are counted pair by pair, the others by products of their

@@ -33,7 +33,7 @@ from .common import Scratch, running_total
 
 MAX_LEN = 2048
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
