@@ -76,7 +76,7 @@ def members_at(changes: DataFrame, dates: DataFrame) -> DataFrame:
     A spell is expanded to the dates it covers, so no date is joined with all spells.
     """
     last = dates.agg(F.max("date").alias("_last"))
-    days = changes.join(F.broadcast(last)).filter("joined <= coalesce(date_sub(left, 1), _last)").select(
+    days = changes.join(F.broadcast(last)).filter("joined <= least(coalesce(date_sub(left, 1), _last), _last)").select(
         "symbol", F.explode(F.sequence("joined", F.least(F.coalesce(F.date_sub("left", 1), "_last"), "_last"))).alias("date")
     )
     return days.join(dates.select("date").distinct(), "date", "left_semi").select("date", "symbol").distinct()
