@@ -55,3 +55,60 @@ def horizon_signals(daily: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10))
         }
     )
     return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in rows.columns if c.startswith("mh_")})
+
+
+def stopped_trades(signals: DataFrame, stake: float = 0.10, stop: float = 0.01, take: float = 0.02, capital: float = 100_000.0, commission: float = 0.005, n: int = 20) -> DataFrame:
+    """A compounding portfolio per symbol: each signal's trade opens at the open and ends the same day.
+
+    ``signals`` has daily bars with ``ret`` and ``signal`` (LONG, SHORT or HOLD). A trade ends at its
+    stop if the day's range touches it, else at its target, else at the close. It stakes the share
+    ``stake`` of the equity before it. What a trade earns per unit staked does not depend on the
+    equity up to the order-size part of the slippage, so equity is folded over the day's results in
+    date order; days of one symbol are few.
+    """
+    before = W.ordered().rowsBetween(-n, -1)
+    vol = F.when(F.count("ret").over(before) >= n, F.stddev_samp("ret").over(before) * 252**0.5).otherwise(0.15)
+    way = F.when(F.col("signal") == "LONG", 1.0).otherwise(-1.0)
+    rows = signals.withColumn("volatility", vol).filter("signal != 'HOLD'").withColumn("way", way)
+    low, high, open_ = F.col("low"), F.col("high"), F.col("open")
+    stop_at, take_at = open_ * (1 - F.col("way") * stop), open_ * (1 + F.col("way") * take)
+    long = F.col("way") > 0
+    stopped = F.when(long, low <= stop_at).otherwise(high >= stop_at)
+    taken = F.when(long, high >= take_at).otherwise(low <= take_at)
+    rows = rows.withColumns(
+        {
+            "exit_reason": F.when(stopped, "stop_loss").when(taken, "take_profit").otherwise("end_of_day"),
+            "exit_price": F.when(stopped, stop_at).when(taken, take_at).otherwise(F.col("close")),
+        }
+    )
+    day = F.struct("date", "open", "exit_price", "way", "volatility", "exit_reason")
+    ordered = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(day)).alias("days"))
+    empty = F.expr("CAST(array() AS array<struct<date: date, pnl: double, return_pct: double, equity: double>>)")
+
+    def step(state: Column, d: Column) -> Column:
+        equity = state.getField("equity")
+        value = equity * stake
+        slip = slippage(value, d.getField("volatility"))
+        entry = d.getField("open") * (1 + d.getField("way") * slip)
+        leave = d.getField("exit_price") * (1 - d.getField("way") * slip)
+        shares = value / entry
+        pnl = d.getField("way") * (leave - entry) * shares - 2 * commission * shares
+        done = F.struct(d.getField("date").alias("date"), pnl.alias("pnl"), (pnl / value).alias("return_pct"), (equity + pnl).alias("equity"))
+        return F.struct((equity + pnl).alias("equity"), F.concat(state.getField("done"), F.array(done)).alias("done"))
+
+    folded = ordered.withColumn("out", F.aggregate("days", F.struct(F.lit(capital).alias("equity"), empty.alias("done")), step, lambda s: s.getField("done")))
+    found = folded.select("symbol", F.explode("out").alias("o")).select("symbol", "o.*")
+    return rows.select("symbol", "date", "signal", "exit_reason", F.col("open").alias("entry_price"), "exit_price").join(found, ["symbol", "date"])
+
+
+# Volatility index levels and the share of the Kelly fraction below each; the last holds above all.
+VOLATILITY_STEPS = ((15.0, 0.50), (25.0, 0.35), (35.0, 0.20))
+ABOVE = 0.10
+
+
+def stepped_kelly(win_rate: Column, ratio: Column, level: Column, least: float = 0.01, most: float = 0.25) -> Column:
+    """Kelly fraction scaled down in steps of a volatility index, within ``least`` to ``most``."""
+    scale = F.lit(ABOVE)
+    for limit, share in reversed(VOLATILITY_STEPS):
+        scale = F.when(level < limit, share).otherwise(scale)
+    return F.greatest(F.least(kelly(win_rate, ratio, 1.0, 1.0) * scale, F.lit(most)), F.lit(least))

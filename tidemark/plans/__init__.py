@@ -1,5 +1,5 @@
 """Registered queries; importing the package fills the catalog."""
 
-from tidemark.plans import catalog, cleaning, families, features, frames, research, validation
+from tidemark.plans import catalog, cleaning, families, features, frames, research, stores, universes, validation
 
-__all__ = ["catalog", "cleaning", "families", "features", "frames", "research", "validation"]
+__all__ = ["catalog", "cleaning", "families", "features", "frames", "research", "stores", "universes", "validation"]
