@@ -255,7 +255,7 @@ def test_induced_sort_keeps_few_tuples_in_memory(monkeypatch):
     assert all(q.most <= memory for q in queues) and sum(q.spooled for q in queues) > len(text)
 
 
-@pytest.mark.parametrize(("shard", "counters"), [(600, 3), (1 << 22, 1024), (1 << 22, 2)])
+@pytest.mark.parametrize(("shard", "counters"), [(600, 3), (1 << 22, 1024)])
 def test_suffix_dedup(spark, monkeypatch, shard, counters):
     monkeypatch.setattr(suffix_dedup, "COUNTERS", counters)
     _, docs = fixture(spark)
