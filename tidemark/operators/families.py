@@ -415,3 +415,85 @@ def fund_flow(rows: DataFrame, window: int = 20, long: int = 60) -> DataFrame:
         }
     )
     return _done(rows, ["etf_flow_spy_20d", "etf_flow_spy_z", "etf_flow_creation_redemption", "etf_flow_short_interest_ratio"])
+
+
+def volatility_of_volatility(rows: DataFrame) -> DataFrame:
+    """Volatility of volatility: from ``vvix_close`` (carried forward), or from realised volatility's own deviation."""
+    names = [f"vvix_{c}" for c in "level_z vix_ratio momentum_5d momentum_20d percentile vix_divergence acceleration regime".split()]
+    rows = rows.withColumn("filled", F.coalesce("ret", F.lit(0.0))).withColumn("realised", std("filled", 20, 5) * YEAR)
+    z = lambda x: W.clip((col(x) - mean(x, 60, 20)) / F.when(std(x, 60, 20) == 0, 1.0).otherwise(std(x, 60, 20)), -4.0, 4.0)
+    if "vvix_close" in rows.columns:
+        # A leading gap takes the first value there is.
+        first = F.first("vvix_close", ignorenulls=True).over(W.ordered().rowsBetween(0, Window.unboundedFollowing))
+        rows = rows.withColumn("x", F.coalesce("vvix_close", first))
+        level = F.coalesce(F.nullif(col("realised") * 100, F.lit(0.0)), F.lit(20.0))
+        place = F.when(F.count("x").over(W.trailing(252)) >= 60, _rank_share("x", 252))
+        rows = rows.withColumns({"vvix_vix_ratio": F.coalesce(col("x") / level, F.lit(1.0)), "vvix_percentile": F.coalesce(place, F.lit(0.5))})
+        divergence = z("vvix_vix_ratio")
+    else:
+        rows = rows.withColumn("x", std("realised", 20, 5) * YEAR)
+        level = F.coalesce(F.nullif("realised", F.lit(0.0)), F.lit(0.15))
+        rows = rows.withColumns({"vvix_vix_ratio": F.coalesce(col("x") / level, F.lit(1.0)), "vvix_percentile": F.lit(0.5)})
+        divergence = F.lit(0.0)
+    rows = rows.withColumns({"vvix_level_z": z("x"), "vvix_vix_divergence": divergence, "vvix_momentum_5d": F.coalesce(change("x", 5), F.lit(0.0)), "vvix_momentum_20d": change("x", 20)})
+    # The proxy's first known acceleration compares with an unknown move, which stays unknown there.
+    moved = "vvix_momentum_5d"
+    if "vvix_close" not in rows.columns:
+        rows, moved = rows.withColumn("moved", change("x", 5)), "moved"
+    return _done(rows.withColumns({"vvix_acceleration": diff(moved, 5), "vvix_regime": three_ways(F.coalesce("vvix_level_z", F.lit(0.0)), 1.0)}), names)
+
+
+def _rank_share(x: str, n: int) -> Column:
+    """The average rank of the row's value among the last ``n``, as a share of them."""
+    frame = W.trailing(n)
+    past = F.collect_list(x).over(frame)
+    below = F.size(F.filter(past, lambda v: v < col(x)))
+    equal = F.size(F.filter(past, lambda v: v == col(x)))
+    return (below + (equal + 1) / 2.0) / F.size(past)
+
+
+def rotation_of_sectors(rows: DataFrame, cyclical: list[str], defensive: list[str], n: int = 20) -> DataFrame:
+    """One row per date over the symbols as sectors: how fast their ranks change, leaders, laggards and concentration."""
+    rows = rows.withColumn("moved", F.coalesce(change("close", n), F.lit(0.0)))
+    day = Window.partitionBy("date")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("date", "moved"))
+    rows = rows.withColumn("rank", F.rank().over(day.orderBy(F.desc("moved"))) + (ties - 1) / 2.0)
+    rows = rows.withColumn("shift", F.abs(diff("rank", 5)))
+    top, bottom = F.sort_array(F.collect_list("moved"), asc=False), F.sort_array(F.collect_list("moved"))
+    average = lambda xs: F.aggregate(F.slice(xs, 1, 3), F.lit(0.0), lambda a, v: a + v) / F.size(F.slice(xs, 1, 3))
+    of = lambda names: F.mean(F.when(col("symbol").isin(names), col("moved")))
+    days = rows.groupBy("date").agg(
+        F.coalesce(F.mean("shift"), F.lit(0.0)).alias("secrot_rotation_speed"),
+        average(top).alias("secrot_leader_momentum"),
+        average(bottom).alias("secrot_laggard_momentum"),
+        F.coalesce(F.stddev_samp("moved"), F.lit(0.0)).alias("secrot_momentum_dispersion"),
+        F.sum(F.abs("moved")).alias("size"),
+        F.coalesce(of(cyclical) - of(defensive), F.lit(0.0)).alias("secrot_cyclical_vs_defensive"),
+    )
+    leader = col("secrot_leader_momentum")
+    # One row per date is ordered here.
+    days = days.withColumn("symbol", F.lit("all")).withColumns(
+        {"secrot_leader_laggard_spread": leader - col("secrot_laggard_momentum"), "secrot_top3_concentration": F.abs(leader) * 3 / F.when(col("size") == 0, 1.0).otherwise(col("size"))}
+    )
+    x = "secrot_rotation_speed"
+    spread = std(x, 60, 20)
+    z = (col(x) - mean(x, 60, 20)) / F.when(spread == 0, 1.0).otherwise(spread)
+    names = "rotation_speed leader_momentum laggard_momentum leader_laggard_spread momentum_dispersion top3_concentration cyclical_vs_defensive regime".split()
+    return _done(days.withColumn("secrot_regime", three_ways(F.coalesce(z, F.lit(0.0)), 1.0)), [f"secrot_{c}" for c in names]).drop("symbol")
+
+
+def rotation_from_bars(rows: DataFrame) -> DataFrame:
+    """The rotation columns where there are no sectors: from the symbol's own mean and deviation."""
+    rows = rows.withColumn("filled", F.coalesce("ret", F.lit(0.0)))
+    rows = rows.withColumns({"m": mean("filled", 20, 5), "s": std("filled", 20, 5)})
+    found = {
+        "secrot_rotation_speed": col("s") * 10,
+        "secrot_leader_momentum": col("m") + col("s"),
+        "secrot_laggard_momentum": col("m") - col("s"),
+        "secrot_leader_laggard_spread": col("s") * 2,
+        "secrot_momentum_dispersion": col("s"),
+        "secrot_top3_concentration": F.lit(0.5),
+        "secrot_cyclical_vs_defensive": F.lit(0.0),
+        "secrot_regime": F.lit(0.0),
+    }
+    return _done(rows.withColumns(found), list(found))

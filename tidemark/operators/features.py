@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.operators.calendar import nth_weekday
+from tidemark.operators.calendar import MEETINGS, nth_weekday
 
 
 def order_flow(bars: DataFrame) -> DataFrame:
@@ -29,21 +29,31 @@ def order_flow(bars: DataFrame) -> DataFrame:
     ).withColumn("regime", W.regime(F.col("z60"), 1.0))
 
 
+# Month, first and last day, and weekday (Monday is 0) of the days before market holidays.
+HOLIDAY_EVES = (
+    (1, 1, 1, None),
+    (5, 25, 31, 4),
+    (7, 2, 3, None),
+    (11, 22, 30, 2),
+    (12, 23, 24, None),
+    (12, 30, 31, None),
+)
+
+
 def seasonality(days: DataFrame) -> DataFrame:
     """Adds flags of calendar anomalies; they read nothing but the row's date."""
     date = F.col("date")
     month, day, weekday = F.month(date), F.dayofmonth(date), F.weekday(date)
-    holiday = (
-        ((month == 7) & day.isin(2, 3))
-        | ((month == 11) & (day >= 22) & (weekday == 2))
-        | ((month == 12) & day.isin(23, 24, 30, 31))
-        | ((month == 1) & (day == 1))
-        | ((month == 5) & (day >= 25) & (weekday == 4))
-    )
+    holiday = F.lit(False)
+    for in_month, first, last, on in HOLIDAY_EVES:
+        inside = (month == in_month) & day.between(first, last)
+        holiday |= inside if on is None else inside & (weekday == on)
+    meetings = F.array(*[F.lit(d).cast("date") for d in MEETINGS])
     return days.withColumns(
         {
             "turn_of_month": (day <= 3) | (day >= 27),
             "january": month == 1,
+            "before_meeting": F.array_contains(meetings, date) | F.array_contains(meetings, F.date_add(date, 1)),
             "before_holiday": holiday,
             "santa_claus": ((month == 12) & (day >= 25)) | ((month == 1) & (day <= 2)),
             "quad_witching": month.isin(3, 6, 9, 12) & (date == nth_weekday(F.trunc(date, "month"), 4, 3)),
@@ -124,7 +134,7 @@ def disagreement(rows: DataFrame, members: list[str]) -> DataFrame:
 
 
 def l_moments(returns: DataFrame, n: int = 20) -> DataFrame:
-    """Adds L-variation, L-skewness and L-kurtosis of the ``n`` returns before the row, itself left out."""
+    """Adds L-variation, L-skewness and L-kurtosis of the ``n`` returns before the row, itself left out, and the z-score of L-skewness."""
     seen = F.collect_list("_r").over(W.ordered().rowsBetween(-n, -1))
     rows = returns.withColumn("_r", F.coalesce("ret", F.lit(0.0))).withColumn("_s", F.array_sort(seen))
     total = lambda weight: F.aggregate(F.transform("_s", lambda x, j: weight(j.cast("double")) * x), F.lit(0.0), lambda a, v: a + v) / n
@@ -139,13 +149,18 @@ def l_moments(returns: DataFrame, n: int = 20) -> DataFrame:
     b0, b1, b2, b3 = (F.col(f"_b{i}") for i in range(4))
     l2, full = 2 * b1 - b0, F.size("_s") == n
     ratio = lambda top: F.when(full & (l2 > W.EPSILON), W.clip(top / l2, -1, 1)).otherwise(0.0)
-    return rows.withColumns(
+    found = rows.withColumns(
         {
             "lcv": F.when(full & (F.abs(b0) > W.EPSILON), W.clip(l2 / F.abs(b0), 0, 50)).otherwise(0.0),
-            "lskew": ratio(6 * b2 - 6 * b1 + b0),
+            "_lskew": F.when(full & (l2 > W.EPSILON), (6 * b2 - 6 * b1 + b0) / l2).otherwise(0.0),
             "lkurt": ratio(20 * b3 - 30 * b2 + 12 * b1 - b0),
         }
-    ).drop("_r", "_s", "_b0", "_b1", "_b2", "_b3")
+    )
+    x = F.col("_lskew")
+    spread = W.rolling(F.stddev_samp, x, 60, 30)
+    z = (x - W.rolling(F.mean, x, 60, 30)) / F.when(spread == 0, 1e-10).otherwise(spread)
+    found = found.withColumns({"lskew": W.clip(x, -1, 1), "lskew_z": F.coalesce(W.clip(z, -5, 5), F.lit(0.0))})
+    return found.drop("_r", "_s", "_b0", "_b1", "_b2", "_b3", "_lskew")
 
 
 def neutralized(rows: DataFrame, x: str, market: str, share: float = 0.01) -> DataFrame:

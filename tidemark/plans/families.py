@@ -536,3 +536,93 @@ def short_interest_features_from_bars(spark, sf_dir):
 )
 def fund_flow_features(spark, sf_dir):
     return shown(M.fund_flow(returns(spark, sf_dir)), 4)
+
+
+VVIX = [f"vvix_{c}" for c in "level_z vix_ratio momentum_5d momentum_20d percentile vix_divergence acceleration regime".split()]
+
+
+def _bounded(x: str) -> str:
+    s = r("stddev_samp", x, 60, 20)
+    return clip(f"({x} - ({r('avg', x, 60, 20)})) / CASE WHEN ({s}) = 0 THEN 1 ELSE ({s}) END", -4, 4)
+
+
+@query(
+    sql(
+        {"filled": "coalesce(ret, 0)", "x": "coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"},
+        {"realised": f"({r('stddev_samp', 'filled', 20, 5)}) * sqrt(252)", "past": f"list(x) OVER {w(252)}"},
+        {
+            "vvix_vix_ratio": "coalesce(x / coalesce(nullif(realised * 100, 0), 20), 1)",
+            "vvix_percentile": "CASE WHEN len(past) >= 60 THEN (len(list_filter(past, lambda p: p < x)) + (len(list_filter(past, lambda p: p = x)) + 1) / 2.0) / len(past) ELSE 0.5 END",
+            "vvix_level_z": _bounded("x"),
+            "vvix_momentum_5d": f"coalesce(x / {lag('x', 5)} - 1, 0)",
+            "vvix_momentum_20d": f"x / {lag('x', 20)} - 1",
+        },
+        {"vvix_vix_divergence": _bounded("vvix_vix_ratio"), "vvix_acceleration": f"vvix_momentum_5d - {lag('vvix_momentum_5d', 5)}", "vvix_regime": ways("coalesce(vvix_level_z, 0)", 1)},
+        names=VVIX,
+        sources={"v": "score"},
+        digits=4,
+    )
+)
+def volatility_of_volatility_features(spark, sf_dir):
+    return shown(M.volatility_of_volatility(sourced(spark, sf_dir, {"vvix_close": "score"})), 4)
+
+
+@query(
+    sql(
+        {"filled": "coalesce(ret, 0)"},
+        {"realised": f"({r('stddev_samp', 'filled', 20, 5)}) * sqrt(252)"},
+        {"x": f"({r('stddev_samp', 'realised', 20, 5)}) * sqrt(252)"},
+        {
+            "vvix_vix_ratio": "coalesce(x / coalesce(nullif(realised, 0), 0.15), 1)",
+            "vvix_percentile": "0.5",
+            "vvix_vix_divergence": "0",
+            "vvix_level_z": _bounded("x"),
+            "vvix_momentum_5d": f"x / {lag('x', 5)} - 1",
+            "vvix_momentum_20d": f"x / {lag('x', 20)} - 1",
+        },
+        {"vvix_acceleration": f"vvix_momentum_5d - {lag('vvix_momentum_5d', 5)}", "vvix_regime": ways("coalesce(vvix_level_z, 0)", 1)},
+        names=VVIX,
+        digits=3,
+    )
+)
+def volatility_of_volatility_features_from_bars(spark, sf_dir):
+    return shown(M.volatility_of_volatility(returns(spark, sf_dir)), 3)
+
+
+@query(f"""
+WITH {RETURNS}, moved AS (SELECT symbol, date, coalesce(close / {lag('close', 20)} - 1, 0) AS m FROM returns),
+ranked AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY m DESC) + (count(*) OVER (PARTITION BY date, m) - 1) / 2.0 AS k FROM moved),
+shifted AS (SELECT *, abs(k - {lag('k', 5)}) AS shift FROM ranked),
+days AS (
+  SELECT 'all' AS symbol, date, coalesce(avg(shift), 0) AS speed, list_avg(list_reverse_sort(list(m))[1:3]) AS lead_, list_avg(list_sort(list(m))[1:3]) AS lag_, coalesce(stddev_samp(m), 0) AS disp,
+         sum(abs(m)) AS size, coalesce(avg(m) FILTER (symbol IN ('1-URGENT', '2-HIGH')) - avg(m) FILTER (symbol IN ('4-NOT SPECIFIED', '5-LOW')), 0) AS cyc FROM shifted GROUP BY 2),
+z AS (SELECT *, (speed - ({r('avg', 'speed', 60, 20)})) / CASE WHEN ({r('stddev_samp', 'speed', 60, 20)}) = 0 THEN 1 ELSE ({r('stddev_samp', 'speed', 60, 20)}) END AS z FROM days)
+SELECT date, round(speed, 5) AS secrot_rotation_speed, round(lead_, 5) + 0.0 AS secrot_leader_momentum, round(lag_, 5) + 0.0 AS secrot_laggard_momentum, round(lead_ - lag_, 5) + 0.0 AS secrot_leader_laggard_spread,
+       round(disp, 5) AS secrot_momentum_dispersion, round(abs(lead_) * 3 / CASE WHEN size = 0 THEN 1 ELSE size END, 5) AS secrot_top3_concentration, round(cyc, 5) + 0.0 AS secrot_cyclical_vs_defensive,
+       CASE WHEN coalesce(z, 0) > 1 THEN 1.0 WHEN coalesce(z, 0) < -1 THEN -1.0 ELSE 0.0 END AS secrot_regime FROM z""")
+def sector_rotation_features(spark, sf_dir):
+    found = M.rotation_of_sectors(returns(spark, sf_dir), ["1-URGENT", "2-HIGH"], ["4-NOT SPECIFIED", "5-LOW"])
+    names = found.columns[1:]
+    return rounded(found, 5, *names).withColumns({c: F.col(c) + F.lit(0.0) for c in names})
+
+
+@query(
+    sql(
+        {"filled": "coalesce(ret, 0)"},
+        {"m": r("avg", "filled", 20, 5), "s": r("stddev_samp", "filled", 20, 5)},
+        {
+            "secrot_rotation_speed": "s * 10",
+            "secrot_leader_momentum": "m + s",
+            "secrot_laggard_momentum": "m - s",
+            "secrot_leader_laggard_spread": "s * 2",
+            "secrot_momentum_dispersion": "s",
+            "secrot_top3_concentration": "0.5",
+            "secrot_cyclical_vs_defensive": "0",
+            "secrot_regime": "0",
+        },
+        names=[f"secrot_{c}" for c in "rotation_speed leader_momentum laggard_momentum leader_laggard_spread momentum_dispersion top3_concentration cyclical_vs_defensive regime".split()],
+        digits=4,
+    )
+)
+def sector_rotation_features_from_bars(spark, sf_dir):
+    return shown(M.rotation_from_bars(returns(spark, sf_dir)), 4)

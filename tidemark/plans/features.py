@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import bars, features, folds, labels, monitoring, splits, strategy, synthetic
+from tidemark.operators.calendar import MEETINGS
 from tidemark.plans.catalog import DAILY, RETURNS, frame, query, returns, rounded
 from tidemark.sources import files
 from tidemark.sources.market import daily_orders, table, ticks
@@ -35,15 +36,18 @@ def order_flow(spark, sf_dir):
 
 @query(f"""
 WITH {DAILY}, parts AS (
-  SELECT symbol, date, month(date) AS m, day(date) AS d, isodow(date) - 1 AS w, CAST(date_trunc('month', date) AS DATE) AS first FROM daily)
+  SELECT symbol, date, month(date) AS m, day(date) AS d, isodow(date) - 1 AS w, CAST(date_trunc('month', date) AS DATE) AS first
+  FROM (SELECT symbol, CAST(date + INTERVAL 24 YEAR AS DATE) AS date FROM daily))
 SELECT symbol, date, d <= 3 OR d >= 27 AS turn_of_month, m = 1 AS january,
+       list_contains([{", ".join(f"DATE '{d}'" for d in MEETINGS)}], date) OR list_contains([{", ".join(f"DATE '{d}'" for d in MEETINGS)}], date + 1) AS before_meeting,
        (m = 7 AND d IN (2, 3)) OR (m = 11 AND d >= 22 AND w = 2) OR (m = 12 AND d IN (23, 24, 30, 31)) OR (m = 1 AND d = 1)
          OR (m = 5 AND d >= 25 AND w = 4) AS before_holiday,
        (m = 12 AND d >= 25) OR (m = 1 AND d <= 2) AS santa_claus,
        m IN (3, 6, 9, 12) AND date = first + CAST((12 - isodow(first)) % 7 AS INTEGER) + 14 AS quad_witching,
        m BETWEEN 5 AND 10 AS summer, least(w, 4) AS weekday FROM parts""")
 def seasonality(spark, sf_dir):
-    return features.seasonality(daily_orders(spark, sf_dir).select("symbol", "date"))
+    days = daily_orders(spark, sf_dir).select("symbol", F.to_date(F.add_months("date", 24 * 12)).alias("date"))
+    return features.seasonality(days)
 
 
 @query(f"""
@@ -252,12 +256,16 @@ pwm AS (
   SELECT symbol, date, len(s) AS n, list_sum(s) / 20 AS b0, list_sum(list_transform(s, lambda x, i: x * (i - 1) / 19.0)) / 20 AS b1,
          list_sum(list_transform(s, lambda x, i: x * (i - 1) * (i - 2) / 342.0)) / 20 AS b2,
          list_sum(list_transform(s, lambda x, i: x * (i - 1) * (i - 2) * (i - 3) / 5814.0)) / 20 AS b3 FROM seen),
-l AS (SELECT *, 2 * b1 - b0 AS l2, 6 * b2 - 6 * b1 + b0 AS l3, 20 * b3 - 30 * b2 + 12 * b1 - b0 AS l4 FROM pwm)
+l AS (SELECT *, 2 * b1 - b0 AS l2, 6 * b2 - 6 * b1 + b0 AS l3, 20 * b3 - 30 * b2 + 12 * b1 - b0 AS l4 FROM pwm),
+k AS (SELECT *, CASE WHEN n = 20 AND l2 > 1e-10 THEN l3 / l2 ELSE 0 END AS x FROM l),
+z AS (SELECT *, CASE WHEN count(*) OVER w >= 30 THEN (x - avg(x) OVER w) / CASE WHEN stddev_samp(x) OVER w = 0 THEN 1e-10 ELSE stddev_samp(x) OVER w END ELSE 0 END AS z
+      FROM k WINDOW w AS {frame(60)})
 SELECT symbol, date, round(CASE WHEN n = 20 AND abs(b0) > 1e-10 THEN least(greatest(l2 / abs(b0), 0), 50) ELSE 0 END, 6) AS lcv,
-       round(CASE WHEN n = 20 AND l2 > 1e-10 THEN least(greatest(l3 / l2, -1), 1) ELSE 0 END, 6) AS lskew,
-       round(CASE WHEN n = 20 AND l2 > 1e-10 THEN least(greatest(l4 / l2, -1), 1) ELSE 0 END, 6) AS lkurt FROM l""")
+       round(least(greatest(x, -1), 1), 6) AS lskew,
+       round(CASE WHEN n = 20 AND l2 > 1e-10 THEN least(greatest(l4 / l2, -1), 1) ELSE 0 END, 6) AS lkurt, round(least(greatest(z, -5), 5), 5) AS lskew_z FROM z""")
 def l_moments(spark, sf_dir):
-    return rounded(features.l_moments(returns(spark, sf_dir)), 6, "lcv", "lskew", "lkurt").select("symbol", "date", "lcv", "lskew", "lkurt")
+    found = rounded(rounded(features.l_moments(returns(spark, sf_dir)), 6, "lcv", "lskew", "lkurt"), 5, "lskew_z")
+    return found.select("symbol", "date", "lcv", "lskew", "lkurt", "lskew_z")
 
 
 @query(f"""
