@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars, cleaning, resample, synthetic, targets
 from tidemark.operators import validation as V
+from tidemark.operators.quantiles import exact_quantiles
 
 
 def test_resolutions():
@@ -86,3 +87,16 @@ def test_bars_without_volume(spark):
     ticks = spark.sql("SELECT 'a' AS symbol, TIMESTAMP '2024-01-02 09:47:00' AS ts, 1L AS event_id, 5D AS price")
     assert "vwap" not in bars.time_bars(ticks, 60).columns
     assert bars.time_bars(ticks.withColumn("volume", F.lit(0.0)), 60).first().vwap is None
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    groups = {"spread": draw.normal(size=3000), "few": draw.integers(0, 4, 5000).astype(float), "hot": np.append(np.full(4000, 7.0), draw.normal(size=300)), "one": np.array([2.5])}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("few", None), ("none", None)]
+    shares = [0.0, 0.013, 0.25, 0.5, 0.731, 0.99, 1.0]
+    got = {r.k: r.quantiles for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert np.allclose(got[k], np.quantile(values, shares), atol=1e-12), k

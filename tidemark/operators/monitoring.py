@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
+
 
 def performance(returns: DataFrame, risk_free: float = 0.04, days: int = 252) -> DataFrame:
     """Total return, Sharpe ratio (population deviation), worst drawdown and win rate by symbol.
@@ -67,7 +69,7 @@ def stability_index(train: DataFrame, test: DataFrame, column: str, bins: int =
     Bin edges are a few numbers per symbol; both sides are only counted against them.
     """
     shares = [i / bins for i in range(1, bins)]
-    edges = train.groupBy("symbol").agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("_edges"))
+    edges = exact_quantiles(train.withColumn("_x", F.col(column)), ["symbol"], "_x", shares, "_edges")
     # Interpolated edges that fall on a value may miss it by a rounding error.
     edges = edges.select("symbol", F.transform("_edges", lambda e: F.round(e, 9)).alias("edges"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
+from tidemark.operators.quantiles import exact_quantiles
 
 
 def overfitting(splits: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,10 +124,8 @@ def drift_monitor(train: DataFrame, live: DataFrame, bins: int = 10, threshold:
     Equal edges count once; values outside the training range are left out of both shares. A
     feature that was constant has PSI 0 while it stays so, and infinity otherwise or without live rows.
     """
-    shares = [F.lit(i / bins) for i in range(bins + 1)]
-    edges = train.filter("value IS NOT NULL").groupBy("feature").agg(
-        F.array_distinct(F.transform(F.percentile("value", F.array(*shares)), lambda e: F.round(e, 9))).alias("edges")
-    )
+    shares = [i / bins for i in range(bins + 1)]
+    edges = exact_quantiles(train, ["feature"], "value", shares, "edges").withColumn("edges", F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))))
 
     def counts(rows: DataFrame, name: str) -> DataFrame:
         value = F.round("value", 9)

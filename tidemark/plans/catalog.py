@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import align, bars, labels, monitoring
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.sources.market import daily_orders, table, ticks, traded
 
 FLAGSHIP = "rsi_zscore_labels"
@@ -407,11 +408,11 @@ def slippage_summary(spark, sf_dir):
     found = rows.groupBy("direction").agg(
         F.count(F.lit(1)).alias("n"),
         F.mean("x").alias("mean_bps"),
-        F.percentile("x", 0.5).alias("median_bps"),
         F.max("x").alias("worst_bps"),
         F.round(F.mean((F.col("x") <= 0).cast("double")), 6).alias("favorable"),
     )
-    return rounded(found, 4, "mean_bps", "median_bps", "worst_bps")
+    middle = exact_quantiles(rows, ["direction"], "x", [0.5], "middle").select("direction", F.get("middle", 0).alias("median_bps"))
+    return rounded(found.join(middle, "direction"), 4, "mean_bps", "median_bps", "worst_bps")
 
 
 @query("""
