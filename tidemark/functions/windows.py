@@ -61,3 +61,10 @@ def exponential(rows: DataFrame, value: str, spans: dict[str, int]) -> DataFrame
         return frame.assign(**{name: frame[value].ewm(span=span, adjust=False).mean() for name, span in spans.items()})
 
     return rows.groupBy("symbol").applyInPandas(run, schema)
+
+
+def correlation(a: Column, b: Column, frame: WindowSpec) -> Column:
+    """Pearson's correlation over a frame of the rows that have both; null where either does not vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.sqrt(F.var_pop(x).over(frame) * F.var_pop(y).over(frame))
+    return F.try_divide(F.covar_pop(x, y).over(frame), spread)

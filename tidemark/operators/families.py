@@ -296,7 +296,7 @@ def dollar_index(rows: DataFrame) -> DataFrame:
             "dxy_momentum_20d": change("dxy", 20),
             "dxy_vol_20d": std("dxy_return", 20) * YEAR,
             "dxy_z_score": zscore("dxy", 60, None, None, 1e-8),
-            "dxy_spy_corr": F.when(both >= 20, F.corr("ret", "dxy_return").over(frame)),
+            "dxy_spy_corr": F.when(both >= 20, W.correlation(col("ret"), col("dxy_return"), frame)),
             "dxy_roc_5d": change("dxy", 5),
         }
     )
@@ -497,3 +497,113 @@ def rotation_from_bars(rows: DataFrame) -> DataFrame:
         "secrot_regime": F.lit(0.0),
     }
     return _done(rows.withColumns(found), list(found))
+
+
+def filled_both_ways(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing values take the last one before, or else the first one after."""
+    back, ahead = W.ordered().rowsBetween(Window.unboundedPreceding, 0), W.ordered().rowsBetween(0, Window.unboundedFollowing)
+    return rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in columns})
+
+
+def _mean_of(xs: list[Column]) -> Column:
+    some = F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, v: a + v) / F.size(some))
+
+
+def _corr(a: str, b: str, n: int, least: int) -> Column:
+    frame = W.trailing(n)
+    both = F.count(F.when(col(a).isNotNull() & col(b).isNotNull(), 1)).over(frame)
+    return F.when(both >= least, W.correlation(col(a), col(b), frame))
+
+
+def global_equity(rows: DataFrame) -> DataFrame:
+    """Foreign equity: from closes ``efa, vwo, fxi, ewj`` (developed, emerging, China, Japan), or from the symbol's momentum."""
+    names = [f"gleq_{c}" for c in "dm_us_spread em_dm_spread china_momentum japan_momentum global_breadth global_us_divergence contagion_risk regime".split()]
+    rows = rows.withColumn("own", F.coalesce("ret", F.lit(0.0))).withColumn("own20", total("own", 20, 5))
+    if "efa" not in rows.columns:
+        zero, half = F.lit(0.0), F.lit(0.5)
+        found = dict(zip(names, [zero, zero, col("own20") * 0.8, col("own20") * 0.9, half, zero, half, zero], strict=True))
+        return _done(rows.withColumns(found), names)
+    markets = ["efa", "vwo", "fxi", "ewj"]
+    rows = filled_both_ways(rows, markets)
+    rows = rows.withColumns({f"{m}20": F.coalesce(change(m, 20), F.lit(0.0)) for m in markets} | {f"{m}1": F.coalesce(change(m), F.lit(0.0)) for m in markets})
+    rows = rows.withColumns(
+        {
+            "gleq_dm_us_spread": col("efa20") - col("own20"),
+            "gleq_em_dm_spread": col("vwo20") - col("efa20"),
+            "gleq_china_momentum": col("fxi20"),
+            "gleq_japan_momentum": col("ewj20"),
+            "gleq_global_breadth": sum((true(col(f"{m}20") > 0) for m in markets), F.lit(0.0)) / len(markets),
+            "gleq_global_us_divergence": _mean_of([col(f"{m}20") for m in markets]) - col("own20"),
+            "gleq_contagion_risk": F.coalesce(_mean_of([_corr("own", f"{m}1", 60, 20) for m in markets]), F.lit(0.5)),
+        }
+    )
+    breadth = col("gleq_global_breadth")
+    return _done(rows.withColumn("gleq_regime", F.when(breadth > 0.7, 1.0).when(breadth < 0.3, -1.0).otherwise(0.0)), names)
+
+
+def currency_carry(rows: DataFrame) -> DataFrame:
+    """Currencies: from ``eur_usd, usd_jpy, gbp_usd, aud_usd``, or from the symbol's momentum."""
+    names = [f"fxc_{c}" for c in "eur_momentum jpy_carry_signal gbp_momentum aud_risk_signal dispersion equity_corr dollar_composite regime".split()]
+    rows = rows.withColumn("own", F.coalesce("ret", F.lit(0.0)))
+    if "eur_usd" not in rows.columns:
+        s20, zero = total("own", 20, 5), F.lit(0.0)
+        found = [-s20 * 0.5, s20 * 0.3, -s20 * 0.4, total("own", 10, 5) * 0.5, std("own", 20, 5) * 0.5, zero, s20 * 0.3, zero]
+        return _done(rows.withColumns(dict(zip(names, found, strict=True))), names)
+    pairs = ["eur_usd", "usd_jpy", "gbp_usd", "aud_usd"]
+    rows = filled_both_ways(rows, pairs)
+    rows = rows.withColumns({f"{p}_{k}": F.coalesce(change(p, k), F.lit(0.0)) for p in pairs for k in (1, 10, 20)})
+    dollar = ["eur_usd", "gbp_usd", "aud_usd"]
+    rows = rows.withColumns(
+        {
+            "fxc_eur_momentum": col("eur_usd_20"),
+            "fxc_jpy_carry_signal": col("usd_jpy_20"),
+            "fxc_gbp_momentum": col("gbp_usd_20"),
+            "fxc_aud_risk_signal": col("aud_usd_10"),
+            "fxc_dispersion": _mean_of([std(f"{p}_1", 20, 5) for p in dollar]),
+            "fxc_equity_corr": _corr("own", "eur_usd_1", 20, 10),
+            "fxc_dollar_composite": -_mean_of([col(f"{p}_20") for p in dollar]),
+            "carry": (col("aud_usd_20") + col("usd_jpy_20")) / 2,
+        }
+    )
+    spread = std("carry", 60, 20)
+    z = (col("carry") - mean("carry", 60, 20)) / F.when(spread == 0, 1.0).otherwise(spread)
+    return _done(rows.withColumn("fxc_regime", three_ways(F.coalesce(z, F.lit(0.0)), 1.0)), names)
+
+
+def streak_breadth(members: DataFrame, weights: DataFrame, most: int = 10, other_weight: float = 0.01) -> DataFrame:
+    """One row per date over the members: the shares (plain and weighted) that rise or fall for ``n`` days in a row.
+
+    A member's streak is the number of its rising days in a row, negative for falling ones, 0 for a
+    day without a move; days without a return count for nothing. ``weights`` has ``symbol, weight``.
+    """
+    rows = members.filter("ret IS NOT NULL").withColumns({"way": F.signum("ret"), "n": F.row_number().over(W.ordered())})
+    island = col("n") - F.row_number().over(Window.partitionBy("symbol", "way").orderBy("date"))
+    rows = rows.withColumn("island", island)
+    length = F.row_number().over(Window.partitionBy("symbol", "way", "island").orderBy("date"))
+    rows = rows.withColumn("streak", (col("way") * length).cast("double")).join(weights, "symbol", "left").withColumn("weight", F.coalesce("weight", F.lit(other_weight)))
+    share = lambda test, by: F.try_divide(F.sum(F.when(test, by).otherwise(0.0)), F.sum(by))
+    found = {}
+    for n in range(2, most + 1):
+        green, red = col("streak") >= n, col("streak") <= -n
+        found |= {
+            f"pct_green_{n}d": share(green, F.lit(1.0)),
+            f"pct_red_{n}d": share(red, F.lit(1.0)),
+            f"wtd_pct_green_{n}d": share(green, col("weight")),
+            f"wtd_pct_red_{n}d": share(red, col("weight")),
+        }
+    found |= {
+        "avg_streak_length": F.mean("streak"),
+        "max_green_streak": F.max("streak"),
+        "max_red_streak": F.min("streak"),
+        "streak_dispersion": F.coalesce(F.stddev_samp("streak"), F.lit(0.0)),
+        "day_return": F.mean("ret"),
+    }
+    days = rows.groupBy("date").agg(*[x.alias(name) for name, x in found.items()]).withColumn("symbol", F.lit("all"))
+    for n in (2, 3, 5):
+        days = days.withColumns({f"{k}net_green_{n}d": col(f"{k}pct_green_{n}d") - col(f"{k}pct_red_{n}d") for k in ("", "wtd_")})
+    # One row per date is ordered from here on.
+    watched = ("pct_green_3d", "pct_red_3d", "wtd_net_green_3d")
+    days = days.withColumns({f"{c}_lag1": F.lag(c).over(W.ordered()) for c in watched} | {f"{c}_change": diff(c) for c in watched} | {"step": diff("net_green_3d")})
+    days = days.withColumn("breadth_divergence", total("day_return", 3) * total("step", 3))
+    return days.drop("symbol", "day_return", "step")

@@ -191,7 +191,7 @@ def rolling_beta(spark, sf_dir):
     full = F.count(F.lit(1)).over(frame60) >= 60
     beta = F.covar_samp("ret", "market").over(frame60) / (F.var_samp("market").over(frame60) + W.EPSILON)
     return both.select(
-        "symbol", "date", F.round(F.when(full, F.corr("ret", "market").over(frame60)), 6).alias("corr60"), F.round(F.when(full, beta), 6).alias("beta60")
+        "symbol", "date", F.round(F.when(full, W.correlation(F.col("ret"), F.col("market"), frame60)), 6).alias("corr60"), F.round(F.when(full, beta), 6).alias("beta60")
     )
 
 

@@ -626,3 +626,125 @@ def sector_rotation_features(spark, sf_dir):
 )
 def sector_rotation_features_from_bars(spark, sf_dir):
     return shown(M.rotation_from_bars(returns(spark, sf_dir)), 4)
+
+
+GLOBAL = [f"gleq_{c}" for c in "dm_us_spread em_dm_spread china_momentum japan_momentum global_breadth global_us_divergence contagion_risk regime".split()]
+MARKETS = {"efa": "price", "vwo": "score", "fxi": "ratio", "ewj": "v"}
+
+
+def _both_ways(c: str) -> str:
+    return f"coalesce({c}, first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+def _corr(a: str, b: str, n: int, least: int) -> str:
+    return f"CASE WHEN count({a} * {b}) OVER {w(n)} >= {least} AND NOT isnan(corr({a}, {b}) OVER {w(n)}) THEN corr({a}, {b}) OVER {w(n)} END"
+
+
+@query(
+    sql(
+        {"own": "coalesce(ret, 0)", **{f"{m}_f": _both_ways(m) for m in MARKETS}},
+        {"own20": r("sum", "own", 20, 5), **{f"{m}20": f"coalesce({m}_f / {lag(m + '_f', 20)} - 1, 0)" for m in MARKETS}, **{f"{m}1": f"coalesce({m}_f / {lag(m + '_f', 1)} - 1, 0)" for m in MARKETS}},
+        {
+            "gleq_dm_us_spread": "efa20 - own20",
+            "gleq_em_dm_spread": "vwo20 - efa20",
+            "gleq_china_momentum": "fxi20",
+            "gleq_japan_momentum": "ewj20",
+            "gleq_global_breadth": "(" + " + ".join(f"CASE WHEN {m}20 > 0 THEN 1 ELSE 0 END" for m in MARKETS) + ") / 4",
+            "gleq_global_us_divergence": "(" + " + ".join(f"{m}20" for m in MARKETS) + ") / 4 - own20",
+            "gleq_contagion_risk": "coalesce(list_avg(list_filter([" + ", ".join(_corr("own", f"{m}1", 60, 20) for m in MARKETS) + "], lambda c: c IS NOT NULL)), 0.5)",
+        },
+        {"gleq_regime": "CASE WHEN gleq_global_breadth > 0.7 THEN 1 WHEN gleq_global_breadth < 0.3 THEN -1 ELSE 0 END"},
+        names=GLOBAL,
+        sources=MARKETS,
+        digits=4,
+    )
+)
+def global_equity_features(spark, sf_dir):
+    return shown(M.global_equity(sourced(spark, sf_dir, MARKETS)), 4)
+
+
+@query(
+    sql(
+        {"own": "coalesce(ret, 0)"},
+        {"own20": r("sum", "own", 20, 5)},
+        dict(zip(GLOBAL, ["0", "0", "own20 * 0.8", "own20 * 0.9", "0.5", "0", "0.5", "0"], strict=True)),
+        names=GLOBAL,
+        digits=4,
+    )
+)
+def global_equity_features_from_bars(spark, sf_dir):
+    return shown(M.global_equity(returns(spark, sf_dir)), 4)
+
+
+CARRY = [f"fxc_{c}" for c in "eur_momentum jpy_carry_signal gbp_momentum aud_risk_signal dispersion equity_corr dollar_composite regime".split()]
+PAIRS = {"eur_usd": "price", "usd_jpy": "score", "gbp_usd": "ratio", "aud_usd": "v"}
+_DOLLAR = ("eur_usd", "gbp_usd", "aud_usd")
+
+
+@query(
+    sql(
+        {"own": "coalesce(ret, 0)", **{f"{p}_f": _both_ways(p) for p in PAIRS}},
+        {f"{p}_{k}": f"coalesce({p}_f / {lag(p + '_f', k)} - 1, 0)" for p in PAIRS for k in (1, 10, 20)},
+        {
+            "fxc_eur_momentum": "eur_usd_20",
+            "fxc_jpy_carry_signal": "usd_jpy_20",
+            "fxc_gbp_momentum": "gbp_usd_20",
+            "fxc_aud_risk_signal": "aud_usd_10",
+            "fxc_dispersion": "list_avg(list_filter([" + ", ".join(r("stddev_samp", f"{p}_1", 20, 5) for p in _DOLLAR) + "], lambda c: c IS NOT NULL))",
+            "fxc_equity_corr": _corr("own", "eur_usd_1", 20, 10),
+            "fxc_dollar_composite": "-(" + " + ".join(f"{p}_20" for p in _DOLLAR) + ") / 3",
+            "carry": "(aud_usd_20 + usd_jpy_20) / 2",
+        },
+        {"fxc_regime": ways(f"coalesce((carry - ({r('avg', 'carry', 60, 20)})) / CASE WHEN ({r('stddev_samp', 'carry', 60, 20)}) = 0 THEN 1 ELSE ({r('stddev_samp', 'carry', 60, 20)}) END, 0)", 1)},
+        names=CARRY,
+        sources=PAIRS,
+        digits=4,
+    )
+)
+def currency_carry_features(spark, sf_dir):
+    return shown(M.currency_carry(sourced(spark, sf_dir, PAIRS)), 4)
+
+
+@query(
+    sql(
+        {"own": "coalesce(ret, 0)"},
+        {"s20": r("sum", "own", 20, 5), "s10": r("sum", "own", 10, 5), "d20": r("stddev_samp", "own", 20, 5)},
+        dict(zip(CARRY, ["-s20 * 0.5", "s20 * 0.3", "-s20 * 0.4", "s10 * 0.5", "d20 * 0.5", "0", "s20 * 0.3", "0"], strict=True)),
+        names=CARRY,
+        digits=4,
+    )
+)
+def currency_carry_features_from_bars(spark, sf_dir):
+    return shown(M.currency_carry(returns(spark, sf_dir)), 4)
+
+
+def _streak_sql() -> str:
+    shares, shown_ = [], []
+    for n in range(2, 11):
+        for name, test in (("green", f"streak >= {n}"), ("red", f"streak <= -{n}")):
+            shares += [f"avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END) AS pct_{name}_{n}d", f"sum(CASE WHEN {test} THEN weight ELSE 0 END) / sum(weight) AS wtd_pct_{name}_{n}d"]
+            shown_ += [f"pct_{name}_{n}d", f"wtd_pct_{name}_{n}d"]
+    nets = [f"{k}pct_green_{n}d - {k}pct_red_{n}d AS {k}net_green_{n}d" for n in (2, 3, 5) for k in ("", "wtd_")]
+    shown_ += [f"{k}net_green_{n}d" for n in (2, 3, 5) for k in ("", "wtd_")] + ["avg_streak_length", "max_green_streak", "max_red_streak", "streak_dispersion"]
+    lags = [x for c in ("pct_green_3d", "pct_red_3d", "wtd_net_green_3d") for x in (f"lag({c}) OVER o AS {c}_lag1", f"{c} - lag({c}) OVER o AS {c}_change")]
+    shown_ += [f"{c}_{x}" for c in ("pct_green_3d", "pct_red_3d", "wtd_net_green_3d") for x in ("lag1", "change")]
+    three = "OVER (ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    return f"""WITH {RETURNS}, moved AS (SELECT symbol, date, ret, sign(ret) AS way, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM returns WHERE ret IS NOT NULL),
+islands AS (SELECT *, n - row_number() OVER (PARTITION BY symbol, way ORDER BY date) AS island FROM moved),
+streaks AS (SELECT *, way * row_number() OVER (PARTITION BY symbol, way, island ORDER BY date) AS streak, CASE symbol WHEN '1-URGENT' THEN 0.07 WHEN '2-HIGH' THEN 0.03 ELSE 0.01 END AS weight FROM islands),
+days AS (SELECT date, {", ".join(shares)}, avg(streak) AS avg_streak_length, max(streak) AS max_green_streak, min(streak) AS max_red_streak, coalesce(stddev_samp(streak), 0) AS streak_dispersion, avg(ret) AS day_return
+         FROM streaks GROUP BY 1),
+nets AS (SELECT *, {", ".join(nets)} FROM days),
+lagged AS (SELECT *, {", ".join(lags)}, net_green_3d - lag(net_green_3d) OVER o AS step FROM nets WINDOW o AS (ORDER BY date))
+SELECT date, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in shown_)},
+       round(CASE WHEN count(day_return) {three} >= 3 AND count(step) {three} >= 3 THEN sum(day_return) {three} * sum(step) {three} END, 5) + 0.0 AS breadth_divergence FROM lagged"""
+
+
+@query(_streak_sql())
+def streak_breadth_features(spark, sf_dir):
+    rows = returns(spark, sf_dir)
+    weights = spark.sql("SELECT * FROM VALUES ('1-URGENT', 0.07D), ('2-HIGH', 0.03D) AS given(symbol, weight)")
+    found = M.streak_breadth(rows.select("symbol", "date", "ret"), weights)
+    names = [c for c in found.columns if c not in ("date", "breadth_divergence")]
+    found = rounded(rounded(found, 6, *names), 5, "breadth_divergence")
+    return found.withColumns({c: F.col(c) + F.lit(0.0) for c in [*names, "breadth_divergence"]})
