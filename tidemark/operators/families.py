@@ -93,7 +93,8 @@ def vpin(rows: DataFrame, window: int = 50) -> DataFrame:
     rows = rows.withColumn("gap", F.abs(col("volume") * (2 * col("bought") - 1)))
     least = max(5, window // 5)
     value = W.clip(total("gap", window, least) / (total("volume", window, least) + 1e-10), 0.0, 1.0)
-    rows = rows.withColumn("vpin_value", value)
+    # Rounded, or a constant value would have z-scores of its rounding errors.
+    rows = rows.withColumn("vpin_value", F.round(value, 9))
     rows = rows.withColumns({"vpin_change_5d": diff("vpin_value", 5), "vpin_z": zscore("vpin_value", 60, 20)})
     return _done(rows.withColumn("vpin_regime", three_ways("vpin_z", 1.0)), ["vpin_value", "vpin_z", "vpin_regime", "vpin_change_5d"])
 

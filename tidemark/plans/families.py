@@ -11,28 +11,32 @@ from tidemark.sources.market import table
 
 #: Other series by date, with gaps.
 SERIES = """series AS (
-  SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount - 0.05) * 20 AS sentiment, avg(l_discount) * 1.0137 AS confidence, CAST(count(*) AS DOUBLE) AS article_count,
-         avg(CASE WHEN l_discount < 0.03 THEN 1.0 ELSE 0.0 END) AS negative_pct, avg(CASE WHEN l_discount > 0.07 THEN 1.0 ELSE 0.0 END) AS positive_pct,
-         avg(l_quantity) / 25.1371 AS ratio, avg(l_quantity) * 2 AS score, avg(l_extendedprice) AS price, avg(l_discount) * 100 AS d, avg(l_tax) * 100 AS t, stddev_pop(l_discount) * 500 AS v
+  SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount - 0.05) * 20, 12) AS sentiment, round(avg(l_discount) * 1.0137, 12) AS confidence, CAST(count(*) AS DOUBLE) AS article_count,
+         round(avg(CASE WHEN l_discount < 0.03 THEN 1.0 ELSE 0.0 END), 12) AS negative_pct, round(avg(CASE WHEN l_discount > 0.07 THEN 1.0 ELSE 0.0 END), 12) AS positive_pct,
+         round(avg(l_quantity) / 25.1371, 12) AS ratio, round(avg(l_quantity) * 2, 12) AS score, round(avg(l_extendedprice), 9) AS price, round(avg(l_discount) * 100, 12) AS d,
+         round(avg(l_tax) * 100, 12) AS t, round(stddev_pop(l_discount) * 500, 12) AS v
   FROM lineitem WHERE day(l_shipdate) % 5 <> 0 GROUP BY 1)"""
 
 
 def series(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter(F.day("l_shipdate") % 5 != 0)
     share = lambda test: F.mean(test.cast("double"))
-    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        (F.mean(F.col("l_discount") - 0.05) * 20).alias("sentiment"),
-        (F.mean("l_discount") * 1.0137).alias("confidence"),
-        F.count(F.lit(1)).cast("double").alias("article_count"),
-        share(F.col("l_discount") < 0.03).alias("negative_pct"),
-        share(F.col("l_discount") > 0.07).alias("positive_pct"),
-        (F.mean("l_quantity") / 25.1371).alias("ratio"),
-        (F.mean("l_quantity") * 2).alias("score"),
-        F.mean("l_extendedprice").alias("price"),
-        (F.mean("l_discount") * 100).alias("d"),
-        (F.mean("l_tax") * 100).alias("t"),
-        (F.stddev_pop("l_discount") * 500).alias("v"),
-    )
+    found = {
+        "sentiment": F.mean(F.col("l_discount") - 0.05) * 20,
+        "confidence": F.mean("l_discount") * 1.0137,
+        "article_count": F.count(F.lit(1)).cast("double"),
+        "negative_pct": share(F.col("l_discount") < 0.03),
+        "positive_pct": share(F.col("l_discount") > 0.07),
+        "ratio": F.mean("l_quantity") / 25.1371,
+        "score": F.mean("l_quantity") * 2,
+        "price": F.mean("l_extendedprice"),
+        "d": F.mean("l_discount") * 100,
+        "t": F.mean("l_tax") * 100,
+        "v": F.stddev_pop("l_discount") * 500,
+    }
+    # Means depend on the order of their values in the last digits.
+    rounded_ = [F.round(x, 9 if name == "price" else 12).alias(name) for name, x in found.items()]
+    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(*rounded_)
 
 
 def w(n: int) -> str:
@@ -107,7 +111,7 @@ def amihud_features(spark, sf_dir):
         {"x": "least(greatest(coalesce(ret / sigma, 0), -7), 7)"},
         {"phi": PHI.format(x="x")},
         {"gap": "abs(volume * (2 * phi - 1))"},
-        {"vpin_value": clip(f"({r('sum', 'gap', 50, 10)}) / (({r('sum', 'volume', 50, 10)}) + 1e-10)", 0, 1)},
+        {"vpin_value": "round(" + clip(f"({r('sum', 'gap', 50, 10)}) / (({r('sum', 'volume', 50, 10)}) + 1e-10)", 0, 1) + ", 9)"},
         {"vpin_change_5d": f"vpin_value - {lag('vpin_value', 5)}", "vpin_z": z("vpin_value", 60, 20)},
         {"vpin_regime": ways("vpin_z", 1.0)},
         names=["vpin_value", "vpin_z", "vpin_regime", "vpin_change_5d"],
@@ -343,11 +347,11 @@ CREDIT_SOURCES = {"hy_ret": "sentiment", "ig_ret": "confidence"}
 
 @query(
     sql(
-        {"hy": "coalesce(hy_ret, 0)", "ig": "coalesce(ig_ret, 0)", "cred_hy_ig_spread": "coalesce(hy_ret - ig_ret, 0)"}, *_CREDIT, names=CREDIT, sources=CREDIT_SOURCES, days=3, digits=4
+        {"hy": "coalesce(hy_ret, 0)", "ig": "coalesce(ig_ret, 0)", "cred_hy_ig_spread": "coalesce(hy_ret - ig_ret, 0)"}, *_CREDIT, names=CREDIT, sources=CREDIT_SOURCES, days=3, digits=7
     )
 )
 def credit_spread_features(spark, sf_dir):
-    return shown(M.credit_spread(sourced(spark, sf_dir, CREDIT_SOURCES, 3)), 4)
+    return shown(M.credit_spread(sourced(spark, sf_dir, CREDIT_SOURCES, 3)), 7)
 
 
 @query(sql({"hy": "coalesce(ret, 0)", "ig": "0", "cred_hy_ig_spread": f"coalesce({r('stddev_samp', 'ret', 20, 5)}, 0)"}, *_CREDIT, names=CREDIT, digits=4))
@@ -643,7 +647,7 @@ def _corr(a: str, b: str, n: int, least: int) -> str:
 @query(
     sql(
         {"own": "coalesce(ret, 0)", **{f"{m}_f": _both_ways(m) for m in MARKETS}},
-        {"own20": r("sum", "own", 20, 5), **{f"{m}20": f"coalesce({m}_f / {lag(m + '_f', 20)} - 1, 0)" for m in MARKETS}, **{f"{m}1": f"coalesce({m}_f / {lag(m + '_f', 1)} - 1, 0)" for m in MARKETS}},
+        {"own20": r("sum", "own", 20, 5), **{f"{m}20": f"coalesce({m}_f / nullif({lag(m + '_f', 20)}, 0) - 1, 0)" for m in MARKETS}, **{f"{m}1": f"coalesce({m}_f / nullif({lag(m + '_f', 1)}, 0) - 1, 0)" for m in MARKETS}},
         {
             "gleq_dm_us_spread": "efa20 - own20",
             "gleq_em_dm_spread": "vwo20 - efa20",
@@ -684,7 +688,7 @@ _DOLLAR = ("eur_usd", "gbp_usd", "aud_usd")
 @query(
     sql(
         {"own": "coalesce(ret, 0)", **{f"{p}_f": _both_ways(p) for p in PAIRS}},
-        {f"{p}_{k}": f"coalesce({p}_f / {lag(p + '_f', k)} - 1, 0)" for p in PAIRS for k in (1, 10, 20)},
+        {f"{p}_{k}": f"coalesce({p}_f / nullif({lag(p + '_f', k)}, 0) - 1, 0)" for p in PAIRS for k in (1, 10, 20)},
         {
             "fxc_eur_momentum": "eur_usd_20",
             "fxc_jpy_carry_signal": "usd_jpy_20",
