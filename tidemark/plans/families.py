@@ -11,7 +11,7 @@ from tidemark.sources.market import table
 
 #: Other series by date, with gaps.
 SERIES = """series AS (
-  SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount - 0.05) * 20, 12) AS sentiment, round(avg(l_discount) * 1.0137, 12) AS confidence, CAST(count(*) AS DOUBLE) AS article_count,
+  SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_discount - 0.05) * 20, 12) AS sentiment, round(avg(l_discount) * 1.013729183, 12) AS confidence, CAST(count(*) AS DOUBLE) AS article_count,
          round(avg(CASE WHEN l_discount < 0.03 THEN 1.0 ELSE 0.0 END), 12) AS negative_pct, round(avg(CASE WHEN l_discount > 0.07 THEN 1.0 ELSE 0.0 END), 12) AS positive_pct,
          round(avg(l_quantity) / 25.1371, 12) AS ratio, round(avg(l_quantity) * 2, 12) AS score, round(avg(l_extendedprice), 9) AS price, round(avg(l_discount) * 100, 12) AS d,
          round(avg(l_tax) * 100, 12) AS t, round(stddev_pop(l_discount) * 500, 12) AS v
@@ -23,7 +23,7 @@ def series(spark, sf_dir):
     share = lambda test: F.mean(test.cast("double"))
     found = {
         "sentiment": F.mean(F.col("l_discount") - 0.05) * 20,
-        "confidence": F.mean("l_discount") * 1.0137,
+        "confidence": F.mean("l_discount") * 1.013729183,
         "article_count": F.count(F.lit(1)).cast("double"),
         "negative_pct": share(F.col("l_discount") < 0.03),
         "positive_pct": share(F.col("l_discount") > 0.07),
@@ -347,11 +347,11 @@ CREDIT_SOURCES = {"hy_ret": "sentiment", "ig_ret": "confidence"}
 
 @query(
     sql(
-        {"hy": "coalesce(hy_ret, 0)", "ig": "coalesce(ig_ret, 0)", "cred_hy_ig_spread": "coalesce(hy_ret - ig_ret, 0)"}, *_CREDIT, names=CREDIT, sources=CREDIT_SOURCES, days=3, digits=7
+        {"hy": "coalesce(hy_ret, 0)", "ig": "coalesce(ig_ret, 0)", "cred_hy_ig_spread": "coalesce(hy_ret - ig_ret, 0)"}, *_CREDIT, names=CREDIT, sources=CREDIT_SOURCES, days=3, digits=5
     )
 )
 def credit_spread_features(spark, sf_dir):
-    return shown(M.credit_spread(sourced(spark, sf_dir, CREDIT_SOURCES, 3)), 7)
+    return shown(M.credit_spread(sourced(spark, sf_dir, CREDIT_SOURCES, 3)), 5)
 
 
 @query(sql({"hy": "coalesce(ret, 0)", "ig": "0", "cred_hy_ig_spread": f"coalesce({r('stddev_samp', 'ret', 20, 5)}, 0)"}, *_CREDIT, names=CREDIT, digits=4))
