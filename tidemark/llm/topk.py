@@ -81,7 +81,7 @@ def bounds(queries: np.ndarray, highest: np.ndarray, lowest: np.ndarray) -> np.n
 def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block_rows: int = BLOCK_ROWS, least: np.ndarray | None = None):
     """The best ``k`` rows of a shard for each query: arrays of query position, row id and score, and the (query, block) pairs scored.
 
-    Rows below ``least``, the k-th score a query has elsewhere, need not be found.
+    Rows below ``least``, the k-th score a query has elsewhere, are left out.
     """
     queries, rows = _exact(queries, rows)
     parts = blocks_of(rows, block_rows)
@@ -107,11 +107,16 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
             inside = parts[b]
             scores = (queries[who] @ rows[inside].T).astype(np.int64)
             scores[query_ids[who][:, None] == ids[inside][None, :]] = none
+            # Most blocks hold nothing better for most queries; only the others are merged.
+            better = (scores >= np.maximum(best[who, -1], floor[who])[:, None]).any(axis=1)
+            who, scores = who[better], scores[better]
+            if not len(who):
+                continue
             all_scores = np.hstack([best[who], scores])
             all_ids = np.hstack([best_ids[who], np.broadcast_to(ids[inside], scores.shape)])
             top = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]
             best[who], best_ids[who] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_ids, top, 1)
-    at, place = np.nonzero(best > none)
+    at, place = np.nonzero((best > none) & (best >= floor[:, None]))
     return at, best_ids[at, place], best[at, place], scored
 
 
