@@ -7,7 +7,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
+from . import centroids, exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
 from .common import read_table
 
 
@@ -103,6 +103,57 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(read_table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(components: int, clusters: int, rounds: int, scale: int, seed: int) -> str:
+    """Lloyd's rounds as a chain of tables: assignments ``a0``, ``a1``, ... and centroids ``c0``, ``c1``, ..."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, v AS c
+  FROM kept ORDER BY sha256('{seed}:' || vec_id) LIMIT {clusters}
+)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v,
+         min({{'d': list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': cluster}}) AS best
+  FROM kept CROSS JOIN c{n} GROUP BY row_id
+)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""m{n} AS (
+  SELECT best.c AS cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+  FROM a{n} CROSS JOIN range(1, {components + 1}) AS places(i) GROUP BY ALL
+),
+c{n + 1} AS MATERIALIZED (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{n} GROUP BY cluster
+  UNION ALL SELECT cluster, c FROM c{n} WHERE cluster NOT IN (SELECT cluster FROM m{n})
+)"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.c = cluster
+"""
+    )
+
+
+OP11_SQL = _lloyd_sql(64, centroids.CLUSTERS, centroids.ROUNDS, centroids.SCALE, centroids.SEED)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_language_id": op2_language_id,
@@ -114,5 +165,6 @@ QUERIES = {
     "op8_quotation_linking": op8_quotation_linking,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
-ORACLES = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op11_centroid_clustering": OP11_SQL}
