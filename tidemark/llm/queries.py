@@ -7,7 +7,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
+from . import best_fit, centroids, exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
 from .common import read_table
 
 
@@ -151,6 +151,10 @@ FROM a{rounds} JOIN c{rounds} ON best.c = cluster
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 OP11_SQL = _lloyd_sql(64, centroids.CLUSTERS, centroids.ROUNDS, centroids.SCALE, centroids.SEED)
 
 
@@ -166,5 +170,6 @@ QUERIES = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_warc_derivatives": op10_warc_derivatives,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLES = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op11_centroid_clustering": OP11_SQL}
