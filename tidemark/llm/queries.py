@@ -7,7 +7,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, centroids, exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
+from . import best_fit, centroids, divergence, exact_dedup, langid, mixing, neardup, packing, pii, quotes, suffix_dedup, topk, warc
 from .common import read_table
 
 
@@ -151,6 +151,54 @@ FROM a{rounds} JOIN c{rounds} ON best.c = cluster
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+),
+found AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+),
+langs AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM dense GROUP BY lang, term),
+shares AS (
+  SELECT lang, source, term, n,
+         1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p
+  FROM dense
+),
+lang_shares AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM langs
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS place FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR place <= 50
+"""
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -170,6 +218,7 @@ QUERIES = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_warc_derivatives": op10_warc_derivatives,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_source_divergence": op12_source_divergence,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
-ORACLES = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op11_centroid_clustering": OP11_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op11_centroid_clustering": OP11_SQL, "op12_source_divergence": OP12_SQL}
