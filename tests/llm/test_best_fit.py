@@ -74,21 +74,38 @@ def test_segment_tree_against_a_scan():
             assert tree.tightest(length) == next((r for r in range(length, max_len + 1) if counts[r]), -1)
 
 
-def test_ids_of_parts_are_those_of_the_whole():
+def test_ids_of_units_are_those_of_the_whole():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
     draw = random.Random(2)
-    alphabets = ["ab c", "aB1 .,'sx\n\t", "a   \x1c\x85z", "don't we'll 12  ab", "é中😀 a b", "<|endoftext|> a"]
-    encoder = best_fit.Encoder.of(PATH)
-    for n in range(600):
-        text = "".join(draw.choice(draw.choice(alphabets)) for _ in range(draw.randrange(300)))
-        parts = best_fit.parts_of(text, draw.choice([1, 5, 20]))
-        assert "".join(parts) == text
-        ids = [i for part in parts for i in whole.encode(part, add_special_tokens=False).ids]
-        assert ids == whole.encode(text, add_special_tokens=False).ids, text
-    text = "<|endoftext|> " + "long words here, 1234 of them " * 10_000
-    assert encoder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids and len(best_fit.parts_of(text)) > 4
+    alphabets = [
+        "ab c",
+        "aB1 .,'sx\n\t",
+        "a   \x1c\x85z \xa0\u2003\u3000\n",
+        ["don't", "we'll", "'s", "'", " ", "it'S", "12", ",", "'re"],
+        "é\u0301中😀 aß½²٣,1",
+        ["<|endoftext|>", " ", "a", "<|", "|>", "<", "|", ","],
+        "".join(map(chr, range(0x20, 0x250))),
+        "".join(map(chr, [*range(0x370, 0x530), 32, 46])),
+        "\u180e\u200b\ufeff a\u2028.",
+    ]
+    encoder = best_fit.Encoder(PATH)
+    for _ in range(9000):
+        pool = draw.choice(alphabets) if draw.random() < 0.6 else [*draw.choice(alphabets), *draw.choice(alphabets)]
+        text = "".join(draw.choice(pool) for _ in range(draw.randrange(60)))
+        assert "".join(best_fit.units_of(text)) == text
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_cache_stays_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(best_fit, "CACHED_UNITS", 7)
+    encoder, whole = best_fit.Encoder(PATH), Tokenizer.from_file(PATH)
+    text = " ".join(f"{chr(97 + i % 26)}{'word' * (i % 13)} {i % 40}," for i in range(2000))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(encoder) <= 7 and len(encoder.older) <= 7 and all(len(u) <= best_fit.LONGEST_UNIT for u in encoder)
 
 
 def check(rows, docs, max_len):

@@ -11,6 +11,9 @@ document by document gives. Pieces find their places by their rank among those o
 Ranks come from bucket counts and offsets, so a length that a third of the pieces have is spread
 over many tasks.
 
+Tokenising goes unit by unit (mostly words with the space before them) through a bounded cache. That
+gives the ids of the whole text, as units end only where the tokenizer splits whatever surrounds them.
+
 Defined cases: a null or empty text is the end id alone. Repeated rows are documents of their own.
 A text that spells the vocabulary's special token gets its id, as the tokenizer does by default. An empty
 table gives an empty result. Only the id and text columns are read; other columns may have any names.
@@ -19,6 +22,7 @@ table gives an empty result. Only the id and text columns are read; other column
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,32 +36,52 @@ from .common import Scratch, running_total
 
 MAX_LEN = 2048
 END_ID = 0
-#: Long texts are tokenised in parts of about this many characters.
-PART_CHARS = 1 << 16
-#: The splitting pattern never joins what lies on both sides of a single space after a letter or digit.
-SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
-
-
-def parts_of(text: str, part_chars: int = PART_CHARS) -> list[str]:
-    """The text in parts whose ids, one after another, are the ids of the whole text."""
-    if len(text) <= part_chars:
-        return [text]
-    parts, at = [], 0
-    while cut := SAFE_CUT.search(text, at + part_chars):
-        parts.append(text[at : cut.start()])
-        at = cut.start()
-    return [*parts, text[at:]]
-
-
-class Encoder:
-    """Ids of whole texts; one per Python worker and file."""
+#: Two generations of this many units are remembered, none of more than ``LONGEST_UNIT`` characters.
+CACHED_UNITS = 300_000
+LONGEST_UNIT = 40
+
+_SPACE = r" \t-\r"
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Units end where the tokenizer's own splitting always does: between a letter and an ASCII character
+#: that is none, after ASCII digits or marks before one of another kind, and before ASCII white space.
+#: An apostrophe may join what follows, and ``<`` and ``|`` may spell a special token; what starts
+#: with them, or mixes other characters, runs on to the next ASCII white space.
+_UNIT = re.compile(
+    rf"[{_SPACE}]*+(?:[{_LETTER}]++(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)|[0-9]++(?=[\x00-\x2f\x3a-\x7f]|\Z)"
+    rf"|[!-&(-/:;=-@\[-`{{}}~]++(?=[A-Za-z0-9{_SPACE}]|\Z)|[^{_SPACE}]++|\Z)"
+)
+#: Other white space joins the ASCII one after it.
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def units_of(text: str) -> list[str]:
+    """The text in units whose ids, one after another, are the ids of the whole text."""
+    units = _UNIT.findall(text)
+    if text.isascii() or not _ODD_SPACE.search(text):
+        return units
+    joined: list[list[str]] = []
+    for unit in units:
+        if joined and _ODD_SPACE.match(joined[-1][-1][-1:]):
+            joined[-1].append(unit)
+        else:
+            joined.append([unit])
+    return ["".join(parts) for parts in joined]
+
+
+class Encoder(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; one per Python worker and file.
+
+    The mapping holds the ids of units.
+    """
 
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -65,8 +89,20 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array([i for part in parts_of(text) for i in self.tokenizer.encode(part, add_special_tokens=False).ids], "<u4")
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= LONGEST_UNIT:
+            if len(self) >= CACHED_UNITS:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, units_of(text)))
 
 
 def cuts(n: int, max_len: int) -> list[int]:
@@ -76,15 +112,16 @@ def cuts(n: int, max_len: int) -> list[int]:
 
 def _cut(path: str, max_len: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder, end = Encoder.of(path), struct.pack("<I", end_id)
         for batch in batches:
             rows = []
             texts = batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = np.append(encoder.encode(texts[i].as_py() or ""), np.uint32(end_id)).astype("<u4")
-                starts = cuts(len(ids), max_len)
-                for number, (start, stop) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    rows.append((doc_id, number, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
+                ids = encoder.encode(texts[i].as_py() or "") + end
+                n = len(ids) // 4
+                starts = cuts(n, max_len)
+                for number, (start, stop) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
+                    rows.append((doc_id, number, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
