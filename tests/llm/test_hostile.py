@@ -5,7 +5,6 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL

@@ -116,12 +116,19 @@ def feistel(key: Column | str, kind: str, high: Column, low: Column, highs: Colu
 
 def permuted_digits(key: Column | str, kind: str, digits: Column) -> Column:
     """A string of 2 to 20 digits, permuted among those of its length."""
-    n = F.char_length(digits)
-    left = F.floor(n / 2).cast("int")
-    right = n - left
     tens = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    state = feistel(key, kind, F.substring(digits, F.lit(1), left), F.substring(digits, left + 1, right), tens(left), tens(right))
-    return let(state, lambda s: F.concat(F.lpad(s.getField("x").cast("string"), left, "0"), F.lpad(s.getField("y").cast("string"), right, "0")))
+
+    def moved(halves: Column) -> Column:
+        x, y = halves.getField("x"), halves.getField("y")
+        left, right = F.char_length(x), F.char_length(y)
+        state = let(F.struct(tens(left).alias("x"), tens(right).alias("y")), lambda most: feistel(key, kind, x, y, most.getField("x"), most.getField("y")))
+        return let(state, lambda s: F.concat(F.lpad(s.getField("x").cast("string"), left, "0"), F.lpad(s.getField("y").cast("string"), right, "0")))
+
+    def halved(whole: Column) -> Column:
+        left = F.floor(F.char_length(whole) / 2).cast("int")
+        return F.struct(F.substring(whole, F.lit(1), left).alias("x"), F.substring(whole, left + 1, F.char_length(whole)).alias("y"))
+
+    return let(let(digits, halved), moved)
 
 
 def _digits(value: Column) -> Column:
@@ -130,29 +137,34 @@ def _digits(value: Column) -> Column:
 
 def _with_digits(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced, one by one, by those of ``digits``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    chars = F.regexp_extract_all(value, F.lit(r"(?s)."), F.lit(0))
+    new = F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0))
 
     def step(state: Column, char: Column) -> Column:
         digit = char.between("0", "9")
-        out, at = state.getField("out"), state.getField("at")
+        out, at, new = state.getField("out"), state.getField("at"), state.getField("new")
         return F.struct(
-            F.concat(out, F.when(digit, F.substring(digits, at, F.lit(1))).otherwise(char)).alias("out"),
+            F.concat(out, F.when(digit, F.element_at(new, at)).otherwise(char)).alias("out"),
             F.when(digit, at + 1).otherwise(at).alias("at"),
+            new.alias("new"),
         )
 
-    return F.aggregate(F.regexp_extract_all(value, F.lit(r"(?s)."), F.lit(0)), start, step, lambda s: s.getField("out"))
+    # The new digits travel in the state: an expression inside the steps would be computed again for each character.
+    return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), new.alias("new")), step, lambda s: s.getField("out"))
 
 
 def luhn_digit(payload: Column) -> Column:
     """The check digit for a string of digits, as a string."""
-    length = F.char_length(payload)
 
-    def step(total: Column, at: Column) -> Column:
-        doubled = F.substring(payload, length + 1 - at, F.lit(1)).cast("int") * F.when(at % 2 == 1, 2).otherwise(1)
-        return total + F.when(doubled > 9, doubled - 9).otherwise(doubled)
+    def step(state: Column, digit: Column) -> Column:
+        # From the last digit on every other one is doubled, and the digits of what it gives are added.
+        number, odd = digit.cast("int"), state.getField("odd")
+        value = number * F.when(odd, 2).otherwise(1) - F.when(odd & (number > 4), 9).otherwise(0)
+        return F.struct((state.getField("total") + value).alias("total"), (~odd).alias("odd"))
 
-    total = F.aggregate(F.sequence(F.lit(1), length), F.lit(0), step)
-    return F.pmod(10 - total % 10, F.lit(10)).cast("string")
+    digits = F.regexp_extract_all(F.reverse(payload), F.lit("[0-9]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("total"), F.lit(True).alias("odd"))
+    return F.aggregate(digits, start, step, lambda s: F.pmod(10 - s.getField("total") % 10, F.lit(10)).cast("string"))
 
 
 def _has_luhn_digit(digits: Column) -> Column:
@@ -165,7 +177,7 @@ def _card(key: Column | str, value: Column) -> Column:
         valid = _has_luhn_digit(digits)
         first = F.substring(digits, 1, 1)
         moved = F.concat(first, permuted_digits(key, "card", F.substring(payload, F.lit(2), F.char_length(payload) - 1)))
-        return F.when(valid, let(moved, lambda p: _with_digits(value, F.concat(p, luhn_digit(p))))).otherwise(value)
+        return F.when(valid, _with_digits(value, let(moved, lambda p: F.concat(p, luhn_digit(p))))).otherwise(value)
 
     return let(_digits(value), swap)
 

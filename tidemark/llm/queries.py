@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import secrets
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,7 +93,10 @@ def pseudonym_key() -> str:
 
     Without it each call draws a new one: values stay linked within a run, but not between runs.
     """
-    return os.environ.get("TIDEMARK_PSEUDONYM_KEY") or secrets.token_hex(32)
+    key = os.environ.get("TIDEMARK_PSEUDONYM_KEY")
+    if not key:
+        warnings.warn("TIDEMARK_PSEUDONYM_KEY is not set: pseudonyms of this run link to those of no other run", stacklevel=2)
+    return key or secrets.token_hex(32)
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
