@@ -5,14 +5,14 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars, cleaning, resample, synthetic, targets
+from tidemark.operators import bars, cleaning, features, labels, monitoring, resample, risk, strategy, synthetic, targets
 from tidemark.operators import validation as V
 from tidemark.operators.quantiles import exact_quantiles
 
 
 def test_resolutions():
     assert [resample.minutes_of(r) for r in ("1min", "1h", "10", "7m", "45min")] == [1, 60, 10, 7, 45]
-    for wrong in ("", "x", "1d", "h"):
+    for wrong in ("", "x", "1d", "h", "0", "0min", "m", "m5", "5 5", "-5", "1.5min"):
         with pytest.raises(ValueError):
             resample.minutes_of(wrong)
 
@@ -100,3 +100,46 @@ def test_exact_quantiles(spark):
     assert set(got) == set(groups)
     for k, values in groups.items():
         assert np.allclose(got[k], np.quantile(values, shares), atol=1e-12), k
+
+
+def _prices(spark, closes, symbol="a"):
+    rows = [(symbol, i, c, c, c, c, 0.0) for i, c in enumerate(closes)]
+    found = spark.createDataFrame(rows, "symbol string, d int, open double, high double, low double, close double, volume double")
+    return found.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d"))).drop("d")
+
+
+def test_zero_prices_and_single_rows(spark):
+    zeros = _prices(spark, [1.0, 0.0, 2.0, 0.0, 0.0, 3.0]).unionByName(_prices(spark, [5.0], "alone"))
+    found = {r.date.day: r for r in targets.barrier_labels(zeros.select("symbol", "date", "close"), horizon=2).collect()}
+    assert (found[2].touch_type, found[2].return_at_touch, found[1].touch_type) == ("expiry", None, "sl")
+    found = {r.date.day: r for r in labels.triple_barrier(zeros, horizon=2).collect()}
+    assert (found[2].touch_type, found[2].return_at_touch) == ("time", None)
+    assert features.range_structure(zeros).filter("range IS NULL").count() == 3
+    assert risk.range_volatility(zeros, 2).count() == 7
+    single = spark.createDataFrame([("a", 1, 0.01), ("b", 1, -1.0), ("b", 2, 0.5)], "symbol string, date int, ret double")
+    found = {r.symbol: r for r in monitoring.performance(single).collect()}
+    assert found["a"].sharpe is None and abs(found["a"].total_return - 0.01) < 1e-12
+    signals = zeros.withColumns({"ret": F.lit(0.0), "signal": F.lit("BUY")})
+    assert strategy.day_trades(signals).filter("pnl IS NULL").count() == 3
+    held = strategy.stopped_trades(signals.withColumn("signal", F.lit("LONG"))).filter("date > '2024-01-05'").first()
+    assert held.equity is not None
+
+
+def test_timing_targets_of_a_day(spark):
+    closes = {0: 10.0, 5: 9.0, 10: 9.5, 60: 8.0, 119: 9.0, 150: 7.0, 190: 11.0, 300: 12.0, 380: 12.0, 389: 10.0}
+    rows = spark.createDataFrame([(m, c) for m, c in closes.items()], "m int, c double").select(
+        F.lit("a").alias("symbol"), F.lit("2024-01-02").cast("date").alias("date"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-02 09:30:00")) + F.col("m") * 60).alias("ts"),
+        *[F.col("c").alias(n) for n in ("open", "high", "low", "close")],
+    )
+    t = targets.timing_targets(rows).first()
+    assert (t.entry_price, t.entry_minute, t.exit_price, t.exit_minute) == (8.0, 60.0, 12.0, 300.0)
+    assert abs(t.best_return - 0.5) < 1e-12 and abs(t.max_adverse - 0.125) < 1e-12 and t.stop_pct == 0.05 and t.take_profit_pct == 0.05
+    moves = [b / a - 1 for a, b in zip(list(closes.values()), list(closes.values())[1:])]
+    mean = sum(moves) / 9
+    vol = math.sqrt(sum((x - mean) ** 2 for x in moves) / 8) * math.sqrt(10)
+    assert abs(t.day_volatility - vol) < 1e-12 and t.batches == 4 and t.should_batch and abs(t.position_pct - 0.1 * 0.5 * 2) < 1e-12
+    assert abs(t.max_possible_return - 5 / 7) < 1e-12 and abs(t.capture_efficiency - 0.7) < 1e-12
+    short = targets.timing_targets(rows, long=False).first()
+    assert (short.entry_price, short.exit_price) == (10.0, 11.0) and abs(short.best_return + 0.1) < 1e-12 and abs(short.max_adverse - 0.1) < 1e-12
+    empty = targets.timing_targets(rows.withColumns({n: F.lit(0.0) for n in ("open", "high", "low", "close")})).first()
+    assert empty.best_return is None and empty.stop_pct is None and empty.open_to_close is None

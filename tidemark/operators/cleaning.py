@@ -44,7 +44,7 @@ def validation_stats(bars: DataFrame, max_move: float = 0.5, repair: bool = True
     staged = bars.withColumns({"fate": fate, "broken": F.coalesce(numbers & positive & (F.col("volume") > 0) & broken, F.lit(False))})
     before = F.last(F.when(F.col("fate").isNull(), F.col("close")), ignorenulls=True).over(W.ordered().rowsBetween(Window.unboundedPreceding, -1))
     staged = staged.withColumn("before", before)
-    jump = F.col("fate").isNull() & (F.abs(F.col("close") / F.col("before") - 1) > max_move)
+    jump = F.col("fate").isNull() & (F.abs(F.try_divide(F.col("close"), F.col("before")) - 1) > max_move)
     staged = staged.withColumn("fate", F.when(jump, "move").otherwise(F.col("fate")))
     n = lambda test: F.count_if(test)
     return staged.groupBy("symbol").agg(

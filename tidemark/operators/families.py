@@ -226,7 +226,7 @@ def crypto_sentiment(rows: DataFrame) -> DataFrame:
 
 def dark_pool(rows: DataFrame) -> DataFrame:
     """Short volume share estimated from moves and volume, ten days late; only days that have one."""
-    busy = col("volume") / mean("volume", 20)
+    busy = F.try_divide(col("volume"), mean("volume", 20))
     share = W.clip(0.45 - W.clip(col("ret"), -0.05, 0.05) * 2.0 + W.clip(busy - 1.0, -0.5, 0.5) * 0.10, 0.25, 0.70)
     rows = rows.withColumn("share", share).withColumn("dp_short_volume_ratio", F.lag("share", 10).over(W.ordered())).filter("dp_short_volume_ratio IS NOT NULL")
     x = "dp_short_volume_ratio"

@@ -84,7 +84,7 @@ def percentile_rank(x: Column, n: int, least: int) -> Column:
 
 def range_structure(bars: DataFrame) -> DataFrame:
     """Adds the range's percentile among 60 bars, and how many of 21 bars were the narrowest of 7."""
-    rows = bars.withColumn("range", (F.col("high") - F.col("low")) / F.col("close"))
+    rows = bars.withColumn("range", F.try_divide(F.col("high") - F.col("low"), F.col("close")))
     rows = rows.withColumn("narrow", F.coalesce((F.col("range") == W.rolling(F.min, F.col("range"), 7)).cast("double"), F.lit(0.0)))
     return rows.withColumns(
         {"range_percentile": percentile_rank(F.col("range"), 60, 30), "narrow_count": W.rolling(F.sum, F.col("narrow"), 21, 10)}
@@ -109,7 +109,7 @@ def circuit_breaker(returns: DataFrame, streak: int = 3, daily_loss: float = 0.5
     running = W.ordered().rowsBetween(Window.unboundedPreceding, 0)
     last_gain = F.coalesce(F.max(F.when(F.col("ret") >= 0, F.col("_n"))).over(running), F.lit(0))
     rows = rows.withColumns({"losses": (F.col("_n") - last_gain).cast("long"), "_peak": F.max("close").over(running)})
-    rows = rows.withColumn("drawdown", F.col("close") / F.col("_peak") - 1)
+    rows = rows.withColumn("drawdown", F.try_divide(F.col("close"), F.col("_peak")) - 1)
     reason = (
         F.when(F.col("losses") >= streak, "loss_streak").when(F.col("ret") <= -daily_loss, "daily_loss").when(F.col("drawdown") <= -drawdown, "drawdown")
     )

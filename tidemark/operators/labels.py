@@ -11,11 +11,12 @@ from tidemark.functions import windows as W
 def triple_barrier(daily: DataFrame, profit: Column | float = 0.02, loss: Column | float = 0.02, horizon: int = 10) -> DataFrame:
     """The first barrier that the next ``horizon`` closes touch: ``upper``, ``lower`` or ``time``.
 
-    ``touch_idx`` counts rows from the entry. Entries without any later row have none of it.
+    ``touch_idx`` counts rows from the entry. Entries without any later row have none of it. An entry at a
+    close of 0 touches nothing, and its return is null.
     """
     ahead = Window.partitionBy("symbol").orderBy("date").rowsBetween(1, horizon)
     path = F.collect_list("close").over(ahead)
-    returns = F.transform("path", lambda p: p / F.col("close") - 1)
+    returns = F.transform("path", lambda p: F.try_divide(p, F.col("close")) - 1)
     hit = lambda test: F.array_position(F.transform("returns", test), True)
     touched = (
         daily.withColumn("path", path)

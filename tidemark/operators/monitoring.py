@@ -11,7 +11,8 @@ from tidemark.operators.quantiles import exact_quantiles
 def performance(returns: DataFrame, risk_free: float = 0.04, days: int = 252) -> DataFrame:
     """Total return, Sharpe ratio (population deviation), worst drawdown and win rate by symbol.
 
-    ``returns`` has ``symbol, date, ret``; null returns are left out.
+    ``returns`` has ``symbol, date, ret``; null returns are left out. The Sharpe ratio is null where the
+    returns do not vary, as with a single one.
     """
     valid = returns.filter("ret IS NOT NULL")
     growth = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -21,8 +22,8 @@ def performance(returns: DataFrame, risk_free: float = 0.04, days: int = 252) ->
     return curve.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"),
         (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total_return"),
-        (F.sqrt(F.lit(float(days))) * F.mean(excess) / F.stddev_pop("ret")).alias("sharpe"),
-        F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown"),
+        F.try_divide(F.sqrt(F.lit(float(days))) * F.mean(excess), F.stddev_pop("ret")).alias("sharpe"),
+        F.min(F.try_divide(F.col("equity"), F.col("peak")) - 1).alias("max_drawdown"),
         F.mean((F.col("ret") > 0).cast("double")).alias("win_rate"),
     )
 

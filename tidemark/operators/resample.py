@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ RESOLUTIONS = {"1min": 1, "2min": 2, "3min": 3, "5min": 5, "10min": 10, "15min":
 
 
 def minutes_of(resolution: str) -> int:
-    """Minutes of a resolution by name, or of a number with ``min`` or ``m``; anything else raises ValueError."""
+    """Minutes of a resolution by name, or of a positive number with ``min`` or ``m`` or alone; anything else raises ValueError."""
     if resolution in RESOLUTIONS:
         return RESOLUTIONS[resolution]
-    number = str(resolution).replace("min", "").replace("m", "")
-    if not number.strip().isdigit():
+    found = re.fullmatch(r"\s*(\d+)\s*(?:m|min)?\s*", str(resolution), re.ASCII)
+    if not found or not int(found[1]):
         raise ValueError(f"no resolution: {resolution!r}; known are {', '.join(RESOLUTIONS)}")
-    return int(number)
+    return int(found[1])
 
 
 def minute_bars(ticks: DataFrame) -> DataFrame:

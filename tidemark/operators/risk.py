@@ -45,7 +45,7 @@ def window_distance(returns: DataFrame, n: int = 20) -> DataFrame:
 
 def range_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
     """Adds ``parkinson`` and ``garman_klass`` volatilities of the last ``n`` bars."""
-    span, body = F.pow(F.log(F.col("high") / F.col("low")), 2), F.pow(F.log(F.col("close") / F.col("open")), 2)
+    span, body = F.pow(F.log(F.try_divide(F.col("high"), F.col("low"))), 2), F.pow(F.log(F.try_divide(F.col("close"), F.col("open"))), 2)
     parkinson = F.sqrt(W.rolling(F.mean, span, n) / (4 * math.log(2)))
     inner = W.rolling(F.mean, 0.5 * span - (2 * math.log(2) - 1) * body, n)
     return bars.withColumns({"parkinson": parkinson, "garman_klass": F.sqrt(F.when(inner.isNotNull(), F.greatest(inner, F.lit(0.0))))})

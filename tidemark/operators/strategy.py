@@ -30,7 +30,7 @@ def day_trades(signals: DataFrame, stake: float = 10_000.0, commission: float =
     way = F.when(F.col("signal") == "BUY", 1).otherwise(-1)
     rows = signals.withColumn("volatility", vol).filter(F.col("signal") != "HOLD").withColumn("slip", slippage(F.lit(stake), F.col("volatility")))
     rows = rows.withColumns({"entry": F.col("open") * (1 + way * F.col("slip")), "exit": F.col("close") * (1 - way * F.col("slip"))})
-    shares = stake / F.col("entry")
+    shares = F.try_divide(F.lit(stake), F.col("entry"))
     rows = rows.withColumn("pnl", way * (F.col("exit") - F.col("entry")) * shares - 2 * commission * shares)
     return rows.withColumn("return_pct", F.col("pnl") / stake).select("symbol", "date", "signal", "volatility", "entry", "exit", "pnl", "return_pct")
 
@@ -64,7 +64,7 @@ def stopped_trades(signals: DataFrame, stake: float = 0.10, stop: float = 0.01,
     stop if the day's range touches it, else at its target, else at the close. It stakes the share
     ``stake`` of the equity before it. What a trade earns per unit staked does not depend on the
     equity up to the order-size part of the slippage, so equity is folded over the day's results in
-    date order; days of one symbol are few.
+    date order; days of one symbol are few. A price of 0 or a missing one earns nothing.
     """
     before = W.ordered().rowsBetween(-n, -1)
     vol = F.when(F.count("ret").over(before) >= n, F.stddev_samp("ret").over(before) * 252**0.5).otherwise(0.15)
@@ -91,9 +91,9 @@ def stopped_trades(signals: DataFrame, stake: float = 0.10, stop: float = 0.01,
         slip = slippage(value, d.getField("volatility"))
         entry = d.getField("open") * (1 + d.getField("way") * slip)
         leave = d.getField("exit_price") * (1 - d.getField("way") * slip)
-        shares = value / entry
-        pnl = d.getField("way") * (leave - entry) * shares - 2 * commission * shares
-        done = F.struct(d.getField("date").alias("date"), pnl.alias("pnl"), (pnl / value).alias("return_pct"), (equity + pnl).alias("equity"))
+        shares = F.try_divide(value, entry)
+        pnl = F.coalesce(d.getField("way") * (leave - entry) * shares - 2 * commission * shares, F.lit(0.0))
+        done = F.struct(d.getField("date").alias("date"), pnl.alias("pnl"), F.try_divide(pnl, value).alias("return_pct"), (equity + pnl).alias("equity"))
         return F.struct((equity + pnl).alias("equity"), F.concat(state.getField("done"), F.array(done)).alias("done"))
 
     folded = ordered.withColumn("out", F.aggregate("days", F.struct(F.lit(capital).alias("equity"), empty.alias("done")), step, lambda s: s.getField("done")))

@@ -71,7 +71,7 @@ def without_member(index: DataFrame, members: DataFrame, weights: DataFrame, sig
 def tilted(members: DataFrame, favoured: list[str], factor: float = 2.0) -> DataFrame:
     """The basket's mean return with the favoured members counted ``factor`` times."""
     weight = F.when(F.col("symbol").isin(favoured), factor).otherwise(1.0)
-    return members.filter("ret IS NOT NULL").groupBy("date").agg((F.sum(F.col("ret") * weight) / F.sum(weight)).alias("ret"))
+    return members.filter("ret IS NOT NULL").groupBy("date").agg(F.try_divide(F.sum(F.col("ret") * weight), F.sum(weight)).alias("ret"))
 
 
 def sampled_members(members: DataFrame, share: float, seed: int) -> DataFrame:

@@ -14,6 +14,11 @@ from tidemark.operators import align
 from tidemark.operators.bars import minute_of_day
 
 
+# Fixed values of the timing targets: shares of the price, and batches above each volatility.
+STOP_ROOM, PROFIT_ROOM, BASE_SIZE, USUAL_VOLATILITY = 0.002, 0.001, 0.10, 0.015
+BATCHES = ((0.01, 2), (0.015, 3), (0.02, 4))
+
+
 def barrier_labels(
     closes: DataFrame, take: Column | float = 0.02, stop: Column | float = 0.02, horizon: int = 10, events: DataFrame | None = None
 ) -> DataFrame:
@@ -23,13 +28,13 @@ def barrier_labels(
     or ``expiry``; a close that touches both takes profit. ``touch_idx`` counts rows from the entry,
     the last row of a symbol has no label. ``binary`` is 1 for ``tp``; ``ternary`` is 1, -1 or 0;
     ``continuous`` is the return at the touch. ``events`` (``symbol, date``) restricts the entries,
-    not the prices.
+    not the prices. After a close of 0 there are no returns: it touches nothing and its return is null.
     """
     extra = [c for c in closes.columns if c not in ("symbol", "date", "close")]
     filled = align.forward_fill(closes.select("symbol", "date", "close", *extra), ["symbol"], "date", ["close"]).filter("close IS NOT NULL")
     path = F.collect_list("close").over(W.ordered().rowsBetween(1, horizon))
     rows = filled.withColumn("path", path).filter(F.size("path") > 0)
-    returns = F.transform("path", lambda p: p / F.col("close") - 1)
+    returns = F.transform("path", lambda p: F.try_divide(p, F.col("close")) - 1)
     take, stop = (x if isinstance(x, Column) else F.lit(x) for x in (take, stop))
     first = lambda test: F.nullif(F.array_position(F.transform("returns", test), True), F.lit(0))
     rows = rows.withColumn("returns", returns).withColumns({"up": first(lambda r: r >= take), "down": first(lambda r: r <= -stop)})
@@ -58,9 +63,16 @@ def timing_targets(bars: DataFrame, long: bool = True, entry: tuple = (0, 120),
 
     Minutes count from 09:30. Days of fewer than ``least_bars`` bars, or without a bar in either
     window, have no target. Short targets enter at the highest high and leave at the lowest low.
+
+    From the path between both follow the stop that would have held (the worst move against the
+    trade and ``STOP_ROOM``) and the profit to take; from the day's volatility the size and the
+    number of batches; from the mean price of the entry window whether batches would have
+    mattered. What is divided by a price of 0 is null, and so is all that rests on it.
     """
     minute = (minute_of_day("ts") - 570 + F.second("ts") / 60).alias("minute")
     rows = bars.select("symbol", "date", "ts", "open", "high", "low", "close", minute)
+    move = F.try_divide(F.col("close"), F.lag("close").over(Window.partitionBy("symbol", "date").orderBy("ts"))) - 1
+    rows = rows.withColumn("move", move)
     inside = lambda w: F.col("minute").between(*w)
     buy, sell = ("low", "high") if long else ("high", "low")
     pick_entry, pick_exit = (F.min_by, F.max_by) if long else (F.max_by, F.min_by)
@@ -72,11 +84,14 @@ def timing_targets(bars: DataFrame, long: bool = True, entry: tuple = (0, 120),
         pick_entry(F.struct("ts", "minute", F.col(buy).alias("price")), F.when(inside(entry), entry_key)).alias("entry"),
         F.min_by("open", "ts").alias("day_open"),
         F.max_by("close", "ts").alias("day_close"),
-        (F.max("high") - F.min("low")).alias("day_range"),
+        F.max("high").alias("day_high"),
+        F.min("low").alias("day_low"),
+        (F.stddev_samp("move") * F.sqrt(F.count(F.lit(1)).cast("double"))).alias("day_volatility"),
+        F.mean(F.when(inside(entry), F.col("close"))).alias("mean_entry"),
         F.count_if(inside(leave)).alias("n_exits"),
     ).filter((F.col("n") >= least_bars) & F.col("entry").isNotNull() & (F.col("n_exits") > 0))
     later = F.when(F.col("ts") > F.col("entry.ts"), exit_key)
-    best = lambda key: pick_exit(F.struct("minute", F.col(sell).alias("price")), key)
+    best = lambda key: pick_exit(F.struct("ts", "minute", F.col(sell).alias("price")), key)
     exits = (
         rows.filter(inside(leave))
         .join(entries.select("symbol", "date", "entry"), ["symbol", "date"])
@@ -85,16 +100,46 @@ def timing_targets(bars: DataFrame, long: bool = True, entry: tuple = (0, 120),
         .select("symbol", "date", F.coalesce("after", "any").alias("exit"))
     )
     way = 1 if long else -1
-    return entries.join(exits, ["symbol", "date"]).select(
+    trades = entries.join(exits, ["symbol", "date"])
+    held = rows.join(trades.select("symbol", "date", "entry", "exit"), ["symbol", "date"]).filter(F.col("ts").between(F.col("entry.ts"), F.col("exit.ts")))
+    worst = held.groupBy("symbol", "date").agg((F.min("low") if long else F.max("high")).alias("worst"))
+    price = F.col("entry.price")
+    trades = trades.join(worst, ["symbol", "date"], "left").withColumns(
+        {
+            "best_return": F.try_divide(way * (F.col("exit.price") - price), price),
+            # An exit before the entry has no path between them.
+            "adverse": F.try_divide(F.coalesce(way * (price - F.col("worst")), F.lit(0.0)), price),
+            "possible": F.try_divide(F.col("day_high") - F.col("day_low"), F.col("day_low" if long else "day_high")),
+            "benefit": F.try_divide(F.abs(F.col("mean_entry") - price), price),
+            "day_range": F.col("day_high") - F.col("day_low"),
+        }
+    )
+    move, volatility = F.abs("best_return"), F.col("day_volatility")
+    calm = W.clip(F.try_divide(F.lit(USUAL_VOLATILITY), F.when(volatility.isNotNull(), F.greatest(volatility, F.lit(0.005)))), 0.5, 1.5)
+    batches = F.lit(1)
+    for level, number in BATCHES:
+        batches = F.when(volatility > level, number).otherwise(batches)
+    return trades.select(
         "symbol",
         "date",
         F.col("entry.price").alias("entry_price"),
         F.col("entry.minute").alias("entry_minute"),
         F.col("exit.price").alias("exit_price"),
         F.col("exit.minute").alias("exit_minute"),
-        (way * (F.col("exit.price") - F.col("entry.price")) / F.col("entry.price")).alias("best_return"),
-        (way * (F.col("day_close") - F.col("day_open")) / F.col("day_open")).alias("open_to_close"),
+        "best_return",
+        F.try_divide(way * (F.col("day_close") - F.col("day_open")), F.col("day_open")).alias("open_to_close"),
         "day_range",
+        F.try_divide(F.col("day_range"), F.col("day_open")).alias("day_range_pct"),
+        "day_volatility",
+        F.col("adverse").alias("max_adverse"),
+        F.when(F.col("adverse").isNotNull(), F.least(F.lit(0.05), F.col("adverse") + STOP_ROOM)).alias("stop_pct"),
+        W.clip(move - PROFIT_ROOM, 0.005, 0.05).alias("take_profit_pct"),
+        W.clip(BASE_SIZE * calm * W.clip(move / 0.01, 0.5, 2.0), 0.05, 0.25).alias("position_pct"),
+        F.col("benefit").alias("batching_benefit"),
+        (F.col("benefit") > 0.001).alias("should_batch"),
+        F.when(volatility.isNotNull(), batches).cast("long").alias("batches"),
+        F.col("possible").alias("max_possible_return"),
+        F.try_divide(F.col("best_return"), F.when(F.col("possible").isNotNull(), F.greatest("possible", F.lit(0.001)))).alias("capture_efficiency"),
     )
 
 

@@ -145,20 +145,37 @@ def daily_frame(spark, sf_dir):
 
 
 @query(f"""
-WITH {MINUTES}, placed AS (SELECT *, hour(ts) * 60 + minute(ts) - 570 AS minute FROM minutes),
+WITH {MINUTES}, placed AS (
+  SELECT *, hour(ts) * 60 + minute(ts) - 570 AS minute, close / nullif(lag(close) OVER (PARTITION BY symbol, date ORDER BY ts), 0) - 1 AS move FROM minutes),
 days AS (
-  SELECT symbol, date, count(*) AS n, arg_min(open, ts) AS day_open, arg_max(close, ts) AS day_close, max(high) - min(low) AS day_range,
+  SELECT symbol, date, count(*) AS n, arg_min(open, ts) AS day_open, arg_max(close, ts) AS day_close, max(high) AS day_high, min(low) AS day_low,
+         max(high) - min(low) AS day_range, stddev_samp(move) * sqrt(count(*)) AS vol, avg(close) FILTER (minute BETWEEN 0 AND 120) AS mean_entry,
          first(ts ORDER BY low, ts) FILTER (minute BETWEEN 0 AND 120) AS at, count(*) FILTER (minute BETWEEN 180 AND 385) AS n_exits
   FROM placed GROUP BY 1, 2),
 entries AS (SELECT d.*, p.low AS entry_price, p.minute AS entry_minute FROM days d JOIN placed p ON p.symbol = d.symbol AND p.ts = d.at WHERE n >= 10 AND n_exits > 0),
 exits AS (
   SELECT e.symbol, e.date, coalesce(first(p.ts ORDER BY p.high DESC, p.ts) FILTER (p.ts > e.at), first(p.ts ORDER BY p.high DESC, p.ts)) AS out
-  FROM entries e JOIN placed p ON p.symbol = e.symbol AND p.date = e.date AND p.minute BETWEEN 180 AND 385 GROUP BY 1, 2)
-SELECT e.symbol, e.date, entry_price, CAST(entry_minute AS DOUBLE) AS entry_minute, p.high AS exit_price, CAST(p.minute AS DOUBLE) AS exit_minute,
-       round((p.high - entry_price) / entry_price, 8) AS best_return, round((day_close - day_open) / day_open, 8) AS open_to_close, round(day_range, 8) AS day_range
-FROM entries e JOIN exits x USING (symbol, date) JOIN placed p ON p.symbol = x.symbol AND p.ts = x.out""")
+  FROM entries e JOIN placed p ON p.symbol = e.symbol AND p.date = e.date AND p.minute BETWEEN 180 AND 385 GROUP BY 1, 2),
+trades AS (
+  SELECT e.*, p.high AS exit_price, p.minute AS exit_minute, (p.high - entry_price) / nullif(entry_price, 0) AS best, (day_high - day_low) / nullif(day_low, 0) AS possible,
+         abs(mean_entry - entry_price) / nullif(entry_price, 0) AS benefit,
+         (SELECT (entry_price - min(h.low)) / nullif(entry_price, 0) FROM placed h WHERE h.symbol = e.symbol AND h.date = e.date AND h.ts BETWEEN e.at AND x.out) AS adverse
+  FROM entries e JOIN exits x USING (symbol, date) JOIN placed p ON p.symbol = x.symbol AND p.ts = x.out)
+SELECT symbol, date, entry_price, CAST(entry_minute AS DOUBLE) AS entry_minute, exit_price, CAST(exit_minute AS DOUBLE) AS exit_minute,
+       round(best, 8) AS best_return, round((day_close - day_open) / nullif(day_open, 0), 8) AS open_to_close, round(day_range, 8) AS day_range,
+       round(day_range / nullif(day_open, 0), 8) AS day_range_pct, round(vol, 8) AS day_volatility, round(adverse, 8) AS max_adverse,
+       CASE WHEN adverse IS NOT NULL THEN round(least(0.05, adverse + 0.002), 8) END AS stop_pct,
+       CASE WHEN best IS NOT NULL THEN round(least(greatest(abs(best) - 0.001, 0.005), 0.05), 8) END AS take_profit_pct,
+       CASE WHEN best IS NOT NULL AND vol IS NOT NULL THEN
+         round(least(greatest(0.1 * least(greatest(0.015 / greatest(vol, 0.005), 0.5), 1.5) * least(greatest(abs(best) / 0.01, 0.5), 2.0), 0.05), 0.25), 8) END AS position_pct,
+       round(benefit, 8) AS batching_benefit, benefit > 0.001 AS should_batch,
+       CAST(CASE WHEN vol IS NULL THEN NULL WHEN vol > 0.02 THEN 4 WHEN vol > 0.015 THEN 3 WHEN vol > 0.01 THEN 2 ELSE 1 END AS BIGINT) AS batches,
+       round(possible, 8) AS max_possible_return, CASE WHEN possible IS NOT NULL THEN round(best / greatest(possible, 0.001), 8) END AS capture_efficiency
+FROM trades""")
 def timing_targets(spark, sf_dir):
-    return rounded(targets.timing_targets(minutes(spark, sf_dir)), 8, "best_return", "open_to_close", "day_range")
+    found = targets.timing_targets(minutes(spark, sf_dir))
+    plain = ("entry_price", "entry_minute", "exit_price", "exit_minute")
+    return rounded(found, 8, *[c for c, kind in found.dtypes if kind == "double" and c not in plain])
 
 
 @query(f"""
