@@ -118,40 +118,58 @@ def concept_drift(baseline: DataFrame, current: DataFrame, feature: str = "featu
     )
 
 
-def drift_monitor(train: DataFrame, live: DataFrame, bins: int = 10, threshold: float = 0.2, epsilon: float = 1e-6) -> DataFrame:
-    """PSI of each ``feature``'s live ``value`` in the training quantile bins, with the share of drifted features and its severity.
+def _binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``feature``, the number of its rows in each bin, and its lowest and highest value; one aggregation by bin, then one by feature."""
+    value = F.round("value", 9)
+    place = F.greatest(F.least(F.size(F.filter("edges", lambda e: e <= value)), F.size("edges") - 1), F.lit(1))
+    inside = (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
+    placed = rows.filter("value IS NOT NULL").join(edges.select("feature", "edges"), "feature").withColumn("bin", F.when(inside, place))
+    counted = placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    each = F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("bins")
+    return counted.groupBy("feature").agg(each, F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def drift_baseline(train: DataFrame, bins: int = 10) -> DataFrame:
+    """``feature, edges, bins`` of training rows (``feature, value``): quantile edges, equal ones once, and the rows in each bin; one row for each feature."""
+    shares = [i / bins for i in range(bins + 1)]
+    edges = exact_quantiles(train, ["feature"], "value", shares, "edges").withColumn("edges", F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))))
+    return edges.join(_binned(train, edges).select("feature", "bins"), "feature")
 
-    Equal edges count once; values outside the training range are left out of both shares. A
+
+def drift_against(baseline: DataFrame, live: DataFrame, threshold: float = 0.2, epsilon: float = 1e-6) -> DataFrame:
+    """PSI of each ``feature``'s live ``value`` in the baseline's bins, with the share of drifted features and its severity.
+
+    Values outside the training range are left out of both shares. A
     feature that was constant has PSI 0 while it stays so, and infinity otherwise or without live rows.
     """
-    shares = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(train, ["feature"], "value", shares, "edges").withColumn("edges", F.array_distinct(F.transform("edges", lambda e: F.round(e, 9))))
+    found = _binned(live, baseline).withColumnRenamed("bins", "live_bins")
+
+    def part(i: Column) -> Column:
+        def share(counts: str) -> Column:
+            here, total = F.try_element_at(counts, i), F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda s, n: s + n)
+            return F.greatest(F.coalesce(F.try_divide(here, total), F.lit(0.0)), F.lit(epsilon))
+
+        e, a = share("bins"), share("live_bins")
+        return (a - e) * F.log(a / e)
 
-    def counts(rows: DataFrame, name: str) -> DataFrame:
-        value = F.round("value", 9)
-        inside = rows.filter("value IS NOT NULL").join(edges, "feature").filter((value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1)))
-        place = F.greatest(F.least(F.size(F.filter("edges", lambda e: e <= value)), F.size("edges") - 1), F.lit(1))
-        return inside.groupBy("feature", place.alias("bin")).agg(F.count(F.lit(1)).alias(name))
-
-    per_feature = Window.partitionBy("feature")
-    share = lambda name: F.coalesce(F.try_divide(F.col(name), F.sum(name).over(per_feature)), F.lit(0.0))
-    grid = edges.filter(F.size("edges") > 1).select("feature", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"))
-    both = grid.join(counts(train, "e"), ["feature", "bin"], "left").join(counts(live, "a"), ["feature", "bin"], "left").fillna(0, ["e", "a"])
-    e, a = F.greatest(share("e"), F.lit(epsilon)), F.greatest(share("a"), F.lit(epsilon))
-    varied = both.withColumn("part", (a - e) * F.log(a / e)).groupBy("feature").agg(F.sum("part").alias("varied"))
-    extent = live.filter("value IS NOT NULL").groupBy("feature").agg(F.min(F.round("value", 9)).alias("low"), F.max(F.round("value", 9)).alias("high"))
-    constant = F.element_at("edges", 1)
-    infinite = F.lit(float("inf"))
+    varied = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("edges") - 1), part), F.lit(0.0), lambda s, x: s + x)
+    constant, infinite = F.element_at("edges", 1), F.lit(float("inf"))
     psi = (
         F.when(F.col("low").isNull(), F.when(F.size("edges") > 1, infinite).otherwise(0.0))
-        .when(F.size("edges") > 1, F.col("varied"))
+        .when(F.size("edges") > 1, varied)
         .when((F.col("low") == constant) & (F.col("high") == constant), 0.0)
         .otherwise(infinite)
     )
-    found = edges.join(varied, "feature", "left").join(extent, "feature", "left").select("feature", psi.alias("psi")).withColumn("drifted", F.col("psi") > threshold)
-    fraction = found.agg(F.mean(F.col("drifted").cast("double")).alias("x")).scalar()
+    judged = baseline.join(found, "feature", "left").select("feature", psi.alias("psi")).withColumn("drifted", F.col("psi") > threshold)
+    # One row for each feature; a window without a key over them.
+    fraction = F.mean(F.col("drifted").cast("double")).over(Window.partitionBy(F.lit(0)))
     severity = F.when(F.col("drift_fraction") > 0.2, "significant").when(F.col("drift_fraction") > 0.1, "moderate").otherwise("none")
-    return found.withColumn("drift_fraction", fraction).withColumn("severity", severity)
+    return judged.withColumn("drift_fraction", fraction).withColumn("severity", severity)
+
+
+def drift_monitor(train: DataFrame, live: DataFrame, bins: int = 10, threshold: float = 0.2, epsilon: float = 1e-6) -> DataFrame:
+    """Live rows against the baseline of training rows."""
+    return drift_against(drift_baseline(train, bins), live, threshold, epsilon)
 
 
 def regime_of_trades(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

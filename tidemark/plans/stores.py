@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.catalog import DAILY, query
+from tidemark.operators.validation import drift_baseline
+from tidemark.plans.catalog import DAILY, query, rounded
+from tidemark.plans.validation import FEATURES, features
 from tidemark.sources import files
 from tidemark.sources.market import daily_orders, table
-from tidemark.streaming import live
+from tidemark.streaming import live, stateful
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -151,3 +153,108 @@ def prediction_log(spark, sf_dir):
     """The last hundred predictions of each symbol, as a bounded log keeps them."""
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("event_id")))
     return _events(spark, sf_dir).withColumn("place", place).filter("place <= 100").select("symbol", "event_id", "price")
+
+
+def _in_state_store(spark: SparkSession, run):
+    """``run()`` with the state store that typed state needs; the setting before is put back."""
+    name, store = stateful.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
+def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth event is a signal, the others are trades of the account."""
+    price = F.col("price")
+    kind = F.when(F.col("event_id") % 4 == 0, "signal").otherwise("trade").alias("kind")
+    direction = F.when(price > 50, "BUY").when(price > 25, "SELL").otherwise("HOLD").alias("direction")
+    return _events(spark, sf_dir, "symbol", "event_id", "ts", kind, ((price - 50) / 20000).alias("pnl"), direction, F.lit(0.1).alias("size"))
+
+
+@query("""
+WITH RECURSIVE events_of AS (
+  SELECT event_type AS symbol, event_id, ts, CAST(ts AS DATE) AS day, event_id % 4 = 0 AS asks, (value - 50) / 20000 AS pnl,
+         CASE WHEN value > 50 THEN 'BUY' WHEN value > 25 THEN 'SELL' ELSE 'HOLD' END AS direction,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+run AS (
+  SELECT symbol, 0::BIGINT AS n, NULL::DATE AS day, 0::DOUBLE AS daily, 1::DOUBLE AS equity, 1::DOUBLE AS peak, 0::BIGINT AS losses, NULL::VARCHAR AS tripped FROM events_of WHERE n = 1
+  UNION ALL
+  SELECT symbol, n, day, daily, equity, greatest(peak, equity), losses,
+         CASE WHEN NOT asks OR direction = 'HOLD' OR was IS NOT NULL THEN was WHEN -daily / peak >= 0.02 THEN 'daily_loss' WHEN (peak - equity) / peak >= 0.2 THEN 'drawdown' END
+  FROM (SELECT e.symbol, e.n, e.day, e.asks, e.direction, r.peak,
+               CASE WHEN r.day IS NULL OR e.day > r.day THEN 0 ELSE r.daily END + CASE WHEN e.asks THEN 0 ELSE e.pnl END AS daily,
+               CASE WHEN e.asks THEN r.equity ELSE r.equity + e.pnl * r.equity END AS equity,
+               CASE WHEN e.asks THEN r.losses WHEN e.pnl < 0 THEN r.losses + 1 ELSE 0 END AS losses,
+               CASE WHEN e.day > r.day AND r.tripped = 'daily_loss' THEN NULL ELSE r.tripped END AS was
+        FROM run r JOIN events_of e ON e.symbol = r.symbol AND e.n = r.n + 1)),
+told AS (
+  SELECT e.symbol, 'signal' AS kind, e.day, e.event_id, CASE WHEN e.direction <> 'HOLD' AND tripped IS NOT NULL THEN 'HOLD' ELSE e.direction END AS direction,
+         CASE WHEN e.direction <> 'HOLD' AND tripped IS NULL AND losses >= 5 THEN 0.05 ELSE 0.1 END AS size, CASE WHEN e.direction <> 'HOLD' THEN tripped END AS reason,
+         daily, equity, peak, losses, tripped FROM run r JOIN events_of e ON e.symbol = r.symbol AND e.n = r.n WHERE asks
+  UNION ALL
+  SELECT symbol, 'day', day, NULL, NULL, NULL, NULL, daily, equity, peak, losses, tripped FROM run WHERE n > 0
+  QUALIFY row_number() OVER (PARTITION BY symbol, day ORDER BY n DESC) = 1 AND (lead(day) OVER (PARTITION BY symbol ORDER BY n) > day
+    OR CAST(day + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR))
+SELECT symbol, kind, day, coalesce(event_id, -1) AS event_id, direction, coalesce(size, -1) AS size, reason, round(daily, 10) AS daily_pnl, round((peak - equity) / peak, 10) AS drawdown, losses, tripped FROM told""")
+def streamed_circuit_breaker(spark, sf_dir):
+    path = folder(spark, "streamed-breaker")
+    found = stateful.circuit_breaker(_streamed(account_events(spark, sf_dir), f"{path}/in"), drawdown=0.2)
+    told = _in_state_store(spark, lambda: _finished(found, path))
+    return rounded(told.fillna(-1, ["event_id", "size"]), 10, "daily_pnl", "drawdown")
+
+
+@query("""
+WITH fills AS (SELECT l_orderkey AS order_id, arg_min(l_extendedprice, (l_shipdate, l_extendedprice)) AS actual, min(l_shipdate) AS filled_at FROM lineitem GROUP BY 1),
+expected AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN 'LONG' ELSE 'SHORT' END AS direction, o_totalprice / 10 AS expected, o_orderdate AS ordered_at FROM orders),
+met AS (SELECT e.*, f.actual, f.filled_at FROM expected e LEFT JOIN fills f ON f.order_id = e.order_id AND f.filled_at BETWEEN e.ordered_at AND e.ordered_at + INTERVAL 732 HOUR),
+slips AS (SELECT *, CASE WHEN actual IS NULL THEN NULL WHEN expected = 0 THEN 0 ELSE (actual - expected) / expected * 10000 END AS slip FROM met)
+SELECT order_id, direction, expected, actual, round(slip, 2) AS slippage_bps, coalesce(CASE WHEN direction = 'LONG' THEN slip <= 0 ELSE slip >= 0 END, false) AS favorable, ordered_at, filled_at
+FROM slips WHERE actual IS NOT NULL OR ordered_at + INTERVAL 732 HOUR < least((SELECT max(o_orderdate) FROM orders), (SELECT max(filled_at) FROM fills)) - INTERVAL 1 DAY""")
+def streamed_fills(spark, sf_dir):
+    """Orders and their first fills as two streams; an order without a fill within 30 days and a half is told once the watermark has passed."""
+    path = folder(spark, "streamed-fills")
+    expected = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderstatus") == "F", "long").otherwise("short").alias("direction"), (F.col("o_totalprice") / 10).alias("expected"), F.col("o_orderdate").alias("ordered_at")
+    )
+    fills = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.min_by("l_extendedprice", F.struct("l_shipdate", "l_extendedprice")).alias("actual"), F.min("l_shipdate").alias("filled_at")
+    )
+    twice = fills.union(fills)
+    found = stateful.met_expectations(_streamed(expected.coalesce(1), f"{path}/expected"), _streamed(twice.coalesce(1), f"{path}/fills"), "732 hours")
+    out = _finished(found, path).fillna(False, ["favorable"])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ordered_at", "filled_at")})
+
+
+@query(f"""
+WITH {FEATURES}, plain AS (SELECT feature, half, l_orderkey % 3 AS slice, round(value, 9) AS value FROM features),
+edges AS (
+  SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda e: round(e, 9)))) AS edges
+  FROM plain WHERE half = 0 GROUP BY 1),
+placed AS (
+  SELECT p.feature, half, slice, CASE WHEN value >= edges[1] AND value <= edges[-1] THEN greatest(least(len(list_filter(edges, lambda e: e <= value)), len(edges) - 1), 1) END AS bin
+  FROM plain p JOIN edges USING (feature)),
+slices AS (SELECT DISTINCT slice FROM plain WHERE half = 1),
+grid AS (SELECT feature, slice, unnest(range(1, len(edges))) AS bin FROM edges CROSS JOIN slices),
+e AS (SELECT feature, bin, count(*) AS n FROM placed WHERE half = 0 GROUP BY 1, 2),
+a AS (SELECT feature, slice, bin, count(*) AS n FROM placed WHERE half = 1 GROUP BY 1, 2, 3),
+shares AS (
+  SELECT feature, slice, greatest(coalesce(e.n, 0) / sum(coalesce(e.n, 0)) OVER w, 1e-6) AS e, greatest(coalesce(a.n, 0) / sum(coalesce(a.n, 0)) OVER w, 1e-6) AS a
+  FROM grid LEFT JOIN e USING (feature, bin) LEFT JOIN a USING (feature, slice, bin) WINDOW w AS (PARTITION BY feature, slice)),
+psi AS (SELECT feature, slice, sum((a - e) * ln(a / e)) AS psi FROM shares GROUP BY 1, 2),
+judged AS (SELECT *, psi > 0.2 AS drifted, avg(CASE WHEN psi > 0.2 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY slice) AS drift_fraction FROM psi)
+SELECT slice, feature, round(psi, 6) AS psi, drifted, drift_fraction, CASE WHEN drift_fraction > 0.2 THEN 'significant' WHEN drift_fraction > 0.1 THEN 'moderate' ELSE 'none' END AS severity
+FROM judged""")
+def streamed_drift(spark, sf_dir):
+    """Three micro-batches of live rows, each judged as it arrives against a baseline that is computed once."""
+    path = folder(spark, "streamed-drift")
+    rows = features(spark, sf_dir).select("feature", "half", "value", (F.col("l_orderkey") % 3).alias("slice"))
+    drift_baseline(rows.filter("half = 0")).write.parquet(f"{path}/baseline")
+    live_rows = rows.filter("half = 1").select("feature", "value", "slice")
+    for slice_ in range(3):
+        live_rows.filter(F.col("slice") == slice_).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(live_rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stateful.watch_drift(stream, spark.read.parquet(f"{path}/baseline"), path, "slice").awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/log").drop("batch"), 6, "psi")
