@@ -213,7 +213,7 @@ def test_har_against_day_by_day(spark):
     assert values(K.heterogeneous_variance(days(spark, close=close[:29]))) == [(0.0,) * 4] * 29
 
 
-@pytest.mark.parametrize("family", [K.heterogeneous_variance, K.hurst, K.changepoints, K.absorption])
+@pytest.mark.parametrize("family", [K.heterogeneous_variance, K.hurst, K.changepoints, K.absorption, K.multifractal, K.quantile_states])
 def test_no_look_ahead(spark, family):
     close = 100 * np.exp(np.cumsum(draw(260, 2) * 0.02))
     whole, part = values(family(days(spark, close=close))), values(family(days(spark, close=close[:200])))
@@ -224,3 +224,52 @@ def test_changepoint_after_calm_days(spark):
     close = [100.0 + 0.01 * (i % 2) for i in range(30)] + [150.0 * 1.5**i for i in range(3)] + [500.0] * 20
     found = values(K.changepoints(days(spark, close=np.array(close))))
     assert found[29][2] == 0 and found[30] == (1.0, 1.0, 1.0) and found[-1][2] == 1 and values(K.changepoints(days(spark, close=np.array(close[:9])))) == [(0.0,) * 3] * 9
+
+
+def dfa_by_hand(x, q):
+    n = len(x)
+    profile = np.cumsum(x - np.mean(x))
+    points = []
+    for size in (8, 16, 32):
+        rough = []
+        for at in range(0, n // size * size, size):
+            part = profile[at : at + size]
+            slope, start = np.polyfit(range(size), part, 1)
+            rough.append(math.sqrt(sum((v - slope * i - start) ** 2 for i, v in enumerate(part)) / size))
+        mean = math.exp(sum(map(math.log, rough)) / len(rough)) if q == 0 else (sum(r**q for r in rough) / len(rough)) ** (1 / q)
+        points.append((math.log(size), math.log(mean)))
+    return min(1.5, max(0.0, np.polyfit(*zip(*points), 1)[0]))
+
+
+def test_detrended_exponents_against_one_window():
+    windows = np.array([draw(100, s) for s in range(4)] + [np.cumsum(draw(100, 5))])
+    got = K.detrended_exponents(windows)
+    for j, q in enumerate((2.0, 0.0, -2.0)):
+        assert np.allclose(got[j], [dfa_by_hand(w, q) for w in windows], atol=1e-9)
+    assert (K.detrended_exponents(windows[:, :63]) == 0.5).all() and (K.detrended_exponents(np.zeros((1, 100))) == 0.5).all()
+
+
+def test_quantile_states_day_by_day(spark):
+    close = 100 * np.exp(np.cumsum(draw(190, 6) * 0.02 + np.repeat([0.01, -0.01], 95)))
+    got = values(K.quantile_states(days(spark, close=close)))
+    moves = [0.0, *(close[1:] / close[:-1] - 1)]
+    before, run = None, 1
+    for i in range(190):
+        if i < 120:
+            assert got[i] == (1.0, 0.33, 0.33, 0.0, 1.0)
+            continue
+        past, now = np.array(moves[i - 120 : i]), np.mean(moves[i - 20 : i])
+        low, high = np.percentile(past, 33), np.percentile(past, 67)
+        state = 2 if now > high else 0 if now < low else 1
+        near = [1 / abs(now - part.mean()) for part in (past[past <= low], past[(past > low) & (past <= high)], past[past > high])]
+        run = run + 1 if state == before else 1
+        want = (state, near[2] / sum(near), near[0] / sum(near), float(before is not None and state != before), run)
+        assert np.allclose(got[i], want, atol=1e-9), i
+        before = state
+
+
+def test_tails_by_counting():
+    a = draw(60, 3)
+    assert K.tails_of(a, a) == (1.0, pytest.approx(6 / 6)) and K.tails_of(a, -a) == (0.0, 0.0)
+    b = np.where(a > np.sort(a)[-7], a, draw(60, 4) - 5)
+    assert K.tails_of(a, b)[0] == 1.0 and K.tails_of(np.ones(20), np.ones(20))[0] == 1.0

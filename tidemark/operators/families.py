@@ -608,3 +608,31 @@ def streak_breadth(members: DataFrame, weights: DataFrame, most: int = 10, other
     days = days.withColumns({f"{c}_lag1": F.lag(c).over(W.ordered()) for c in watched} | {f"{c}_change": diff(c) for c in watched} | {"step": diff("net_green_3d")})
     days = days.withColumn("breadth_divergence", total("day_return", 3) * total("step", 3))
     return days.drop("symbol", "day_return", "step")
+
+
+WAVELET = [f"wav_{c}" for c in "trend_5d trend_3d detail_1d detail_2d energy_ratio trend_momentum noise_level denoised_return regime cross_scale".split()]
+
+
+def wavelets(rows: DataFrame) -> DataFrame:
+    """A causal Haar-like decomposition: trends over five and three days, details, and how their energies compare.
+
+    Symbols of fewer than 21 days are all 0.
+    """
+    close = col("close")
+    away = lambda n: (close - mean("close", n, 1)) / (F.abs(close) + 1e-10)
+    rows = rows.withColumns({"wav_trend_5d": away(5), "wav_trend_3d": away(3), "wav_detail_1d": change("close"), "wav_detail_2d": change("close", 2)})
+    rows = W.exponential(rows, "wav_detail_1d", {"wav_denoised_return": 10})
+    detail, trend = F.col("wav_detail_1d"), F.col("wav_trend_5d")
+    both = F.count(F.when(trend.isNotNull(), detail)).over(W.trailing(20)) >= 5
+    rows = rows.withColumns(
+        {
+            "wav_energy_ratio": std("wav_detail_1d", 10, 3) / (std("wav_trend_5d", 10, 3) + 1e-10),
+            "wav_trend_momentum": diff("wav_trend_5d", 20) / 20,
+            "wav_noise_level": std("wav_detail_1d", 20, 5),
+            "wav_cross_scale": F.when(both, W.correlation(detail, trend, W.trailing(20))),
+            "days": F.count(F.lit(1)).over(Window.partitionBy("symbol")),
+        }
+    )
+    rows = rows.withColumn("wav_regime", F.when(col("wav_energy_ratio") > 1.5, 1.0).when(col("wav_energy_ratio") < 0.7, -1.0).otherwise(0.0))
+    bounded = {c: F.when(col("days") >= 21, W.clip(col(c), *((0.0, 20.0) if c == "wav_energy_ratio" else (-10.0, 10.0)))) for c in WAVELET}
+    return _done(rows.withColumns(bounded), WAVELET)

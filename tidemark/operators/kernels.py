@@ -437,3 +437,142 @@ def changepoints(rows: DataFrame, hazard: float = 1 / 250, jump: float = 0.5, se
         return dict(zip(CHANGEPOINT, (length, probability, regime), strict=True))
 
     return by_symbol(rows, ["close"], CHANGEPOINT, kernel)
+
+
+HMM = [f"hmm_{c}" for c in ("state", "bull_prob", "bear_prob", "transition_prob", "regime_duration")]
+
+
+def quantile_states(rows: DataFrame, window: int = 120, recent: int = 20, low: float = 0.33, high: float = 0.67) -> DataFrame:
+    """Bear (0), neutral (1) or bull (2) by where the mean of the ``recent`` returns lies among the quantiles of ``window``.
+
+    All windows end the day before. Probabilities are inverse distances to the means of the three parts of the window. The
+    first ``window`` days are neutral with probabilities 0.33.
+    """
+
+    def kernel(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        close = x["close"]
+        n = len(close)
+        state, bull, bear = np.ones(n), np.full(n, 0.33), np.full(n, 0.33)
+        change, duration = np.zeros(n), np.ones(n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            moves = _finite(np.concatenate([[0.0], close[1:] / close[:-1] - 1])) if n else close
+        if n > window:
+            past = sliding_window_view(moves, window)[:-1]
+            now = past[:, -recent:].mean(axis=1)
+            least, most = np.percentile(past, [100 * low, 100 * high], axis=1)
+            state[window:] = 1.0 + (now > most) - (now < least)
+            below, above = past <= least[:, None], past > most[:, None]
+            parts = (below, ~below & ~above, above)
+            usual = (least, (least + most) / 2, most)
+            counts = [part.sum(axis=1) for part in parts]
+            centres = [np.where(k > 0, np.where(part, past, 0.0).sum(axis=1) / np.maximum(k, 1), u) for part, k, u in zip(parts, counts, usual, strict=True)]
+            near = np.array([1 / np.maximum(np.abs(now - c), 1e-10) for c in centres])
+            bear[window:], bull[window:] = near[0] / near.sum(axis=0), near[2] / near.sum(axis=0)
+            moved = np.diff(state[window:], prepend=state[window]) != 0
+            change[window:] = moved
+            at = np.arange(len(moved))
+            begun = np.maximum.accumulate(np.where(moved, at, 0))
+            duration[window:] = at - begun + 1
+        return dict(zip(HMM, (state, bull, bear, change, duration), strict=True))
+
+    return by_symbol(rows, ["close"], HMM, kernel)
+
+
+# Tails
+
+
+COPULA = [f"copula_{c}" for c in ("upper_tail", "lower_tail", "tail_asymmetry", "tail_z")]
+
+
+def tails_of(a: np.ndarray, b: np.ndarray, share: float = 0.10) -> tuple[float, float]:
+    """How often both series are among their highest, and lowest, ``share`` of ranks, relative to that share, within 0 to 1; equal values rank by place."""
+    n = len(a)
+    rank = lambda v: (np.argsort(np.argsort(v, kind="stable"), kind="stable") + 1) / (n + 1)
+    x, y = rank(a), rank(b)
+    upper, lower = ((x > 1 - share) & (y > 1 - share)).sum(), ((x < share) & (y < share)).sum()
+    return min(1.0, upper / (n * share)), min(1.0, lower / (n * share))
+
+
+def tail_dependence(rows: DataFrame, benchmark: str | None = None, window: int = 60, share: float = 0.10) -> DataFrame:
+    """Empirical tail dependence of the returns on ``benchmark``, or on themselves a day before, over ``window`` days."""
+
+    def kernel(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        ret = x["ret"]
+        other = x[benchmark] if benchmark else np.concatenate([[np.nan], ret[:-1]])
+        upper, lower = np.full(len(ret), np.nan), np.full(len(ret), np.nan)
+        known = ~(np.isnan(ret) | np.isnan(other))
+        for end in range(window, len(ret) + 1):
+            inside = slice(end - window, end)
+            both = known[inside]
+            if both.sum() >= max(10, window // 4):
+                upper[end - 1], lower[end - 1] = tails_of(ret[inside][both], other[inside][both], share)
+        usual = _rolled(lower, window, window // 2)
+        z = (lower - usual.mean()) / (usual.std() + 1e-10)
+        return dict(zip(COPULA, (upper, lower, upper - lower, z), strict=True))
+
+    return by_symbol(rows, ["ret", *([benchmark] if benchmark else [])], COPULA, kernel)
+
+
+# Multifractals
+
+
+MFDFA = ["mfdfa_alpha", "mfdfa_width", "mfdfa_asymmetry", "mfdfa_z"]
+MFDFA_SCALES = (8, 16, 32)
+
+
+def detrended_exponents(windows: np.ndarray, q: tuple[float, ...] = (2.0, 0.0, -2.0), scales: tuple[int, ...] = MFDFA_SCALES) -> np.ndarray:
+    """Scaling exponents of a stack of equally long windows for each moment ``q``, within 0 to 1.5; 0.5 where undefined.
+
+    The accumulated deviations are cut into segments of each scale, a line is taken out of each, and the exponent
+    is the slope of the logarithm of the q-mean of what is left against that of the scale.
+    """
+    count, n = windows.shape
+    out = np.full((len(q), count), 0.5)
+    if n < 2 * max(scales):
+        return out
+    profile = np.cumsum(windows - windows.mean(axis=1, keepdims=True), axis=1)
+    logs = np.full((len(q), count, len(scales)), np.nan)
+    for i, size in enumerate(scales):
+        parts = profile[:, : n // size * size].reshape(count, n // size, size)
+        line, _ = np.linalg.qr(np.column_stack([np.ones(size), np.arange(size)]))
+        left = parts - (parts @ line) @ line.T
+        rough = np.sqrt((left * left).mean(axis=2))
+        rough = np.where(rough > 0, rough, np.nan)
+        some = ~np.isnan(rough).all(axis=1)
+        for j, power in enumerate(q):
+            if power == 0:
+                logs[j, some, i] = np.nanmean(np.log(rough[some]), axis=1)
+            else:
+                logs[j, some, i] = np.log(np.nanmean(rough[some] ** power, axis=1)) / power
+    x = np.log(np.array(scales, float))
+    for j in range(len(q)):
+        y = np.where(np.isfinite(logs[j]), logs[j], np.nan)
+        at = np.flatnonzero((~np.isnan(y)).sum(axis=1) >= 2)
+        used = np.where(np.isnan(y[at]), np.nan, x)
+        dx, dy = used - np.nanmean(used, axis=1, keepdims=True), y[at] - np.nanmean(y[at], axis=1, keepdims=True)
+        out[j, at] = np.clip(np.nansum(dx * dy, axis=1) / np.nansum(dx * dx, axis=1), 0.0, 1.5)
+    return out
+
+
+def multifractal(rows: DataFrame, window: int = 100, z_window: int = 60) -> DataFrame:
+    """Exponent, width and asymmetry of the multifractal spectrum of the last ``window`` log returns, and the width's z-score."""
+
+    def kernel(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(x["close"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            moves = np.log(np.concatenate([[np.nan], x["close"][1:] / x["close"][:-1]])) if n else x["close"]
+        moves[~np.isfinite(moves)] = np.nan
+        alpha, width, bend = np.full(n, 0.5), np.zeros(n), np.zeros(n)
+        if n >= window:
+            views = sliding_window_view(moves, window)
+            missing = np.isnan(views).sum(axis=1)
+            for m in np.unique(missing):
+                at = np.flatnonzero(missing == m)
+                if window - m >= 2 * max(MFDFA_SCALES):
+                    two, zero, minus = detrended_exponents(views[at][~np.isnan(views[at])].reshape(len(at), window - m))
+                    alpha[at + window - 1], width[at + window - 1], bend[at + window - 1] = two, np.abs(two - minus), minus - 2 * zero + two
+        usual = _rolled(width, z_window, max(10, z_window // 4))
+        z = ((width - usual.mean()) / (usual.std() + 1e-10)).clip(-4, 4)
+        return dict(zip(MFDFA, (alpha, width, bend.clip(-2, 2), z), strict=True))
+
+    return by_symbol(rows, ["close"], MFDFA, kernel)
