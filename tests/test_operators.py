@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars, cleaning, features, labels, monitoring, resample, risk, strategy, synthetic, targets
 from tidemark.operators import validation as V
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import amounts_below, exact_quantiles, ordinal_ranks
 
 
 def test_resolutions():
@@ -143,3 +143,30 @@ def test_timing_targets_of_a_day(spark):
     assert (short.entry_price, short.exit_price) == (10.0, 11.0) and abs(short.best_return + 0.1) < 1e-12 and abs(short.max_adverse - 0.1) < 1e-12
     empty = targets.timing_targets(rows.withColumns({n: F.lit(0.0) for n in ("open", "high", "low", "close")})).first()
     assert empty.best_return is None and empty.stop_pct is None and empty.open_to_close is None
+
+
+def test_ranks_and_amounts_by_ranges(spark):
+    import random
+
+    draw = random.Random(6)
+    rows = [(k, draw.choice([draw.random(), 0.5, None]), float(draw.randrange(9)), i) for k in "ab" for i in range(400)]
+    table = spark.createDataFrame(rows, "k string, x double, y double, t int").repartition(5)
+    found = ordinal_ranks(table.filter("x IS NOT NULL"), ["k"], ["t"], {"x": "rx", "y": "ry"}).collect()
+    for k in "ab":
+        mine = [r for r in rows if r[0] == k and r[1] is not None]
+        by_x, by_y = ({r[3]: i + 1 for i, r in enumerate(sorted(mine, key=lambda r: (r[c], r[3])))} for c in (1, 2))
+        got = [r for r in found if r.k == k]
+        assert len(got) == len(mine) and all((r.rx, r.ry) == (by_x[r.t], by_y[r.t]) for r in got)
+    counts = table.filter("x IS NOT NULL").groupBy("k", "x").agg(F.count("*").alias("n"))
+    for r in amounts_below(counts, ["k"], "x", "n", "below").collect():
+        assert r.below == sum(1 for o in rows if o[0] == r.k and o[1] is not None and o[1] < r.x)
+
+
+def test_bootstrap_over_spans(spark, monkeypatch):
+    trades = spark.createDataFrame([("a", i // 7, i, ((i * 37) % 11 - 5) / 50) for i in range(50)], "symbol string, day int, n int, ret double")
+    whole = V.bootstrap(trades, ["symbol"], ["day", "n"], simulations=40).first()
+    monkeypatch.setattr(V, "SPAN", 7)
+    spans = V.bootstrap(trades.repartition(4), ["symbol"], ["day", "n"], simulations=40).first()
+    assert all(abs(a - b) < 1e-9 * abs(a) + 1e-12 for a, b in zip(whole[1:], spans[1:], strict=True))
+    lost = V.bootstrap(spark.createDataFrame([("a", 1, 1, -1.0), ("a", 1, 2, -2.0)], trades.schema), ["symbol"], ["day", "n"], simulations=5).first()
+    assert lost.mean_equity == 0 and lost.median_max_dd == 1

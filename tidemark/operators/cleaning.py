@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
+from tidemark.operators.quantiles import exact_quantiles
 
 PRICES = ("open", "high", "low", "close")
 
@@ -151,23 +152,21 @@ def limit_outliers(rows: DataFrame, value: str, method: str, keys: list[str], k:
     """
     x = F.col(value)
     if method == "mad":
-        middle = rows.groupBy(*keys).agg(F.median(value).alias("_m"))
-        spread = rows.join(middle, keys).groupBy(*keys, "_m").agg((F.median(F.abs(x - F.col("_m"))) * 1.4826).alias("_s"))
+        middle = exact_quantiles(rows, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias("_m"))
+        away = rows.join(middle, keys).withColumn("_away", F.abs(x - F.col("_m")))
+        spread = exact_quantiles(away, keys, "_away", [0.5], "_q").join(middle, keys).withColumn("_s", F.col("_q")[0] * 1.4826)
         bounds = spread.select(*keys, (F.col("_m") - k * F.col("_s")).alias("_low"), (F.col("_m") + k * F.col("_s")).alias("_high"))
+    elif method in ("winsorize", "iqr"):
+        share = k / 100 if method == "winsorize" else 0.25
+        found = exact_quantiles(rows, keys, value, [share, 1 - share], "_q").select(*keys, F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
+        reach = F.when(F.col("_b") == F.col("_a"), 1.0).otherwise(F.col("_b") - F.col("_a")) * (0 if method == "winsorize" else k)
+        bounds = found.select(*keys, (F.col("_a") - reach).alias("_low"), (F.col("_b") + reach).alias("_high"))
     else:
-        q = lambda p: F.percentile(value, p)
         spread = F.stddev_pop(value)
         spread = F.when(spread == 0, 1.0).otherwise(spread)
-        reach = q(0.75) - q(0.25)
-        reach = F.when(reach == 0, 1.0).otherwise(reach)
-        low, high = {
-            "winsorize": (q(k / 100), q(1 - k / 100)),
-            "clip": (F.mean(value) - k * spread, F.mean(value) + k * spread),
-            "zscore": (F.mean(value) - k * spread, F.mean(value) + k * spread),
-            "iqr": (q(0.25) - k * reach, q(0.75) + k * reach),
-        }[method]
+        low, high = {"clip": (F.mean(value) - k * spread, F.mean(value) + k * spread), "zscore": (F.mean(value) - k * spread, F.mean(value) + k * spread)}[method]
         bounds = rows.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"))
-    joined = rows.join(bounds, keys)
+    joined = rows.join(bounds, keys, "left")
     if method == "zscore":
         return joined.filter(x.between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
     return joined.withColumn(value, F.when(x.isNotNull(), F.least(F.greatest(x, "_low"), "_high"))).drop("_low", "_high")
@@ -182,10 +181,14 @@ def scale(rows: DataFrame, value: str, method: str, keys: list[str]) -> DataFram
         return rows.withColumn("scaled", x)
     if method == "rank":
         return rows.withColumn("scaled", F.when(x.isNotNull(), F.percent_rank().over(Window.partitionBy(*keys, x.isNull()).orderBy(value))))
+    if method == "robust":
+        q = exact_quantiles(rows, keys, value, [0.25, 0.5, 0.75], "_q")
+        reach = F.col("_q")[2] - F.col("_q")[0]
+        bounds = q.select(*keys, F.col("_q")[1].alias("_centre"), F.when(reach == 0, 1.0).otherwise(reach).alias("_spread"))
+        return rows.join(bounds, keys, "left").withColumn("scaled", (x - F.col("_centre")) / F.col("_spread")).drop("_centre", "_spread")
     centre, spread = {
         "standard": (F.mean(value), F.stddev_pop(value)),
         "minmax": (F.min(value), F.max(value) - F.min(value)),
-        "robust": (F.median(value), F.percentile(value, 0.75) - F.percentile(value, 0.25)),
         "maxabs": (F.lit(0.0), F.max(F.abs(x))),
     }[method]
     bounds = rows.groupBy(*keys).agg(centre.alias("_centre"), F.when(spread == 0, 1.0).otherwise(spread).alias("_spread"))

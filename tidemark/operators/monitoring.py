@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import amounts_below, exact_quantiles
 
 
 def performance(returns: DataFrame, risk_free: float = 0.04, days: int = 252) -> DataFrame:
@@ -31,11 +31,10 @@ def performance(returns: DataFrame, risk_free: float = 0.04, days: int = 252) ->
 def auc(scored: DataFrame, score: str, label: str, keys: tuple = ("symbol",)) -> DataFrame:
     """Area under the ROC curve by ``keys``; ties count half.
 
-    Rows are counted by distinct score first; only those counts are ordered.
+    Rows are counted by distinct score first; only those counts are ordered, by ranges of scores.
     """
-    by = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     counts = scored.groupBy(*keys, score).agg(F.sum(label).alias("_pos"), F.sum(1 - F.col(label)).alias("_neg"))
-    below = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(by), F.lit(0)))
+    below = amounts_below(counts, list(keys), score, "_neg", "_below")
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     return below.groupBy(*keys).agg(F.try_divide(wins, (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"), F.sum("_pos").alias("n_pos"))
 

@@ -1,8 +1,8 @@
-"""Exact quantiles of large groups without holding a group in one task."""
+"""Exact quantiles and ranks of large groups without holding a group in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets a group is cut into at approximate quantiles; they only tell where to look.
@@ -35,3 +35,44 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     found = where.join(looked, [*keys, "_b"]).filter("rank >= _start + _before AND rank < _start + _before + _c")
     each = found.groupBy(*keys, "_i").agg(F.sum(F.col("_v") * F.col("weight")).alias("_q"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x.getField("_q")).alias(out))
+
+
+def _ranges(value: str) -> Column:
+    return F.percentile_approx(value, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), 1000)
+
+
+def _range_of(value: str, cuts: str) -> Column:
+    return F.size(F.filter(cuts, lambda e: e < F.col(value)))
+
+
+def amounts_below(counts: DataFrame, keys: list[str], value: str, amount: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` over the rows of a key with a smaller ``value``. Each key has one row for each value.
+
+    A key's values are cut into ranges, so only a range's rows are put in order together.
+    """
+    cuts = counts.groupBy(*keys).agg(_ranges(value).alias("_cuts"))
+    placed = counts.join(cuts, keys).withColumn("_range", _range_of(value, "_cuts")).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*keys, "_range").agg(F.sum(amount).alias("_in")).withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return own.join(starts, [*keys, "_range"]).withColumn(out, F.col(out) + F.col("_start")).drop("_range", "_start")
+
+
+def ordinal_ranks(rows: DataFrame, keys: list[str], ties: list[str], ranks: dict[str, str]) -> DataFrame:
+    """Adds, for each value column of ``ranks``, its rank (from 1, equal values in the order of ``ties``) under the name given there.
+
+    The ranges of all value columns come from one pass. A row's rank is its place within its range after the ranges' counts; the full
+    table is joined with nothing but those, a few rows for each key.
+    """
+    cuts = rows.groupBy(*keys).agg(*[_ranges(value).alias(f"_cuts_{i}") for i, value in enumerate(ranks)])
+    placed = rows.join(cuts, keys).withColumns({f"_range_{i}": _range_of(value, f"_cuts_{i}") for i, value in enumerate(ranks)})
+    placed = placed.drop(*[f"_cuts_{i}" for i in range(len(ranks))])
+    out = placed
+    for i, (value, name) in enumerate(ranks.items()):
+        before = Window.partitionBy(*keys).orderBy(f"_range_{i}").rowsBetween(Window.unboundedPreceding, -1)
+        counts = placed.groupBy(*keys, f"_range_{i}").agg(F.count(F.lit(1)).alias("_in"))
+        starts = counts.withColumn(f"_start_{i}", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+        place = F.row_number().over(Window.partitionBy(*keys, f"_range_{i}").orderBy(value, *ties))
+        out = out.withColumn(name, place).join(starts, [*keys, f"_range_{i}"]).withColumn(name, F.col(name) + F.col(f"_start_{i}")).drop(f"_range_{i}", f"_start_{i}")
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles, ordinal_ranks
 
 
 def overfitting(splits: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,16 +89,10 @@ def composite_score(trades: DataFrame, folds: DataFrame, models: DataFrame) -> D
 def ordinal_rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str], ties: list[str]) -> DataFrame:
     """Spearman's correlation from ordinal ranks (ties by ``ties``): ``keys, n, r``; 0 for fewer than three rows.
 
-    A rank is the count of rows with smaller values, from counts by value, plus the place among
-    the equal ones, so only rows of one value are ordered together.
+    Ranks come from ranges of values, so no task orders all rows of a key.
     """
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for name in (x, y):
-        before = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        counts = rows.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
-        starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        place = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*ties))
-        rows = rows.withColumn("_place", place).join(starts, [*keys, name]).withColumn(f"_rank_{name}", F.col("_before") + F.col("_place")).drop("_place", "_before")
+    rows = ordinal_ranks(rows, keys, ties, {x: f"_rank_{x}", y: f"_rank_{y}"})
     found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("r"))
     return found.withColumn("r", F.when((F.col("n") >= 3) & ~F.isnan("r"), F.coalesce("r", F.lit(0.0))).otherwise(0.0))
 
@@ -192,24 +186,45 @@ def regime_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Drawn trades that one step of the bootstrap puts in order.
+SPAN = 4096
+
+
+def _numbered(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Trades with their number ``_i`` (from 1) in each key: by counts of the first column of ``order``, then by place within it."""
+    group = [*keys, order[0]]
+    before = Window.partitionBy(*keys).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = trades.groupBy(*group).agg(F.count(F.lit(1)).alias("_in")).withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*(order[1:] or [order[0]])))
+    return trades.withColumn("_i", place).join(starts, group).withColumn("_i", F.col("_i") + F.col("_start")).drop("_start")
+
+
 def bootstrap(trades: DataFrame, keys: list[str], order: list[str], simulations: int = 200, capital: float = 100_000.0, seed: int = 7) -> DataFrame:
     """Percentiles of the final equity and worst drawdown of resampled trade sequences.
 
     Place ``i`` of simulation ``s`` takes the trade whose number is a hash of both, so reruns agree.
-    Simulations are dealt over tasks; each folds its own sequence of returns.
+    Each simulation's places are cut into spans of ``SPAN``; a drawn place is joined with its trade by number, a span is
+    summed up by its total, highest and deepest point of the running logarithms, and the few spans of a simulation are put together. No task
+    holds a key's trades. A trade that loses everything ends its sequence at 0.
     """
-    numbered = trades.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    paths = numbered.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "ret"))), lambda x: x.getField("ret")).alias("rets"))
-    dealt = paths.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).repartition(*keys, "sim")
-    pick = lambda i: F.element_at("rets", (F.pmod(F.xxhash64(F.lit(seed), F.col("sim"), i), F.size("rets")) + 1).cast("int"))
-    start = F.struct(F.lit(capital).alias("equity"), F.lit(capital).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(state: Column, i: Column) -> Column:
-        equity = state.getField("equity") * (1 + pick(i))
-        peak = F.greatest(state.getField("peak"), equity)
-        return F.struct(equity.alias("equity"), peak.alias("peak"), F.greatest(state.getField("worst"), (peak - equity) / peak).alias("worst"))
-
-    ended = dealt.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.size("rets")), start, step)).select(*keys, "end.*")
+    numbered = _numbered(trades, keys, order)
+    sizes = numbered.groupBy(*keys).agg(F.max("_i").alias("_n"))
+    spans = F.floor((F.col("_n") + SPAN - 1) / SPAN)
+    dealt = sizes.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).withColumn("_span", F.explode(F.sequence(F.lit(0).cast("long"), spans - 1)))
+    first = F.col("_span") * SPAN + 1
+    places = dealt.repartition(*keys, "sim", "_span").withColumn("_at", F.explode(F.sequence(first, F.least(first + SPAN - 1, F.col("_n")))))
+    drawn = places.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), F.col("sim"), F.col("_at").cast("int")), F.col("_n")) + 1)
+    found = drawn.join(numbered.select(*keys, "_i", F.greatest(F.coalesce("ret", F.lit(0.0)), F.lit(-1.0)).alias("ret")), [*keys, "_i"])
+    # The logarithm of losing everything is taken as one that no gain undoes.
+    step = F.when(F.col("ret") <= -1, -1e6).otherwise(F.log1p("ret"))
+    inside = Window.partitionBy(*keys, "sim", "_span").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    path = found.withColumn("_path", F.sum(step).over(inside)).withColumn("_fall", F.col("_path") - F.greatest(F.max("_path").over(inside), F.lit(0.0)))
+    spanned = path.groupBy(*keys, "sim", "_span").agg(F.max_by("_path", "_at").alias("_total"), F.max("_path").alias("_high"), F.min("_path").alias("_low"), F.min("_fall").alias("_fall"))
+    earlier = Window.partitionBy(*keys, "sim").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    begun = spanned.withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    begun = begun.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_start") + F.col("_high")).over(earlier), F.lit(0.0)), F.lit(0.0)))
+    worst = F.least(F.col("_fall"), F.col("_start") + F.col("_low") - F.col("_peak"))
+    ended = begun.groupBy(*keys, "sim").agg((F.exp(F.sum("_total")) * capital).alias("equity"), (1 - F.exp(F.min(worst))).alias("worst"))
     q = lambda c, p: F.percentile(c, p)
     return ended.groupBy(*keys).agg(
         q("equity", 0.5).alias("median_equity"),
