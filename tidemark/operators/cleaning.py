@@ -146,30 +146,45 @@ def impute(rows: DataFrame, value: str, method: str, keys: list[str], at: str, n
     return rows.withColumn(value, F.coalesce(found, F.lit(0.0)))
 
 
-def limit_outliers(rows: DataFrame, value: str, method: str, keys: list[str], k: float) -> DataFrame:
-    """Clips ``value`` within bounds of its key: ``winsorize`` (percent ``k``), ``clip`` (``k`` population deviations),
-    ``iqr`` (``k`` quartile ranges), ``zscore`` (drops rows beyond ``k`` deviations) or ``mad`` (``k`` scaled median deviations).
-    """
+def _outlier_bounds(rows: DataFrame, value: str, method: str, keys: list[str], k: float) -> DataFrame:
     x = F.col(value)
     if method == "mad":
         middle = exact_quantiles(rows, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias("_m"))
-        away = rows.join(middle, keys).withColumn("_away", F.abs(x - F.col("_m")))
-        spread = exact_quantiles(away, keys, "_away", [0.5], "_q").join(middle, keys).withColumn("_s", F.col("_q")[0] * 1.4826)
-        bounds = spread.select(*keys, (F.col("_m") - k * F.col("_s")).alias("_low"), (F.col("_m") + k * F.col("_s")).alias("_high"))
-    elif method in ("winsorize", "iqr"):
+        away = rows.join(middle, keys).select(*keys, "_m", F.abs(x - F.col("_m")).alias("_away"))
+        # The median belongs to its key, so it rides along as one.
+        spread = exact_quantiles(away, [*keys, "_m"], "_away", [0.5], "_q").withColumn("_s", F.col("_q")[0] * 1.4826)
+        return spread.select(*keys, (F.col("_m") - k * F.col("_s")).alias("_low"), (F.col("_m") + k * F.col("_s")).alias("_high"))
+    if method in ("winsorize", "iqr"):
         share = k / 100 if method == "winsorize" else 0.25
         found = exact_quantiles(rows, keys, value, [share, 1 - share], "_q").select(*keys, F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
         reach = F.when(F.col("_b") == F.col("_a"), 1.0).otherwise(F.col("_b") - F.col("_a")) * (0 if method == "winsorize" else k)
-        bounds = found.select(*keys, (F.col("_a") - reach).alias("_low"), (F.col("_b") + reach).alias("_high"))
-    else:
-        spread = F.stddev_pop(value)
-        spread = F.when(spread == 0, 1.0).otherwise(spread)
-        low, high = {"clip": (F.mean(value) - k * spread, F.mean(value) + k * spread), "zscore": (F.mean(value) - k * spread, F.mean(value) + k * spread)}[method]
-        bounds = rows.groupBy(*keys).agg(low.alias("_low"), high.alias("_high"))
-    joined = rows.join(bounds, keys, "left")
-    if method == "zscore":
-        return joined.filter(x.between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
-    return joined.withColumn(value, F.when(x.isNotNull(), F.least(F.greatest(x, "_low"), "_high"))).drop("_low", "_high")
+        return found.select(*keys, (F.col("_a") - reach).alias("_low"), (F.col("_b") + reach).alias("_high"))
+    if method not in ("clip", "zscore"):
+        raise ValueError(f"unknown method {method!r}")
+    spread = F.stddev_pop(value)
+    spread = F.when(spread == 0, 1.0).otherwise(spread)
+    return rows.groupBy(*keys).agg((F.mean(value) - k * spread).alias("_low"), (F.mean(value) + k * spread).alias("_high"))
+
+
+def limit_outliers(rows: DataFrame, value: str, method: str, keys: list[str], k: float) -> DataFrame:
+    """Clips ``value`` within bounds of its key: ``winsorize`` (percent ``k``), ``clip`` (``k`` population deviations),
+    ``iqr`` (``k`` quartile ranges), ``zscore`` (drops rows beyond ``k`` deviations) or ``mad`` (``k`` scaled median deviations).
+    """
+    return limit_all_outliers(rows, {value: (method, k)}, keys)
+
+
+def limit_all_outliers(rows: DataFrame, limits: dict[str, tuple[str, float]], keys: list[str]) -> DataFrame:
+    """Limits each column of ``limits`` by its method and ``k``, all bounds taken from the rows as they came."""
+    out = rows
+    for value, (method, k) in limits.items():
+        x = F.col(value)
+        joined = out.join(_outlier_bounds(rows, value, method, keys, k), keys, "left")
+        if method == "zscore":
+            joined = joined.filter(x.between(F.col("_low"), F.col("_high")))
+        else:
+            joined = joined.withColumn(value, F.when(x.isNotNull(), F.least(F.greatest(x, "_low"), "_high")))
+        out = joined.drop("_low", "_high")
+    return out
 
 
 def scale(rows: DataFrame, value: str, method: str, keys: list[str]) -> DataFrame:

@@ -19,20 +19,23 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     cuts = [F.lit(i / BUCKETS) for i in range(1, BUCKETS)]
     valid = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     counted = valid.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cut = counted.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*cuts), 1000).alias("_cuts"), F.sum("_c").alias("_n"))
-    placed = counted.join(cut.drop("_n"), keys).withColumn("_b", F.size(F.filter("_cuts", lambda e: e < F.col("_v")))).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in")).withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    cut = counted.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*cuts), 1000).alias("_cuts"))
+    placed = counted.join(cut, keys).withColumn("_b", F.size(F.filter("_cuts", lambda e: e < F.col("_v")))).drop("_cuts")
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"))
+    totals = totals.withColumns({"_start": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_n": F.sum("_in").over(group)})
     asked = F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("_i", "_share")
     spot = F.col("_share") * (F.col("_n") - 1)
     ends = F.array(
         F.struct(F.floor(spot).alias("rank"), (1 - (spot - F.floor(spot))).alias("weight")), F.struct(F.ceil(spot).alias("rank"), (spot - F.floor(spot)).alias("weight"))
     )
-    wanted = cut.select(*keys, "_n", asked).select(*keys, "_i", F.explode(ends).alias("_end")).select(*keys, "_i", "_end.*").filter("weight > 0")
-    where = wanted.join(totals, keys).filter("rank >= _start AND rank < _start + _in").select(*keys, "_b", "_start", "_i", "rank", "weight")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    looked = placed.join(where.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    found = where.join(looked, [*keys, "_b"]).filter("rank >= _start + _before AND rank < _start + _before + _c")
+    own = [*keys, "_b", "_start", "_in"]
+    wanted = totals.select(*own, "_n", asked).select(*own, "_i", F.explode(ends).alias("_end")).select(*own, "_i", "_end.*")
+    where = wanted.filter("weight > 0 AND rank >= _start AND rank < _start + _in").drop("_in")
+    inside = Window.partitionBy(*keys, "_b", "_i", "rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    looked = placed.join(where, [*keys, "_b"]).withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    found = looked.filter("rank >= _start + _before AND rank < _start + _before + _c")
     each = found.groupBy(*keys, "_i").agg(F.sum(F.col("_v") * F.col("weight")).alias("_q"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x.getField("_q")).alias(out))
 

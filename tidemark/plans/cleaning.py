@@ -137,7 +137,7 @@ FROM x JOIN m USING (symbol) JOIN d USING (symbol) WHERE x BETWEEN mean - 3 * s
 def outliers_limited(spark, sf_dir):
     limits = {"winsorize": 5, "clip": 2, "iqr": 1.5, "mad": 3, "zscore": 3}
     rows = returns(spark, sf_dir).filter("ret IS NOT NULL").select("symbol", "date", *[F.col("ret").alias(m) for m in limits])
-    found = reduce(lambda df, m: C.limit_outliers(df, m, m, ["symbol"], limits[m]), limits, rows).drop("zscore")
+    found = C.limit_all_outliers(rows, {m: (m, k) for m, k in limits.items()}, ["symbol"]).drop("zscore")
     return rounded(found, 6, *found.columns[2:])
 
 
