@@ -1,5 +1,5 @@
 """Registered queries; importing the package fills the catalog."""
 
-from tidemark.plans import bear, catalog, cleaning, families, features, frames, kernels, research, sizing, stores, universes, validation
+from tidemark.plans import bear, catalog, cleaning, families, features, frames, kernels, research, sizing, stores, universes, validation, words
 
-__all__ = ["bear", "catalog", "cleaning", "families", "features", "frames", "kernels", "research", "sizing", "stores", "universes", "validation"]
+__all__ = ["bear", "catalog", "cleaning", "families", "features", "frames", "kernels", "research", "sizing", "stores", "universes", "validation", "words"]
