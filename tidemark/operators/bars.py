@@ -21,6 +21,19 @@ def session(ts: str, with_closed: bool = False):
     return F.when((minute < PREMARKET) | (minute >= CLOSED), "closed").otherwise(tag) if with_closed else tag
 
 
+def local_parts(rows: DataFrame, ts: str, zone: str, source: str = "UTC") -> DataFrame:
+    """Adds ``local_ts`` (without a zone) and its ``date, time, hour, minute`` in ``zone``, daylight saving included.
+
+    A timestamp without a zone is read as one of ``source``, one with a zone is an instant. Nulls stay null.
+    """
+    instant = dict(rows.dtypes)[ts] == "timestamp"
+    local = F.convert_timezone(None if instant else F.lit(source), F.lit(zone), F.col(ts).cast("timestamp_ntz"))
+    found = rows.withColumn("local_ts", local)
+    return found.withColumns(
+        {"date": F.to_date("local_ts"), "time": F.date_format("local_ts", "HH:mm:ss"), "hour": F.hour("local_ts"), "minute": F.minute("local_ts")}
+    )
+
+
 def time_bars(ticks: DataFrame, minutes: int) -> DataFrame:
     """OHLCV bars with trade count and volume-weighted price, aligned to multiples of ``minutes``.
 

@@ -30,6 +30,35 @@ def window_distance(spark, sf_dir):
     return rounded(risk.window_distance(returns(spark, sf_dir)), 6, "distance").select("symbol", "date", "distance")
 
 
+def _regime_sql() -> str:
+    """Every distance as the area between two distribution functions."""
+    by = "PARTITION BY symbol ORDER BY date"
+    parts, found = [], []
+    for n in (20, 60):
+        frames = {"a": f"({by} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)", "b": f"({by} ROWS BETWEEN {2 * n} PRECEDING AND {n + 1} PRECEDING)"}
+        parts += [f"list(ret) FILTER (ret IS NOT NULL) OVER {w} AS {c}{n}, avg(ret) OVER {w} AS m{c}{n}, stddev_samp(ret) OVER {w} AS s{c}{n}" for c, w in frames.items()]
+        share = lambda c, n=n: f"len(list_filter({c}{n}, lambda x: x <= z)) / len({c}{n})"
+        points = f"list_sort(list_concat(a{n}, b{n}))"
+        area = f"list_sum(list_transform({points}, lambda z, i: coalesce(abs({share('a')} - {share('b')}) * ({points}[i + 1] - z), 0)))"
+        found.append(f"CASE WHEN n > {2 * n} AND len(a{n}) >= 2 AND len(b{n}) >= 2 THEN {area} END AS d{n}")
+    return f"""
+WITH {RETURNS}, parts AS (SELECT symbol, date, row_number() OVER ({by}) AS n, {", ".join(parts)} FROM returns),
+found AS (SELECT symbol, date, n, {", ".join(found)}, CASE WHEN n > 40 THEN ma20 - mb20 END AS mean_shift, CASE WHEN n > 40 THEN sa20 - sb20 END AS vol_shift FROM parts),
+scored AS (
+  SELECT *, CASE WHEN d20 IS NOT NULL AND count(d20) OVER w >= 10 THEN CASE WHEN stddev_samp(d20) OVER w < 1e-12 THEN 0 ELSE (d20 - avg(d20) OVER w) / stddev_samp(d20) OVER w END END AS z
+  FROM found WINDOW w AS ({by} ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))
+SELECT symbol, date, round(d20, 6) AS wreg_distance_20d, round(d60, 6) AS wreg_distance_60d, round(z, 6) + 0.0 AS wreg_distance_z, CAST(z > 2 AS DOUBLE) AS wreg_regime_change,
+       CASE WHEN z IS NOT NULL THEN CAST(n - max(CASE WHEN z > 2 THEN n END) OVER ({by} ROWS UNBOUNDED PRECEDING) AS DOUBLE) END AS wreg_regime_duration,
+       round(1 / (1 + d20), 6) AS wreg_stability, round(mean_shift, 6) + 0.0 AS wreg_mean_shift, round(vol_shift, 6) + 0.0 AS wreg_vol_shift
+FROM scored"""
+
+
+@query(_regime_sql())
+def wasserstein_regime_features(spark, sf_dir):
+    found = rounded(risk.wasserstein_regime(returns(spark, sf_dir)), 6, *risk.WASSERSTEIN)
+    return found.withColumns({c: F.col(c) + F.lit(0.0) for c in risk.WASSERSTEIN})
+
+
 @query(f"""
 WITH {DAILY}, parts AS (SELECT *, pow(ln(high / low), 2) AS span, pow(ln(close / open), 2) AS body FROM daily),
 rolled AS (
@@ -101,3 +130,11 @@ def reconciliation(spark, sf_dir):
     ours = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("symbol")).agg(F.count(F.lit(1)).alias("qty"))
     theirs = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("symbol")).agg((F.count(F.lit(1)) * 15).alias("qty"))
     return align.reconcile(ours, theirs)
+
+
+@query("""
+WITH local AS (SELECT event_id, (ts::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local_ts FROM events)
+SELECT event_id, local_ts, CAST(local_ts AS DATE) AS date, strftime(local_ts, '%H:%M:%S') AS time, hour(local_ts) AS hour, minute(local_ts) AS minute FROM local""")
+def local_times(spark, sf_dir):
+    found = bars.local_parts(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "America/New_York")
+    return found.drop("ts").withColumns({c: F.col(c).cast("long") for c in ("hour", "minute")})
