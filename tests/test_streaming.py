@@ -5,6 +5,7 @@ import os
 import tempfile
 from pathlib import Path
 
+import oracle
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars
 from tidemark.sources.market import ticks
 from tidemark.operators.validation import drift_against, drift_baseline
+from tidemark.plans import catalog, stores
 from tidemark.streaming import live, stateful
 
 
@@ -195,3 +197,20 @@ def test_drift_log_is_written_once_after_a_restart(spark):
     assert got[0, "x"][0] < 0.05 and got[0, "c"] == (0.0, False, "none") and got[1, "x"][1] and got[1, "c"][0] == float("inf") and got[1, "c"][2] == "significant"
     again = {r.feature: r.psi for r in drift_against(base, spark.createDataFrame(parts[1], schema)).collect()}
     assert again == {f: got[1, f][0] for f in "xc"}
+
+
+@pytest.mark.parametrize("name", ["streamed_fills", "streamed_bars", "streamed_circuit_breaker", "streamed_unique_ticks", "streamed_signals"])
+def test_streams_in_several_batches_match_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(stores, "ARRIVING", 400)
+    got = catalog.QUERIES[name](spark, SMALL).toPandas()
+    assert oracle.normal(got) == oracle.normal(oracle.by_sql(catalog.ORACLES[name], SMALL))
+
+
+def test_streamed_files_arrive_in_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(stores, "ARRIVING", 100)
+    rows = spark.range(1000).select(F.floor(F.col("id") * 7919 % 1000 / 4).alias("at"), F.when(F.col("id") > 5, "x").alias("name"))
+    stores._streamed(rows, f"{tmp_path}/in", F.col("at"))
+    files = sorted(Path(f"{tmp_path}/in").glob("part-*"), key=lambda file: file.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(file)).agg(F.min("at"), F.max("at"), F.count("*")).first() for file in files]
+    assert len(spans) == 10 and sum(n for _, _, n in spans) == 1000 and max(n for _, _, n in spans) < 150
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))

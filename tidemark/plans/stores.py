@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.validation import drift_baseline
@@ -79,10 +79,45 @@ def members_on_dates(spark, sf_dir):
     return files.members_at(spells, dates)
 
 
-def _streamed(rows: DataFrame, path: str) -> DataFrame:
-    """The rows as a stream of files that have arrived."""
-    rows.write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+#: Rows of one micro-batch of a streamed table, about.
+ARRIVING = 1_000_000
+#: Parts that a streamed table is cut into at most.
+MOST_PARTS = 1000
+
+
+def _cuts(rows: DataFrame, order: Column) -> list[int]:
+    """Values of ``order`` (a long) between parts of about ``ARRIVING`` rows, from one pass."""
+    shares = F.array(*[F.lit(i / MOST_PARTS) for i in range(1, MOST_PARTS)])
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order, shares, 10_000).alias("at")).first()
+    parts = min(MOST_PARTS, -(-found.n // ARRIVING))
+    return sorted({found.at[i * MOST_PARTS // parts - 1] for i in range(1, parts)}) if found.at else []
+
+
+def _micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def _streamed(rows: DataFrame, path: str, order: Column, cuts: list[int] | None = None) -> DataFrame:
+    """The rows as a stream of files that arrive in the order of ``order`` (a long), one in each micro-batch.
+
+    Files hold about ``ARRIVING`` rows, or what lies between ``cuts``; equal values share a file, so a watermark over them
+    finds no row late and lets go of state as it advances. A stream takes files by the times they were written at.
+    """
+    spark = rows.sparkSession
+    cuts = _cuts(rows, order) if cuts is None else cuts
+    if cuts:
+        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < order))
+        rows.withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(f"{path}-parts")
+        parts = spark.read.schema(f"{_ddl(rows)}, _part int").parquet(f"{path}-parts")
+        for number in range(len(cuts) + 1):
+            parts.filter(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    else:
+        rows.repartition(1).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema)
 
 
 def _finished(found: DataFrame, path: str) -> DataFrame:
@@ -93,9 +128,8 @@ def _finished(found: DataFrame, path: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
-    """Events in one file, so that a stream takes them in the order of the table."""
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), F.col("value").alias("price"))
-    return rows.select(*(columns or rows.columns)).coalesce(1)
+    return rows.select(*(columns or rows.columns))
 
 
 @query("""
@@ -106,7 +140,7 @@ SELECT * FROM bars WHERE bar + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events
 def streamed_bars(spark, sf_dir):
     """The bars that the watermark has closed at the end of the stream."""
     path = folder(spark, "streamed-bars")
-    found = _finished(live.stream_bars(_streamed(_events(spark, sf_dir), f"{path}/in"), 60, "1 hour"), path)
+    found = _finished(live.stream_bars(_streamed(_events(spark, sf_dir), f"{path}/in", _micros("ts")), 60, "1 hour"), path)
     return found.withColumn("bar", F.col("bar").cast("timestamp_ntz"))
 
 
@@ -114,7 +148,7 @@ def streamed_bars(spark, sf_dir):
 def streamed_unique_ticks(spark, sf_dir):
     path = folder(spark, "streamed-ticks")
     rows = _events(spark, sf_dir)
-    return _finished(live.unique_ticks(_streamed(rows.union(rows).coalesce(1), f"{path}/in"), "60 days"), path).select("event_id", "symbol", "price")
+    return _finished(live.unique_ticks(_streamed(rows.union(rows), f"{path}/in", _micros("ts")), "60 days"), path).select("event_id", "symbol", "price")
 
 
 @query("""
@@ -125,7 +159,7 @@ def streamed_corrections(spark, sf_dir):
     path = folder(spark, "streamed-corrections")
     bars = _events(spark, sf_dir).groupBy("symbol", F.date_trunc("minute", "ts").alias("ts")).agg(F.max("price").alias("close"))
     versions = bars.withColumn("arrived", F.lit(1)).union(bars.withColumn("close", F.col("close") + 1).withColumn("arrived", F.lit(2)))
-    found = _finished(live.corrected_bars(_streamed(versions.coalesce(1), f"{path}/in"), "1 day"), path)
+    found = _finished(live.corrected_bars(_streamed(versions, f"{path}/in", _micros("ts")), "1 day"), path)
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -143,7 +177,7 @@ def streamed_signals(spark, sf_dir):
     path = folder(spark, "streamed-signals")
     signal = F.when(F.col("price") > 50, "BUY").otherwise("SELL").alias("signal")
     rows = _events(spark, sf_dir, "symbol", signal, F.unix_micros("ts").alias("at_us"))
-    return _finished(live.fresh_signals(_streamed(rows, f"{path}/in"), 7200), path)
+    return _finished(live.fresh_signals(_streamed(rows, f"{path}/in", F.col("at_us")), 7200), path)
 
 
 @query("""
@@ -201,7 +235,7 @@ told AS (
 SELECT symbol, kind, day, coalesce(event_id, -1) AS event_id, direction, coalesce(size, -1) AS size, reason, round(daily, 10) AS daily_pnl, round((peak - equity) / peak, 10) AS drawdown, losses, tripped FROM told""")
 def streamed_circuit_breaker(spark, sf_dir):
     path = folder(spark, "streamed-breaker")
-    found = stateful.circuit_breaker(_streamed(account_events(spark, sf_dir), f"{path}/in"), drawdown=0.2)
+    found = stateful.circuit_breaker(_streamed(account_events(spark, sf_dir), f"{path}/in", _micros("ts")), drawdown=0.2)
     told = _in_state_store(spark, lambda: _finished(found, path))
     return rounded(told.fillna(-1, ["event_id", "size"]), 10, "daily_pnl", "drawdown")
 
@@ -222,8 +256,12 @@ def streamed_fills(spark, sf_dir):
     fills = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.min_by("l_extendedprice", F.struct("l_shipdate", "l_extendedprice")).alias("actual"), F.min("l_shipdate").alias("filled_at")
     )
-    twice = fills.union(fills)
-    found = stateful.met_expectations(_streamed(expected.coalesce(1), f"{path}/expected"), _streamed(twice.coalesce(1), f"{path}/fills"), "732 hours")
+    twice = fills.withColumn("_again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_again")
+    # Both streams are cut at the same times, so that neither holds the other's watermark back.
+    cuts = _cuts(expected, _micros("ordered_at"))
+    asked = _streamed(expected, f"{path}/expected", _micros("ordered_at"), cuts)
+    filled = _streamed(twice, f"{path}/fills", _micros("filled_at"), cuts)
+    found = stateful.met_expectations(asked, filled, "732 hours")
     out = _finished(found, path).fillna(False, ["favorable"])
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ordered_at", "filled_at")})
 
