@@ -170,3 +170,24 @@ def test_bootstrap_over_spans(spark, monkeypatch):
     assert all(abs(a - b) < 1e-9 * abs(a) + 1e-12 for a, b in zip(whole[1:], spans[1:], strict=True))
     lost = V.bootstrap(spark.createDataFrame([("a", 1, 1, -1.0), ("a", 1, 2, -2.0)], trades.schema), ["symbol"], ["day", "n"], simulations=5).first()
     assert lost.mean_equity == 0 and lost.median_max_dd == 1
+
+
+def test_edges_and_cuts_travel_to_the_rows(spark, capsys):
+    from tidemark.operators import calibration
+
+    key = (F.col("id") % 3).cast("string")
+    rows = spark.range(100).select(key.alias("symbol"), key.alias("feature"), (F.col("id") / 7).alias("value"), (F.col("id") % 2).alias("label"))
+    edges = spark.range(3).select(F.col("id").cast("string").alias("feature"), F.array(F.lit(0.0), F.lit(5.0), F.lit(15.0)).alias("edges"))
+    cuts = rows.groupBy("symbol").agg(F.percentile_approx("value", F.array(F.lit(0.5))).alias("_cuts"))
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("-1", "false")):
+            spark.conf.set(name, value)
+        for found in (V._binned(rows, edges), calibration._bucketed(rows, cuts, "symbol", "value")):
+            found.explain()
+            plan = capsys.readouterr().out
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)

@@ -113,11 +113,14 @@ def concept_drift(baseline: DataFrame, current: DataFrame, feature: str = "featu
 
 
 def _binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``feature``, the number of its rows in each bin, and its lowest and highest value; one aggregation by bin, then one by feature."""
+    """``feature``, the number of its rows in each bin, and its lowest and highest value; one aggregation by bin, then one by feature.
+
+    The edges, one row for each feature, travel to the rows.
+    """
     value = F.round("value", 9)
     place = F.greatest(F.least(F.size(F.filter("edges", lambda e: e <= value)), F.size("edges") - 1), F.lit(1))
     inside = (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
-    placed = rows.filter("value IS NOT NULL").join(edges.select("feature", "edges"), "feature").withColumn("bin", F.when(inside, place))
+    placed = rows.filter("value IS NOT NULL").join(F.broadcast(edges.select("feature", "edges")), "feature").withColumn("bin", F.when(inside, place))
     counted = placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
     each = F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("bins")
     return counted.groupBy("feature").agg(each, F.min("low").alias("low"), F.max("high").alias("high"))

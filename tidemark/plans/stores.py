@@ -292,7 +292,8 @@ def streamed_drift(spark, sf_dir):
     drift_baseline(rows.filter("half = 0")).write.parquet(f"{path}/baseline")
     live_rows = rows.filter("half = 1").select("feature", "value", "slice")
     for slice_ in range(3):
-        live_rows.filter(F.col("slice") == slice_).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(live_rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    stateful.watch_drift(stream, spark.read.parquet(f"{path}/baseline"), path, "slice").awaitTermination()
+        live_rows.filter(F.col("slice") == slice_).write.mode("append").parquet(f"{path}/in")
+        # The stream goes on from its checkpoint; all files that are new to it are one micro-batch.
+        stream = spark.readStream.schema(live_rows.schema).parquet(f"{path}/in")
+        stateful.watch_drift(stream, spark.read.parquet(f"{path}/baseline"), path, "slice").awaitTermination()
     return rounded(spark.read.parquet(f"{path}/log").drop("batch"), 6, "psi")
