@@ -1,6 +1,7 @@
 """Operators without SQL, and the cases that the tables do not hold."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,53 @@ def test_ranks_and_amounts_by_ranges(spark):
         assert r.below == sum(1 for o in rows if o[0] == r.k and o[1] is not None and o[1] < r.x)
 
 
+def _ranked_rows():
+    import random
+
+    draw = random.Random(8)
+    value = lambda: draw.choice([draw.gauss(0, 1), draw.gauss(0, 1), 0.5, -0.0, 0.0, float("nan"), None])
+    rows = [(k, draw.choice([draw.randrange(40), None]), f"{i:04}", value(), float(draw.randrange(3)), draw.choice([float(draw.randrange(4)), draw.random(), None])) for k in "ab" for i in range(500)]
+    rows += [("c", i, "", float(i), 1.0, float(-i)) for i in range(2)] + [("d", i, "", None, float(i), float(i)) for i in range(5)]
+    return rows, "k string, t int, u string, x double, z double, y double"
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_rank_correlations_by_parts_of_the_ties(spark, monkeypatch, few):
+    monkeypatch.setattr(V, "PARTS", 8)
+    monkeypatch.setattr(V, "SMALL_ROWS", few)
+    rows, schema = _ranked_rows()
+    found = V.ordinal_rank_correlations(spark.createDataFrame(rows, schema).repartition(5), ["x", "z"], "y", ["k"], ["t", "u"]).collect()
+    got = {(r.k, r.feature): (r.n, r.r) for r in found}
+    assert len(got) == len(found) and set(got) == {(k, f) for k in "abcd" for f in "xz"} - {("d", "x")}
+    for (k, f), (n, r) in got.items():
+        mine = [(row[3 if f == "x" else 4], row[5], (row[1] is None, row[1] or 0, row[2])) for row in rows if row[0] == k and row[5] is not None]
+        mine = [row for row in mine if row[0] is not None]
+        ranks = [0] * len(mine), [0] * len(mine)
+        for c in (0, 1):
+            for place, i in enumerate(sorted(range(len(mine)), key=lambda i: (mine[i][c] != mine[i][c], 0.0 if mine[i][c] != mine[i][c] else mine[i][c], mine[i][2]))):
+                ranks[c][i] = place
+        middle = (len(mine) - 1) / 2
+        wanted = sum((a - middle) * (b - middle) for a, b in zip(*ranks, strict=True)) / sum((a - middle) ** 2 for a in ranks[0]) if len(mine) > 2 else 0.0
+        assert n == len(mine) and abs(r - wanted) < 1e-12
+
+
+def test_concept_drift_deals_whole_rows_once(spark, capsys):
+    from tidemark.plans import validation
+
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("-1", "false")):
+            spark.conf.set(name, value)
+        validation.concept_drift(spark, "/root/testdata/sf0.001").explain("formatted")
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    # Once for each half.
+    assert len(dealt) > 2 and sum("l_suppkey" in columns or "_tie3" in columns for columns in dealt) == 2
+
+
 def test_bootstrap_over_spans(spark, monkeypatch):
     trades = spark.createDataFrame([("a", i // 7, i, ((i * 37) % 11 - 5) / 50) for i in range(50)], "symbol string, day int, n int, ret double")
     whole = V.bootstrap(trades, ["symbol"], ["day", "n"], simulations=40).first()

@@ -40,20 +40,33 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x.getField("_q")).alias(out))
 
 
-def _ranges(value: str) -> Column:
-    return F.percentile_approx(value, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), 1000)
+def cuts_of(value: str, ranges: int = BUCKETS, sample: int = 1000) -> Column:
+    """Approximate quantiles that cut a group into ranges; they only tell where to look."""
+    return F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), sample)
 
 
 def _range_of(value: str, cuts: str) -> Column:
     return F.size(F.filter(cuts, lambda e: e < F.col(value)))
 
 
+def range_of(value: str, cuts: str, ranges: int = BUCKETS, nulls_last: bool = False) -> Column:
+    """How many of the ``cuts`` of ``cuts_of`` lie below the value, by halving; ``ranges`` is a power of two. Nulls are in the first or last range."""
+    steps = F.array(*[F.lit(ranges >> i) for i in range(1, ranges.bit_length())])
+    below = lambda at, step: F.coalesce(F.get(cuts, at + step - 1) < F.col(value), F.lit(nulls_last))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(below(at, step), step).otherwise(0))
+
+
+def computed(few: DataFrame) -> DataFrame:
+    """A few rows, computed now and once: approximate cuts may differ between two runs, and all who use them need the same."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def amounts_below(counts: DataFrame, keys: list[str], value: str, amount: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over the rows of a key with a smaller ``value``. Each key has one row for each value.
 
     A key's values are cut into ranges, so only a range's rows are put in order together.
     """
-    cuts = counts.groupBy(*keys).agg(_ranges(value).alias("_cuts"))
+    cuts = counts.groupBy(*keys).agg(cuts_of(value).alias("_cuts"))
     placed = counts.join(cuts, keys).withColumn("_range", _range_of(value, "_cuts")).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy(*keys, "_range").agg(F.sum(amount).alias("_in")).withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
@@ -65,11 +78,11 @@ def amounts_below(counts: DataFrame, keys: list[str], value: str, amount: str, o
 def ordinal_ranks(rows: DataFrame, keys: list[str], ties: list[str], ranks: dict[str, str]) -> DataFrame:
     """Adds, for each value column of ``ranks``, its rank (from 1, equal values in the order of ``ties``) under the name given there.
 
-    The ranges of all value columns come from one pass. A row's rank is its place within its range after the ranges' counts; the full
-    table is joined with nothing but those, a few rows for each key.
+    The ranges of all value columns come from one pass. A row's rank is its place within its range after the ranges' counts. Those and
+    the cuts, a few rows for each key, travel to the rows.
     """
-    cuts = rows.groupBy(*keys).agg(*[_ranges(value).alias(f"_cuts_{i}") for i, value in enumerate(ranks)])
-    placed = rows.join(cuts, keys).withColumns({f"_range_{i}": _range_of(value, f"_cuts_{i}") for i, value in enumerate(ranks)})
+    cuts = computed(rows.groupBy(*keys).agg(*[cuts_of(value).alias(f"_cuts_{i}") for i, value in enumerate(ranks)]))
+    placed = rows.join(F.broadcast(cuts), keys).withColumns({f"_range_{i}": _range_of(value, f"_cuts_{i}") for i, value in enumerate(ranks)})
     placed = placed.drop(*[f"_cuts_{i}" for i in range(len(ranks))])
     out = placed
     for i, (value, name) in enumerate(ranks.items()):
@@ -77,5 +90,5 @@ def ordinal_ranks(rows: DataFrame, keys: list[str], ties: list[str], ranks: dict
         counts = placed.groupBy(*keys, f"_range_{i}").agg(F.count(F.lit(1)).alias("_in"))
         starts = counts.withColumn(f"_start_{i}", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
         place = F.row_number().over(Window.partitionBy(*keys, f"_range_{i}").orderBy(value, *ties))
-        out = out.withColumn(name, place).join(starts, [*keys, f"_range_{i}"]).withColumn(name, F.col(name) + F.col(f"_start_{i}")).drop(f"_range_{i}", f"_start_{i}")
+        out = out.withColumn(name, place).join(F.broadcast(starts), [*keys, f"_range_{i}"]).withColumn(name, F.col(name) + F.col(f"_start_{i}")).drop(f"_range_{i}", f"_start_{i}")
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.operators.quantiles import exact_quantiles, ordinal_ranks
+from tidemark.operators.quantiles import computed, cuts_of, exact_quantiles, range_of
 
 
 def overfitting(splits: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,15 +86,81 @@ def composite_score(trades: DataFrame, folds: DataFrame, models: DataFrame) -> D
     return rows.withColumns(parts).withColumn("wmes", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).select("model", *parts, "wmes")
 
 
-def ordinal_rank_correlation(rows: DataFrame, x: str, y: str, keys: list[str], ties: list[str]) -> DataFrame:
-    """Spearman's correlation from ordinal ranks (ties by ``ties``): ``keys, n, r``; 0 for fewer than three rows.
+#: Parts that the order of the ties is cut into, and the sample that places the cuts.
+PARTS, SAMPLE = 1024, 10_000
+#: Rows of a table that may travel to all tasks.
+SMALL_ROWS = 500_000
 
-    Ranks come from ranges of values, so no task orders all rows of a key.
+
+def _sums_before(counts: DataFrame, keys: list[str], order: list[str], amounts: list[str]) -> DataFrame:
+    """Replaces each of ``amounts`` by its sum over the rows of a key that come earlier by ``_range`` and, inside it, by ``order``."""
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "_range").agg(*[F.sum(a).alias(a) for a in amounts])
+    starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(f"_start{a}") for a in amounts])
+    own = counts.withColumns({a: F.coalesce(F.sum(a).over(inside), F.lit(0)) for a in amounts}).join(F.broadcast(starts), [*keys, "_range"])
+    return own.withColumns({a: F.col(a) + F.col(f"_start{a}") for a in amounts}).drop(*[f"_start{a}" for a in amounts])
+
+
+def ordinal_rank_correlations(rows: DataFrame, features: list[str], target: str, keys: list[str], ties: list[str]) -> DataFrame:
+    """Spearman's correlation of each of ``features`` (as doubles) with ``target`` from ordinal ranks: ``keys, feature, n, r``; 0 for fewer than three rows.
+
+    Equal values rank by ``ties`` (nulls last), then by the features and the target; ``keys`` have few values. The first of ``ties``
+    is a number that cuts the rows into parts of about equal size. Rows are dealt once, by part; twice where the target has many
+    values. A row's rank is the number of rows with smaller values, of those with its value in earlier parts, and of those up to it in
+    its own part; the first two are the same for a part's rows of one value. So the products of the ranks are summed by part and
+    value, and only these sums are dealt by ranges of the value and put in order.
     """
-    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = ordinal_ranks(rows, keys, ties, {x: f"_rank_{x}", y: f"_rank_{y}"})
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("r"))
-    return found.withColumn("r", F.when((F.col("n") >= 3) & ~F.isnan("r"), F.coalesce("r", F.lit(0.0))).otherwise(0.0))
+    places = range(len(features))
+    given = rows.select(*keys, *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)], F.col(target).alias("_y"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(features)])
+    given = given.filter(F.col("_y").isNotNull())
+    sizes = F.array(*[F.count(f"_x{i}") for i in places])
+    # Of a key, one row or one for each range is broadcast; the offsets below only where they are few.
+    about = computed(
+        given.groupBy(*keys).agg(
+            cuts_of("_tie0", PARTS, SAMPLE).alias("_parts"),
+            sizes.alias("_sizes"),
+            F.approx_count_distinct("_y").alias("_kinds"),
+            cuts_of("_y").alias("_y_cuts"),
+            F.array(*[cuts_of(f"_x{i}") for i in places]).alias("_x_cuts"),
+        )
+    )
+    placed = given.join(F.broadcast(about.select(*keys, "_parts")), keys).withColumn("_part", range_of("_tie0", "_parts", PARTS, nulls_last=True)).drop("_parts")
+
+    # The target's rank among the rows that have the feature, for each feature.
+    below = [f"_b{i}" for i in places]
+    counts = placed.groupBy(*keys, "_part", "_y").agg(*[F.count(f"_x{i}").alias(b) for i, b in enumerate(below)])
+    ranged = counts.join(F.broadcast(about.select(*keys, "_y_cuts")), keys).withColumn("_range", range_of("_y", "_y_cuts")).drop("_y_cuts")
+    offsets = _sums_before(ranged, keys, ["_y", "_part"], below).drop("_range")
+    cell = [*keys, "_part"]
+    # By number, as tasks put together to the usual size would not hold the rows of all features in memory.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if (about.agg(F.sum("_kinds")).first()[0] or 0) * PARTS <= SMALL_ROWS:
+        joined = placed.repartition(tasks, *cell).join(F.broadcast(offsets), [*cell, "_y"])
+    else:
+        joined = placed.join(offsets, [*cell, "_y"]).repartition(tasks, *cell)
+    # Rows that agree in all of these are interchangeable, so reruns agree.
+    order = [*[F.asc_nulls_last(f"_tie{i}") for i in range(len(ties))], *[f"_x{i}" for i in places], "_y"]
+    numbered = joined.withColumn("_at", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).drop(*[f"_tie{i}" for i in range(len(ties))])
+    so_far = Window.partitionBy(*cell, "_y").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = numbered.withColumns({b: F.col(b) + F.count(f"_x{i}").over(so_far) for i, b in enumerate(below)})
+
+    # From here on one row for each row and feature, in the tasks where the rows are; ranks of the target count from their mean.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f"_x{i}").cast("double").alias("_x"), F.col(b).alias("_b")) for i, b in enumerate(below)])).alias("_e")
+    long = ranked.select(*cell, "_at", each).select("*", "_e.*").drop("_e").filter(F.col("_x").isNotNull())
+    long = long.join(F.broadcast(about.select(*keys, "_sizes")), keys).withColumn("_b", F.col("_b") - (F.get("_sizes", F.col("_f")) + 1) / 2).drop("_sizes")
+    long = long.withColumn("_own", F.row_number().over(Window.partitionBy(*cell, "_f", "_x").orderBy("_at")))
+    summed = long.groupBy(*cell, "_f", "_x").agg(F.count(F.lit(1)).alias("_c"), F.sum("_b").alias("_s"), F.sum(F.col("_own") * F.col("_b")).alias("_p"))
+    summed = summed.join(F.broadcast(about.select(*keys, "_x_cuts")), keys).withColumn("_cuts", F.get("_x_cuts", F.col("_f"))).withColumn("_range", range_of("_x", "_cuts")).drop("_x_cuts", "_cuts")
+    inside = Window.partitionBy(*keys, "_f", "_range").orderBy("_x", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("_c").over(inside), F.lit(0))
+    by_range = summed.withColumn("_p", F.col("_p") + within * F.col("_s")).groupBy(*keys, "_f", "_range").agg(*[F.sum(c).alias(c) for c in ("_c", "_s", "_p")])
+    before = Window.partitionBy(*keys, "_f").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = by_range.withColumn("_p", F.col("_p") + F.coalesce(F.sum("_c").over(before), F.lit(0)) * F.col("_s"))
+    found = by_range.groupBy(*keys, "_f").agg(F.sum("_c").alias("n"), F.sum("_s").alias("_s"), F.sum("_p").alias("_p"))
+    n = F.col("n").cast("double")
+    r = F.when(n >= 3, (F.col("_p") - (n + 1) / 2 * F.col("_s")) / (n * (n * n - 1) / 12)).otherwise(0.0)
+    return found.select(*keys, F.get(F.array(*map(F.lit, features)), F.col("_f")).alias("feature"), "n", r.alias("r"))
 
 
 def concept_drift(baseline: DataFrame, current: DataFrame, feature: str = "feature") -> DataFrame:
@@ -105,7 +171,8 @@ def concept_drift(baseline: DataFrame, current: DataFrame, feature: str = "featu
     spread = F.sqrt(1 / F.greatest(F.col("n_base") - 3, F.lit(1)) + 1 / F.greatest(F.col("n_new") - 3, F.lit(1)))
     z = (F.atanh(bound(F.col("baseline"))) - F.atanh(bound(F.col("current")))) / spread
     rows = a.join(b, feature).withColumn("z", z).withColumn("significant", F.abs("z") > 1.96)
-    share = rows.agg(F.mean(F.col("significant").cast("double")).alias("share")).scalar()
+    # One row for each feature; a window without a key over them.
+    share = F.mean(F.col("significant").cast("double")).over(Window.partitionBy(F.lit(0)))
     severity = F.when(F.col("drift_score") < 0.05, "NONE").when(F.col("drift_score") < 0.20, "MILD").when(F.col("drift_score") < 0.40, "MODERATE").otherwise("SEVERE")
     return rows.withColumn("drift_score", share).select(
         feature, "baseline", "current", (F.col("current") - F.col("baseline")).alias("change"), "z", "significant", "drift_score", severity.alias("severity")

@@ -80,16 +80,23 @@ def composite_score(spark, sf_dir):
     return rounded(found, 6, *found.columns[1:])
 
 
+#: Columns of ``measured`` that drift is looked for in.
+NAMES = ["discount", "price", "tax"]
 FEATURES = """features AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_orderkey % 2 AS half, l_quantity AS target, unnest(['discount', 'price', 'tax']) AS feature,
          unnest([l_discount, l_extendedprice, round(l_tax + l_quantity / 1000 * (l_orderkey % 2), 6)]) AS value FROM lineitem)"""
 
 
+def measured(spark, sf_dir):
+    """Lines with their half, the target and a column for each feature."""
+    half, tax = F.col("l_orderkey") % 2, F.round(F.col("l_tax") + F.col("l_quantity") / 1000 * (F.col("l_orderkey") % 2), 6)
+    values = [F.col("l_discount").alias("discount"), F.col("l_extendedprice").alias("price"), tax.alias("tax")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", half.alias("half"), F.col("l_quantity").alias("target"), *values)
+
+
 def features(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    pairs = {"discount": F.col("l_discount"), "price": F.col("l_extendedprice"), "tax": F.round(F.col("l_tax") + F.col("l_quantity") / 1000 * (F.col("l_orderkey") % 2), 6)}
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), value.alias("value")) for name, value in pairs.items()])).alias("f")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_orderkey") % 2).alias("half"), F.col("l_quantity").alias("target"), each).select("*", "f.*").drop("f")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(name).alias("value")) for name in NAMES])).alias("f")
+    return measured(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "half", "target", each).select("*", "f.*").drop("f")
 
 
 @query(f"""
@@ -105,7 +112,7 @@ SELECT feature, round(baseline, 6) AS baseline, round(current, 6) AS current, ro
        CASE WHEN drift_score < 0.05 THEN 'NONE' WHEN drift_score < 0.2 THEN 'MILD' WHEN drift_score < 0.4 THEN 'MODERATE' ELSE 'SEVERE' END AS severity
 FROM scored""")
 def concept_drift(spark, sf_dir):
-    found = V.ordinal_rank_correlation(features(spark, sf_dir), "value", "target", ["feature", "half"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    found = V.ordinal_rank_correlations(measured(spark, sf_dir), NAMES, "target", ["half"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return rounded(rounded(V.concept_drift(found.filter("half = 0"), found.filter("half = 1")), 6, "baseline", "current", "change", "drift_score"), 4, "z")
 
 
